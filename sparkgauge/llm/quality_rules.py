@@ -16,7 +16,7 @@ from .common import cut
 SYMBOLS = "#*$%&|<>"
 SPACE = re.compile(r"[\x20\x09-\x0D]")
 BASE = {"n_words": "long", "word_chars": "long", "n_symbols": "long", "n_dup_lines": "long", "n_repeat_words": "long"}
-MORE = {"n_chars": "long", "n_lines": "long", "n_distinct": "long", "n_alpha": "long", "top_word": "long"}
+MORE = {"n_chars": "long", "n_lines": "long", "n_distinct": "long", "n_alpha": "long", "n_same_next": "long"}
 
 
 def repeated_words(ids: np.ndarray, width: int = 8) -> int:
@@ -48,7 +48,7 @@ def measure(text: str | None) -> tuple:
     spaces = sum(map(text.count, " \t\n\x0b\x0c\r"))
     return (
         len(words), len(text) - spaces, sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeated_words(ids) if len(known) < len(words) else 0,
-        len(text), len(lines), len(known), sum(map(bytes.isalpha, words)) + sum(not w.isascii() for w in words), int(np.bincount(ids).max()) if words else 0,
+        len(text), len(lines), len(known), sum(map(bytes.isalpha, (w.strip(b".,;:!?\"'()") for w in words))) + sum(not w.isascii() for w in words), int((ids[1:] == ids[:-1]).sum()),
     )
 
 
@@ -64,39 +64,47 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def rules() -> dict[str, tuple]:
-    """Name: (condition to vote good, condition to vote bad); between the two a rule abstains."""
+    """Name: (condition to vote good or None, condition to vote bad); a rule abstains where neither holds.
+
+    Rules that look for one defect only vote bad: that a text lacks their defect says little.
+    """
     n = F.col("n_words")
     share = lambda c, of="n_words": F.col(c) / F.greatest(F.col(of), F.lit(1))
     return {
-        "length": (n >= 40, n < 20),
-        "word_length": (share("word_chars").between(3, 12), ~share("word_chars").between(2, 20)),
-        "symbols": (share("n_symbols") < 0.02, share("n_symbols") > 0.1),
-        "dup_lines": (share("n_dup_lines", "n_lines") < 0.1, share("n_dup_lines", "n_lines") > 0.3),
-        "repeats": (share("n_repeat_words") < 0.05, share("n_repeat_words") > 0.3),
-        "variety": (share("n_distinct") > F.when(n > 1000, 0.1).otherwise(0.3), (share("n_distinct") < 0.15) & (n < 1000)),
-        "letters": (share("n_alpha") > 0.6, share("n_alpha") < 0.3),
-        "top_word": (share("top_word") < 0.15, (share("top_word") > 0.3) & (n >= 20)),
+        "length": (None, n < 20),
+        "word_length": (None, ~share("word_chars").between(2, 20)),
+        "symbols": (None, share("n_symbols") > 0.1),
+        "dup_lines": (None, share("n_dup_lines", "n_lines") > 0.3),
+        "repeats": (None, share("n_repeat_words") > 0.2),
+        "variety": (None, (share("n_distinct") < 0.15) & (n < 1000)),
+        "stutter": (None, share("n_same_next") > 0.2),
+        "prose": ((share("n_alpha") > 0.6) & (n >= 5), share("n_alpha") < 0.3),
     }
 
 
 def votes() -> list:
-    return [F.when(bad, -1).when(good, 1).otherwise(0).alias(f"v_{k}") for k, (good, bad) in rules().items()]
+    return [F.when(bad, -1).when(F.lit(False) if good is None else good, 1).otherwise(0).alias(f"v_{k}") for k, (good, bad) in rules().items()]
+
+
+#: P(vote bad, abstain, vote good) of a good and of a bad text, before anything is learnt: for rules that vote either way, and bad only.
+EITHER, BAD_ONLY = np.array([[0.02, 0.08, 0.9], [0.4, 0.4, 0.2]]), np.array([[0.01, 0.985, 0.005], [0.2, 0.79, 0.01]])
 
 
-def learn(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 100, prior: float = 0.9) -> dict:
+def learn(patterns: list[tuple[tuple[int, ...], int]], both: list[bool] | None = None, rounds: int = 200, prior: float = 0.85, trust: tuple[float, float] = (1.0, 0.05)) -> dict:
     """EM over counts of vote patterns (at most 3 ** rules of them, whatever the corpus size).
 
-    Each rule has P(vote | good) and P(vote | bad) over good, abstain, bad votes. Starts from rules
-    that are right 4 times in 5 and keeps a few pseudo-counts of that, so that the two classes don't
-    change places; stops when nothing moves by more than 1e-9.
+    Each rule has P(vote | good) and P(vote | bad) over bad votes, abstention and good votes. The
+    start weighs as pseudo-counts: as much as all documents for good texts, since rules are written to
+    spare those, and little for bad ones, of which there are several kinds; so the classes don't change
+    places. Stops when nothing moves by more than 1e-9.
     """
     if not patterns:
         return {"prior": prior, "table": []}
     v = np.array([p for p, _ in patterns]) + 1
     w = np.array([c for _, c in patterns], float)
-    start = np.array([[0.1, 0.2, 0.7], [0.4, 0.4, 0.2]])  # good, bad; vote bad, abstain, good
-    table = np.repeat(start[None], v.shape[1], 0)
-    weight = max(1.0, 0.01 * w.sum())
+    start = np.stack([EITHER if x else BAD_ONLY for x in both or [True] * v.shape[1]])
+    table = start
+    trust = np.array(trust) * max(1.0, w.sum())  # pseudo-counts of the start
     for _ in range(rounds):
         like = np.log(table)[np.arange(v.shape[1]), :, v].sum(1) + np.log([prior, 1 - prior])
         post = 1 / (1 + np.exp(np.clip(like[:, 1] - like[:, 0], -700, 700)))
@@ -104,8 +112,8 @@ def learn(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 100, prior:
         for k in range(v.shape[1]):
             for vote in range(3):
                 at = v[:, k] == vote
-                new[k, 0, vote] = (w * post)[at].sum() + weight * start[0, vote]
-                new[k, 1, vote] = (w * (1 - post))[at].sum() + weight * start[1, vote]
+                new[k, 0, vote] = (w * post)[at].sum() + trust[0] * start[k, 0, vote]
+                new[k, 1, vote] = (w * (1 - post))[at].sum() + trust[1] * start[k, 1, vote]
         new /= new.sum(2, keepdims=True)
         moved = np.abs(new - table).max()
         table, prior = new, min(0.99, max(0.5, float((w * post).sum() / w.sum())))
@@ -123,7 +131,7 @@ def score_documents(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_
     found = cut(features(docs, id_col, text_col))
     names = [f"v_{k}" for k in rules()]
     counts = found.select(*votes()).groupBy(*names).agg(F.count(F.lit(1)).alias("n")).collect()  # at most 3 ** 8 rows
-    model = learn(sorted((tuple(int(r[c]) for c in names), int(r["n"])) for r in counts))
+    model = learn(sorted((tuple(int(r[c]) for c in names), int(r["n"])) for r in counts), [good is not None for good, _ in rules().values()])
     if not model["table"]:
         model["table"] = [[[1 / 3] * 3] * 2] * len(names)
     weight = F.lit(log(model["prior"] / (1 - model["prior"])))
