@@ -1,2 +1,157 @@
-def redact(docs, **options):
-    raise NotImplementedError
+"""Personal data: seed entities by pattern, then bootstrapped contexts; DataFrame functions only."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from .common import cut
+
+#: Kinds in the order of the contract; the method's own kind comes last.
+KINDS = ("email", "ip", "card", "phone")
+OWN = "id"
+#: The contract's patterns, with possessive repeats and look-behinds that find the same matches without retrying inside a run.
+PATTERN = {
+    "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
+    "ip": r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}",
+    "card": r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+HINT = {"email": "@", "ip": ".", "card": "", "phone": "+"}
+SPAN = "array<struct<start:int,rank:int,stop:int,value:string>>"
+#: Candidates for unseen identifiers: a word with a digit, of six characters or more, after a word on the same line.
+CANDIDATE = r"(?<![^\x20\x09\n])[^\x20\x09-\x0D]++[\x20\x09]++(?=[^\x20\x09-\x0D]*[0-9])[^\x20\x09-\x0D]{6,}+"
+
+
+def digits(x: Column) -> Column:
+    return F.regexp_replace(x, "[^0-9]", "")
+
+
+def luhn(x: Column) -> Column:
+    """Whether the digits x pass Luhn's check."""
+    d = F.transform(F.split(F.reverse(x), ""), lambda c, i: F.try_to_number(c, F.lit("9")).cast("int") * (1 + i % 2))
+    return F.aggregate(d, F.lit(0), lambda a, v: a + F.coalesce(F.when(v > 9, v - 9).otherwise(v), F.lit(0))) % 10 == 0
+
+
+def valid(kind: str, x: Column) -> Column:
+    if kind == "ip":
+        return F.forall(F.split(x, r"\."), lambda p: (F.length(F.ltrim(p, F.lit("0"))) < 3) | (F.length(F.ltrim(p, F.lit("0"))) == 3) & (F.ltrim(p, F.lit("0")) <= "255"))
+    if kind == "card":
+        return F.length(digits(x)).between(12, 19) & luhn(digits(x))
+    if kind == "phone":
+        return F.length(digits(x)).between(9, 15)
+    return F.lit(True)
+
+
+def matches(text: Column, pattern: str, rank: int, keep=None) -> Column:
+    """Spans of all matches in code points: the texts between matches and the matches, measured in turn."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    between = F.transform(F.split(text, pattern, -1), F.length)
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
+
+    def step(acc: Column, x: Column) -> Column:
+        a = acc["at"] + x["gap"]
+        z = a + F.length(x["value"])
+        span = F.struct(a.alias("start"), F.lit(rank).alias("rank"), z.alias("stop"), x["value"].alias("value"))
+        return F.struct(z.alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
+
+    pairs = F.zip_with(found, F.slice(between, 1, F.size(found)), lambda v, g: F.struct(v.alias("value"), g.alias("gap")))
+    spans = F.aggregate(pairs, start, step)["spans"]
+    return F.filter(spans, lambda s: keep(s["value"])) if keep else spans
+
+
+def base_spans(text: Column, kind: str) -> Column:
+    hint = F.regexp_like(text, F.lit(r"[0-9][\x20-]?[0-9]")) if kind == "card" else F.contains(text, F.lit(HINT[kind]))
+    found = matches(text, PATTERN[kind], KINDS.index(kind), lambda v: valid(kind, v))
+    return F.when(hint, found).otherwise(F.array().cast(SPAN))
+
+
+def joined(spans: Column) -> Column:
+    names = F.array(*map(F.lit, (*KINDS, OWN)))
+    return F.concat_ws(",", F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", F.element_at(names, s["rank"] + 1), s["start"].cast("string"), s["stop"].cast("string"))))
+
+
+def shape_of(value: Column) -> Column:
+    """What a value looks like: letters, digits and hex runs without their lengths, with its length's class."""
+    x = F.regexp_replace(value, r"[.,;:!?\)\]\"']+$", "")
+    x = F.regexp_replace(F.regexp_replace(F.regexp_replace(x, "[A-Z]+", "A"), "[a-z]+", "a"), "[0-9]+", "9")
+    return F.substring(F.regexp_replace(x, "([A-Za]9){2,}[A-Za]?|(9[A-Za]){2,}9?", "x"), 1, 24)
+
+
+def bootstrap(found: DataFrame, rounds: int, least: float) -> DataFrame:
+    """(row, start, stop, value) of unseen identifiers, by iterative scoring of the pattern-instance graph.
+
+    Instances are (shape of the value); patterns are (word before, lower-cased). Seeds are candidates that
+    overlap a base span. In each round a pattern's score is the share of its occurrences that seeds or
+    trusted shapes account for, smoothed; a shape's score is the mean score of its patterns, weighted by
+    occurrences. All counts are pre-aggregated to (pattern, shape) rows, which is what the rounds read.
+    """
+    cand = found.select("row", F.explode("candidates").alias("c"), "base").select(
+        "row", F.col("c.start").alias("start"), F.col("c.stop").alias("stop"), F.col("c.value").alias("value"), F.col("c.word").alias("word"), F.col("c.seed").alias("seed")
+    ).withColumn("shape", shape_of("value"))
+    graph = cut(cand.groupBy("word", "shape").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("seed").cast("long")).alias("seeds")))
+    known = graph.groupBy("shape").agg((F.sum("seeds") / F.sum("n")).alias("score"))
+    for _ in range(rounds):
+        g = graph.join(known, "shape")
+        pattern = g.groupBy("word").agg((F.sum(F.col("n") * F.col("score")) / (F.sum("n") + 1)).alias("p"))
+        scored = graph.join(pattern, "word")
+        new = scored.groupBy("shape").agg((F.sum(F.col("n") * F.col("p")) / F.sum("n")).alias("s"), (F.sum("seeds") / F.sum("n")).alias("own"))
+        known = cut(new.select("shape", F.greatest("own", "s").alias("score")))
+    trusted = pattern.where(F.col("p") >= least).select("word")
+    shapes = known.where(F.col("score") >= least).select("shape")
+    new = cand.where(~F.col("seed"))
+    return new.join(trusted, "word", "left_semi").join(shapes, "shape", "left_semi").select("row", "start", "stop", "value")
+
+
+def labelled(rows: DataFrame, rounds: int = 3, least: float = 0.5) -> DataFrame:
+    """rows (row, text) with their spans: base and those of the method."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    x = rows.select("row", *(base_spans(text, k).alias(k) for k in KINDS), F.when(F.regexp_like(text, F.lit("[0-9]")), matches(text, CANDIDATE, len(KINDS))).otherwise(F.array().cast(SPAN)).alias("raw"))
+    x = x.withColumn("base", F.concat(*KINDS))
+
+    def candidate(s: Column) -> Column:
+        before = F.regexp_extract(s["value"], r"^([^\x20\x09-\x0D]+)", 1)
+        value = F.regexp_replace(F.regexp_extract(s["value"], r"([^\x20\x09-\x0D]+)$", 1), r"[.,;:!?\)\]\"']+$", "")
+        lead = F.length(F.regexp_extract(s["value"], r"^([^\x20\x09-\x0D]+[\x20\x09]+)", 1))
+        start = s["start"] + lead
+        stop = start + F.length(value)
+        seed = F.exists("base", lambda b: (b["start"] < stop) & (b["stop"] > start))
+        return F.struct(start.alias("start"), stop.alias("stop"), value.alias("value"), F.lower(F.substring(before, 1, 64)).alias("word"), seed.alias("seed"))
+
+    found = cut(x.withColumn("candidates", F.transform("raw", candidate)).drop("raw"))
+    extra = bootstrap(found, rounds, least).groupBy("row").agg(F.collect_list(F.struct(F.col("start"), F.lit(len(KINDS)).alias("rank"), F.col("stop"), F.col("value"))).alias("extra"))
+    return found.join(extra, "row", "left").withColumn("spans", F.concat("base", F.coalesce(F.col("extra").cast(SPAN), F.array().cast(SPAN))))
+
+
+def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """Per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans (kind:start:end, joined).
+
+    Spans are in code points, end exclusive. A null text is empty; rows of a repeated id are labelled one
+    by one; other columns are not carried; an empty table gives no rows.
+    """
+    rows = docs.select(F.struct(F.monotonically_increasing_id().alias("k"), F.col(id_col).alias("doc_id")).alias("row"), F.col(text_col).alias("text"))
+    out = labelled(rows, **options)
+    return out.select(F.col("row.doc_id").alias("doc_id"), *(F.size(k).cast("long").alias(f"n_{k}") for k in KINDS), F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+def redact(docs: DataFrame, **options) -> DataFrame:
+    """docs with every span replaced by its kind in brackets; overlapping spans become one, named by the first."""
+    names = F.array(*map(F.lit, (*KINDS, OWN)))
+    docs = docs.withColumn("_row", F.monotonically_increasing_id())
+    found = labelled(docs.select(F.col("_row").alias("row"), "text"), **options).where(F.size("spans") > 0)
+    found = cut(found.select(F.col("row").alias("_row"), F.array_sort("spans").alias("_spans")))
+
+    def step(acc: Column, s: Column) -> Column:
+        gap = F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"])
+        name = F.concat(F.lit("["), F.upper(F.element_at(names, s["rank"] + 1)), F.lit("]"))
+        fresh = s["start"] >= acc["at"]
+        return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), F.when(fresh, F.concat(acc["out"], gap, name)).otherwise(acc["out"]).alias("out"))
+
+    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    end = F.aggregate("_spans", begin, step, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
+    joined_ = docs.join(found, "_row", "left")
+    changed = F.col("_spans").isNotNull()
+    out = joined_.withColumn("text", F.when(changed, end).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.drop("_row", "_spans")
