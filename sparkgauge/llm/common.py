@@ -34,6 +34,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def numbered(docs: DataFrame, column: str = "_row") -> DataFrame:
+    """docs with a number of each row, as a table in the shared folder: reading it again gives the same numbers."""
+    path = scratch(docs.sparkSession, "rows")
+    docs.withColumn(column, F.monotonically_increasing_id()).write.parquet(path)
+    return docs.sparkSession.read.parquet(path)
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node that has an edge; component is the smallest node reachable.
 

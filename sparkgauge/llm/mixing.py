@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, numbered, scratch
 
 WORD = r"[^\x20\x09-\x0D]+"
 RANGES = 4096
@@ -82,10 +82,8 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 
     Keeps the columns of documents. Positions are attached by a key of the row, so equal ids keep apart.
     """
-    from .common import scratch
-
     path = scratch(docs.sparkSession, "mix")
-    docs = docs.withColumn("_row", F.monotonically_increasing_id())
+    docs = numbered(docs)
     plan = plan_mix(docs, id_col="_row", **options).where("copies > 0")
     copies = plan.select(F.col("doc_id").alias("_row"), F.explode(F.expr("filter(array(first_position, second_position), x -> x is not null)")).alias("_at"))
     copies.write.parquet(path)

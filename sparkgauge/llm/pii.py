@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, numbered
 
 #: Kinds in the order of the contract; the method's own kind comes last.
 KINDS = ("email", "ip", "card", "phone")
@@ -137,7 +137,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
 def redact(docs: DataFrame, **options) -> DataFrame:
     """docs with every span replaced by its kind in brackets; overlapping spans become one, named by the first."""
     names = F.array(*map(F.lit, (*KINDS, OWN)))
-    docs = docs.withColumn("_row", F.monotonically_increasing_id())
+    docs = numbered(docs)
     found = labelled(docs.select(F.col("_row").alias("row"), "text"), **options).where(F.size("spans") > 0)
     found = cut(found.select(F.col("row").alias("_row"), F.array_sort("spans").alias("_spans")))
 

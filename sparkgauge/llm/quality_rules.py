@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, numbered
 
 SYMBOLS = "#*$%&|<>"
 SPACE = re.compile(r"[\x20\x09-\x0D]")
@@ -150,10 +150,6 @@ def score_documents(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_
 
 def keep_good(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The documents that score_documents keeps, with their own columns; rows of a repeated id are judged one by one."""
-    from .common import scratch
-
-    path = scratch(docs.sparkSession, "quality")
-    docs = docs.withColumn("_row", F.monotonically_increasing_id())
-    score_documents(docs, threshold, "_row").where("kept").select(F.col("doc_id").alias("_row")).write.parquet(path)
-    kept = docs.sparkSession.read.parquet(path)
+    docs = numbered(docs)
+    kept = score_documents(docs, threshold, "_row").where("kept").select(F.col("doc_id").alias("_row"))
     return docs.join(kept, "_row", "left_semi").drop("_row")
