@@ -1,6 +1,8 @@
-"""Queries over the reference tables, with the SQL that each is held against."""
+"""Queries over the tables, with the SQL that each is held against."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from . import telemetry
+
+QUERIES: dict = dict(telemetry.QUERIES)
+SQL: dict[str, str] = dict(telemetry.SQL)
