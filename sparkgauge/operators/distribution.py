@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import neighbours, running_sum
+from .ordered import neighbours, running_sum, settle
 
 #: Names and ranks of the percentiles.
 PERCENTILES = {"p001": 0.001, "p01": 0.01, "p05": 0.05, "p10": 0.1, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95, "p99": 0.99, "p999": 0.999}
@@ -36,6 +36,7 @@ def summarise(merged: DataFrame, keys: list[str]) -> DataFrame:
     count: rounded half to even; mode: of ties the least; the percentile q is the first value at which the
     running weight reaches q x all. Where all weights together are below 1e-6 every value weighs the same.
     """
+    merged = settle(merged)
     total = merged.groupBy(*keys).agg(F.sum("weight").alias("_w"))
     x = merged.join(total, keys).withColumn("weight", F.when(F.col("_w") <= TINY, F.lit(1.0)).otherwise(F.col("weight")))
     stats = x.groupBy(*keys).agg(F.sum("weight").alias("_tot"), (F.sum(F.col("value") * F.col("weight")) / F.sum("weight")).alias("mean"), F.first("_w").alias("_raw"))
@@ -63,9 +64,9 @@ def merge_times(points: DataFrame, keys: list[str], threshold: int = 100) -> Dat
     Chains of small gaps are told apart first; one no longer than the threshold is a cluster as it is.
     Only longer chains are folded in order, each on its own.
     """
-    once = points.groupBy(*keys, "t").agg(F.sum("w").alias("w"))
+    once = settle(points.groupBy(*keys, "t").agg(F.sum("w").alias("w")))
     x = neighbours(once, keys, "t").withColumn("_new", (F.col("prev_t").isNull() | (F.col("t") - F.col("prev_t") > threshold)).cast("int"))
-    x = running_sum(x, keys, "t", {"_seg": "_new"})
+    x = settle(running_sum(settle(x), keys, "t", {"_seg": "_new"}))
     chains = x.groupBy(*keys, "_seg").agg(F.min("t").alias("_a"), F.max("t").alias("_z"), F.sum("w").alias("w"))
     short = chains.where(F.col("_z") - F.col("_a") <= threshold).select(*keys, F.col("_a").alias("t"), "w")
     long = chains.where(F.col("_z") - F.col("_a") > threshold).select(*keys, "_seg")
@@ -91,7 +92,7 @@ def rate_points(points: DataFrame, keys: list[str], threshold: int = 100, start:
             p = p.where(F.col("t") >= start).unionByName(ends.select(*keys, F.lit(start).cast("bigint").alias("t"), F.lit(0.0).alias("w")))
         if end is not None:
             p = p.where(F.col("t") <= end).unionByName(ends.select(*keys, F.lit(end).cast("bigint").alias("t"), F.lit(0.0).alias("w")))
-    x = neighbours(merge_times(p, keys, threshold), keys, "t")
+    x = neighbours(settle(merge_times(p, keys, threshold)), keys, "t")
     half = (F.coalesce("next_t", "t") - F.coalesce("prev_t", "t")) / 2e6
     alone = F.col("next_t").isNull() & F.col("prev_t").isNull()
     return x.where(~alone).withColumn("duration", F.when(F.col("next_t").isNull(), F.greatest(half, F.lit(TINY))).otherwise(half)).drop("next_t", "prev_t")
@@ -117,7 +118,7 @@ def concurrency_levels(spans: DataFrame, keys: list[str], threshold: int = 100,
     p = s.select(*keys, F.explode(deltas).alias("d")).select(*keys, "d.t", "d.w")
     if end is not None:
         p = p.where(F.col("t") <= end).unionByName(s.select(*keys).distinct().select(*keys, F.lit(end).cast("bigint").alias("t"), F.lit(0).alias("w")))
-    x = running_sum(neighbours(merge_times(p, keys, threshold), keys, "t"), keys, "t", {"level": "w"})
+    x = running_sum(settle(neighbours(settle(merge_times(p, keys, threshold)), keys, "t")), keys, "t", {"level": "w"})
     return x.where("next_t is not null").select(*keys, "t", F.greatest(F.lit(0), F.col("level")).cast("bigint").alias("level"), (F.col("next_t") - F.col("t")).alias("duration_us"))
 
 

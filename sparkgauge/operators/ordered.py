@@ -6,12 +6,22 @@ at most `ranges` rows a key, and windows work within ranges.
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 RANGES = 512
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """df from a reliable checkpoint, for frames that several branches of a plan read; a folder is made only where none is set."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sparkgauge-ckpt-"))
+    return df.checkpoint(eager=True)
+
+
 def ranged(df: DataFrame, keys: list[str], order: str, ranges: int = RANGES) -> DataFrame:
     """df with the number `_r` of the range of `order` (a number) that a row falls in, by key."""
     ends = df.groupBy(*keys).agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"))

@@ -114,7 +114,7 @@ gaps AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY {k} ORDER BY t) <= 10
 segs AS (SELECT *, sum(fresh) OVER (PARTITION BY {k} ORDER BY t) AS seg FROM gaps),
 walk AS (SELECT {k}, seg, min(t) AS t FROM segs GROUP BY {k}, seg
   UNION ALL SELECT {ok}, o.seg, min(o.t) FROM walk c JOIN segs o ON {on} AND o.seg = c.seg AND o.t > c.t + 100 GROUP BY {ok}, o.seg, c.t),
-merged_t AS (SELECT {ok.replace('o.', 's.')}, (SELECT max(c.t) FROM walk c WHERE {on.replace('o.', 's.')} AND c.seg = s.seg AND c.t <= s.t) AS t, s.w FROM segs s),
+merged_t AS (SELECT {ok.replace('o.', 's.')}, c.t, s.w FROM segs s ASOF JOIN walk c ON {on.replace('o.', 's.')} AND c.seg = s.seg AND s.t >= c.t),
 points AS (SELECT {k}, t, sum(w) AS w FROM merged_t GROUP BY {k}, t)"""
 
 
