@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import telemetry
+from . import datasets, telemetry
 
-QUERIES: dict = dict(telemetry.QUERIES)
-SQL: dict[str, str] = dict(telemetry.SQL)
+QUERIES: dict = telemetry.QUERIES | datasets.QUERIES
+SQL: dict[str, str] = telemetry.SQL | datasets.SQL

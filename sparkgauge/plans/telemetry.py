@@ -22,14 +22,22 @@ REQUESTS = """requests AS (
 TOTAL = "alls AS (SELECT * FROM requests UNION ALL SELECT * REPLACE ('total' AS status) FROM requests)"
 
 
-def query(sql: str | None = None):
-    def keep(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return keep
+def query_into(queries: dict, sqls: dict):
+    """A decorator that registers a query under its name, with the SQL that it is held against."""
+
+    def query(sql: str | None = None):
+        def keep(f):
+            queries[f.__name__] = f
+            if sql:
+                sqls[f.__name__] = sql
+            return f
+
+        return keep
+
+    return query
+
+
+query = query_into(QUERIES, SQL)
 
 
 def r6(df: DataFrame, *names: str) -> DataFrame:
