@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; one is made only where none is configured (tests)."""
@@ -20,25 +22,32 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts lineage through a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def cut(df: DataFrame, name: str = "step") -> DataFrame:
+    """Cuts lineage through a table in the shared folder; later steps read only the columns they need.
+
+    The shuffle files behind the table go as soon as it is written, since only the table is read again.
+    """
+    spark, path = df.sparkSession, scratch(df.sparkSession, name)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def numbered(docs: DataFrame, column: str = "_row") -> DataFrame:
     """docs with a number of each row, as a table in the shared folder: reading it again gives the same numbers."""
-    path = scratch(docs.sparkSession, "rows")
-    docs.withColumn(column, F.monotonically_increasing_id()).write.parquet(path)
-    return docs.sparkSession.read.parquet(path)
+    return cut(docs.withColumn(column, F.monotonically_increasing_id()), "rows")
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
