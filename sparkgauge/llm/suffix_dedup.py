@@ -6,8 +6,10 @@ suffixes fall into intervals of equal prefixes, with their sizes (what a Burrows
 of their order). The shards' intervals are merged by iterative refinement: in a round, intervals with
 equal prefixes meet (map-side sums give one row for each interval and shard), those met by one suffix
 only are final and leave, the rest is refined by longer prefixes, until a common prefix reaches the
-length sought. Suffixes are never compared or sorted again over all shards. What remains, the few places
-at the ends of repeated passages, is settled at byte level.
+length sought. Suffixes are never compared or sorted again over all shards. What remains, the places
+at the ends of repeated passages, is settled at byte level in two refinements: blocks of STEP neighbouring
+places first, by what all their strings share and by what they span together, then single places of the
+blocks that this leaves open.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import cut, numbered
 from .minhash import mix64
 
-GRAM, WINDOW = 16, 96
+GRAM, WINDOW, STEP = 16, 96, 16
 BASES = (np.uint64(0x9E3779B97F4A7C15 | 1), np.uint64(0xD6E8FEB86659FD93 | 1))
 
 
@@ -93,19 +95,27 @@ def anchors(data: np.ndarray) -> np.ndarray:
     return np.flatnonzero(slide(np.concatenate([pad, low, pad]), WINDOW, np.maximum) == h)
 
 
+def prefix_sums(data: np.ndarray, which: int) -> np.ndarray:
+    """Prefix sums of value * base ** place."""
+    return np.concatenate([[np.uint64(0)], np.cumsum(byte_values(which)[data] * powers(which, len(data)))])
+
+
+def span_hash(sums: np.ndarray, a: np.ndarray, b: np.ndarray, which: int) -> np.ndarray:
+    """Hash of the bytes a .. b - 1, wherever they stand: their sum, brought to a common place by the power still missing."""
+    n = len(sums) - 1
+    return mix64((sums[b] - sums[a]) * powers(which, n)[n - 1 - a] * inverse_power(n - 1, which) ^ mix64((b - a).astype(np.uint64)))
+
+
 def phrases(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     """A 64-bit symbol of each phrase between neighbouring anchors."""
     if len(at) < 2:
         return np.zeros(0, np.uint64)
-    # Prefix sums of value * base ** place; a phrase's sum is brought to a common place by the power still missing.
-    n = len(data)
-    total = np.concatenate([[np.uint64(0)], np.cumsum(byte_values(1)[data] * powers(1, n))])
-    return mix64((total[at[1:]] - total[at[:-1]]) * powers(1, n)[n - 1 - at[:-1]] * inverse_power(n - 1) ^ mix64((at[1:] - at[:-1]).astype(np.uint64)))
+    return span_hash(prefix_sums(data, 1), at[:-1], at[1:], 1)
 
 
 @lru_cache(maxsize=4096)
-def inverse_power(n: int) -> np.uint64:
-    return np.uint64(pow(pow(int(BASES[1]), -1, 2**64), n, 2**64))
+def inverse_power(n: int, which: int) -> np.uint64:
+    return np.uint64(pow(pow(int(BASES[which]), -1, 2**64), n, 2**64))
 
 
 def sequence_sums(syms: np.ndarray) -> np.ndarray:
@@ -162,6 +172,27 @@ def cores(n: int, at: np.ndarray, alive: np.ndarray, done: np.ndarray, length: i
     return [first[new], last[new], p[new], p[end - 1] + 1, np.add.reduceat(asked.astype(np.int64), new) > 0]
 
 
+def gathered(parts: Iterator[dict[str, np.ndarray]], most: int = 200_000) -> Iterator[pd.DataFrame]:
+    """Frames of about `most` rows from many short pieces."""
+    held, n = [], 0
+    for x in parts:
+        held.append(x)
+        n += len(next(iter(x.values())))
+        if n >= most:
+            yield pd.DataFrame({k: np.concatenate([h[k] for h in held]) for k in x})
+            held, n = [], 0
+    if held:
+        yield pd.DataFrame({k: np.concatenate([h[k] for h in held]) for k in held[0]})
+
+
+def blocks_of(los: np.ndarray, his: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """Starts, each once, of the blocks of STEP places (aligned to a range's mark) that touch the ranges lo .. hi - 1."""
+    first, last = (los - marks) // STEP, (his - 1 - marks) // STEP
+    n = last - first + 1
+    nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return np.unique(np.repeat(marks + first * STEP, n) + nth * STEP)
+
+
 def as_bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
@@ -219,25 +250,24 @@ def remove_repeats(docs: DataFrame, length: int = 400, growth: int = 4, id_col:
 
     # Further rounds: prefixes of growth, growth ** 2, ... phrases, or as many as reach the length.
     def refine(depth: int):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                for row, at, syms, live in zip(b["row"], b["at"], b["syms"], b["live"], strict=True):
-                    at, every = at.astype(np.int64), np.sort(live.astype(np.int64))
-                    live = every
-                    end = np.searchsorted(at, at[live] + length)
-                    live, end = live[end < len(at)], end[end < len(at)]
-                    stop = np.minimum(live + depth, end)
-                    if depth == growth:  # all phrases of the prefix must have lived through the first round
-                        dead = np.ones(len(at), np.int64)
-                        dead[every] = 0
-                        sums = np.concatenate([[0], np.cumsum(dead)])
-                        ok = sums[stop] == sums[live]
-                        live, end, stop = live[ok], end[ok], stop[ok]
-                    if len(live):
-                        key = sequence_key(sequence_sums(syms.view(np.uint64)), live, stop)
-                        yield pd.DataFrame({"row": row, "i": live, "key": key, "settled": stop == end, "start": at[live], "stop": at[end]})
-
-        return run
+        def pieces(b: pd.DataFrame) -> Iterator[dict[str, np.ndarray]]:
+            for row, at, syms, live in zip(b["row"], b["at"], b["syms"], b["live"], strict=True):
+                at, every = at.astype(np.int64), np.sort(live.astype(np.int64))
+                live = every
+                end = np.searchsorted(at, at[live] + length)
+                live, end = live[end < len(at)], end[end < len(at)]
+                stop = np.minimum(live + depth, end)
+                if depth == growth:  # all phrases of the prefix must have lived through the first round
+                    dead = np.ones(len(at), np.int64)
+                    dead[every] = 0
+                    sums = np.concatenate([[0], np.cumsum(dead)])
+                    ok = sums[stop] == sums[live]
+                    live, end, stop = live[ok], end[ok], stop[ok]
+                if len(live):
+                    key = sequence_key(sequence_sums(syms.view(np.uint64)), live, stop)
+                    yield {"row": np.full(len(live), row), "i": live, "key": key, "settled": stop == end, "start": at[live], "stop": at[end]}
+
+        return lambda batches: gathered(x for b in batches for x in pieces(b))
 
     live, depth, blocks = zones.withColumn("live", F.col("alive")), growth, None
     while True:
@@ -254,32 +284,50 @@ def remove_repeats(docs: DataFrame, length: int = 400, growth: int = 4, id_col:
     grouped = blocks.groupBy("row").agg(F.collect_list(F.struct("start", "stop")).alias("blocks"))
     zoned = zones.join(grouped, "row", "left").withColumn("starts", F.coalesce(F.col("blocks.start"), F.array().cast("array<int>"))).withColumn("stops", F.coalesce(F.col("blocks.stop"), F.array().cast("array<int>")))
 
-    def find_cores(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for row, n, at, syms, alive, starts, stops in zip(*(b[c] for c in ("row", "n_bytes", "at", "syms", "alive", "starts", "stops")), strict=True):
-                mask = np.zeros(len(at) - 1, bool)
-                mask[alive] = True
-                first, last, lo, hi, asked = cores(n, at.astype(np.int64), mask, covered(n, starts, stops), length)
-                if len(first):
-                    yield pd.DataFrame({"row": row, "key": sequence_key(sequence_sums(syms.view(np.uint64)), first, last), "lo": lo, "hi": hi, "asked": asked})
+    def find_cores(b: pd.DataFrame) -> Iterator[dict[str, np.ndarray]]:
+        for row, n, at, syms, alive, starts, stops in zip(*(b[c] for c in ("row", "n_bytes", "at", "syms", "alive", "starts", "stops")), strict=True):
+            mask = np.zeros(len(at) - 1, bool)
+            mask[alive] = True
+            first, last, lo, hi, asked = cores(n, at.astype(np.int64), mask, covered(n, starts, stops), length)
+            if len(first):
+                yield {"row": np.full(len(first), row), "key": sequence_key(sequence_sums(syms.view(np.uint64)), first, last), "mark": at[first], "lo": lo, "hi": hi, "asked": asked}
 
-    core = cut(zoned.select("row", "n_bytes", "at", "syms", "alive", "starts", "stops").mapInPandas(find_cores, "row long, key long, lo int, hi int, asked boolean"))
-    wanted = core.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("asked").alias("asked")).where("asked").select("key")
-    places = core.join(wanted, "key", "left_semi").groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("places"))
+    core = cut(zoned.select("row", "n_bytes", "at", "syms", "alive", "starts", "stops").mapInPandas(lambda batches: gathered(x for b in batches for x in find_cores(b)), "row long, key long, mark int, lo int, hi int, asked boolean"))
+    wanted = core.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("asked").alias("asked")).where("asked and n > 1").select("key")
+    places = core.join(wanted, "key", "left_semi").groupBy("row").agg(F.collect_list(F.struct("lo", "hi", "mark")).alias("places"))
 
     # Byte level: whole strings by 128 bits. Texts of documents in zones only.
     text = cut(docs.select("row", "text").join(zones.select("row"), "row", "left_semi"))
 
-    def strings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for row, t, los, his in zip(b["row"], b["text"], b["los"], b["his"], strict=True):
-                data = np.frombuffer(as_bytes(t), np.uint8)
-                p = np.flatnonzero(covered(len(data), los, his))
-                yield pd.DataFrame({"row": row, "p": p, "h1": window_hash(data, length, 0)[p].view(np.int64), "h2": window_hash(data, length, 1)[p].view(np.int64)})
-
-    found = text.join(places, "row").select("row", "text", F.col("places.lo").alias("los"), F.col("places.hi").alias("his")).mapInPandas(strings, "row long, p int, h1 long, h2 long")
+    def neighbours(b: pd.DataFrame) -> Iterator[dict[str, np.ndarray]]:
+        """Blocks of places: a hash of what all their strings share, and 128 bits of what they span."""
+        for row, t, los, his, marks in zip(b["row"], b["text"], b["los"], b["his"], b["marks"], strict=True):
+            data = np.frombuffer(as_bytes(t), np.uint8)
+            q = blocks_of(los.astype(np.int64), his.astype(np.int64), marks.astype(np.int64))
+            h1, h2 = prefix_sums(data, 0), prefix_sums(data, 1)
+            inside = (q >= 0) & (q + STEP - 1 + length <= len(data))
+            a, z = np.where(inside, q, 0), np.where(inside, q + STEP - 1 + length, length)
+            # A block that passes the text's ends spans nothing that could be repeated whole.
+            whole = [np.where(inside, span_hash(h, a, z, k).view(np.int64), own) for k, (h, own) in enumerate(((h1, row), (h2, q)))]
+            yield {"row": np.full(len(q), row), "q": q, "shared": span_hash(h1, q + STEP - 1, q + length, 0).view(np.int64), "w1": whole[0], "w2": whole[1]}
+
+    asked = text.join(places, "row").select("row", "text", F.col("places.lo").alias("los"), F.col("places.hi").alias("his"), F.col("places.mark").alias("marks"))
+    near = cut(asked.mapInPandas(lambda batches: gathered(x for b in batches for x in neighbours(b)), "row long, q int, shared long, w1 long, w2 long"))
+    # One block of each kind serves as partner for all of them.
+    kinds = cut(near.groupBy("shared", "w1", "w2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "q")).alias("m")))
+    spanned = near.join(kinds.where("n > 1"), ["shared", "w1", "w2"], "left_semi").select("row", F.col("q").alias("start"), (F.col("q") + STEP - 1 + length).alias("stop"))
+    open_blocks = listed(repeated(kinds.select("shared", "m.row", "m.q"), "shared"), F.col("q"), "qs")
+
+    def strings(b: pd.DataFrame) -> Iterator[dict[str, np.ndarray]]:
+        for row, t, qs in zip(b["row"], b["text"], b["qs"], strict=True):
+            data = np.frombuffer(as_bytes(t), np.uint8)
+            p = np.unique(qs.astype(np.int64)[:, None] + np.arange(STEP))
+            p = p[(p >= 0) & (p <= len(data) - length)]
+            yield {"row": np.full(len(p), row), "p": p} | {f"h{k + 1}": span_hash(prefix_sums(data, k), p, p + length, k).view(np.int64) for k in (0, 1)}
+
+    found = text.join(open_blocks, "row").mapInPandas(lambda batches: gathered(x for b in batches for x in strings(b)), "row long, p int, h1 long, h2 long")
     starts = repeated(cut(found), "h1", "h2").select("row", F.col("p").alias("start"), (F.col("p") + length).alias("stop"))
-    spans = blocks.unionByName(starts).groupBy("row").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
+    spans = blocks.unionByName(spanned).unionByName(starts).groupBy("row").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
 
     def remove(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
