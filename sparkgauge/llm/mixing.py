@@ -47,7 +47,7 @@ def position(share, slope):
     return F.when(slope == 0, share).otherwise(bent)
 
 
-def plan_mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: Callable = default_weights, slope: Callable = default_slope, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def plan_mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: Callable = default_weights, slope: Callable = default_slope, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: tuple[str, ...] = ()) -> DataFrame:
     """Per document: doc_id, size, source, source_size, target, taken, copies, first_position, second_position.
 
     Size: words of the text (null: 0). Each source takes all its documents floor(target / source_size)
@@ -55,9 +55,9 @@ def plan_mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: Ca
     the rest; so taken is 0, 1 or 2 times the size, within one document of the target. A copy's position
     is where the integral of its source's weight schedule reaches the words taken before it. Cumulative
     sizes come from sums over ranges of the hash, so no source is gathered in one task. Equal ids are told
-    apart by their text's hash; a null source is a source of its own; an empty table gives no rows.
+    apart by their text's hash, then by the columns of carry, which the result keeps; a null source is a source of its own; an empty table gives no rows.
     """
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long").alias("size"), F.xxhash64(text_col).alias("_t"))
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long").alias("size"), F.xxhash64(text_col).alias("_t"), *carry)
     base = base.withColumn("h", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
     base = cut(base.withColumn("r", F.conv(F.substring("h", 1, 3), 16, 10).cast("int")))
     parts = base.groupBy("source", "r").agg(F.sum("size").alias("n"))
@@ -65,7 +65,7 @@ def plan_mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: Ca
     before = Window.partitionBy("source").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
     ranges = parts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
     ranges = ranges.join(sources, ranges.source.eqNullSafe(sources.source)).drop(sources.source)
-    within = Window.partitionBy("source", "r").orderBy("h", "doc_id", "_t").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source", "r").orderBy("h", "doc_id", "_t", *carry).rowsBetween(Window.unboundedPreceding, -1)
     rows = base.withColumn("ahead", F.coalesce(F.sum("size").over(within), F.lit(0)))
     x = rows.join(ranges, rows.source.eqNullSafe(ranges.source) & (rows.r == ranges.r)).drop(ranges.source).drop(ranges.r)
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
@@ -74,18 +74,19 @@ def plan_mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: Ca
     x = x.withColumn("copies", F.when(F.col("source_size") > 0, F.col("passes") + (F.col("ahead") + F.col("size") <= rest).cast("long")).otherwise(0))
     x = x.withColumn("taken", F.col("copies") * F.col("size"))
     at = lambda lap: F.when(F.col("copies") > lap, position(F.least(F.lit(1.0), (F.col("ahead") + lap * F.col("source_size")) / F.col("target")), slope(F.col("k"))))
-    return x.select("doc_id", "source", "size", "source_size", "target", "taken", "copies", at(0).alias("first_position"), at(1).alias("second_position"), F.col("_t").alias("text_hash"))
+    return x.select("doc_id", "source", "size", "source_size", "target", "taken", "copies", at(0).alias("first_position"), at(1).alias("second_position"), F.col("_t").alias("text_hash"), *carry)
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The documents in training order: each as often as the mix takes it, range-sorted by position.
 
-    Keeps the columns of documents. Positions are attached by a key of the row, so equal ids keep apart.
+    Keeps the columns of documents. The choice is plan_mix's, by id, whatever the layout of the files;
+    positions are attached by a key of the row, so equal ids keep apart.
     """
     path = scratch(docs.sparkSession, "mix")
     docs = numbered(docs)
-    plan = plan_mix(docs, id_col="_row", **options).where("copies > 0")
-    copies = plan.select(F.col("doc_id").alias("_row"), F.explode(F.expr("filter(array(first_position, second_position), x -> x is not null)")).alias("_at"))
+    plan = plan_mix(docs, carry=("_row",), **options).where("copies > 0")
+    copies = plan.select("_row", F.explode(F.expr("filter(array(first_position, second_position), x -> x is not null)")).alias("_at"))
     copies.write.parquet(path)
     copies = docs.sparkSession.read.parquet(path)
     return docs.join(copies, "_row").repartitionByRange("_at").sortWithinPartitions("_at", "_row").drop("_at", "_row")
