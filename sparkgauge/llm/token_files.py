@@ -21,6 +21,9 @@ ONE, ESCAPE = 15, 15
 BLOCK = 240
 MAGIC = b"S8BT0001"
 COUNT = np.array([n for _, n, _ in PACKING] + [1])
+WIDTHS = sorted({bits for *_, bits in PACKING})
+#: The first value too large for each width: a value needs the width whose number is how many of these it reaches.
+LIMITS = np.array([1 << bits for bits in WIDTHS], np.uint64)
 
 
 def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -36,27 +39,25 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     padded[:, :BLOCK] = flat.reshape(blocks, BLOCK)
     left = np.full(blocks, BLOCK)
     left[-1] = n - (blocks - 1) * BLOCK
-    # Best selector at every place: the first (densest) whose values all fit.
+    # Best selector at every place: the first (densest) whose values all fit. A selector that fits leaves all
+    # sparser ones fitting, so counting those that fit finds it; the widest value of a window is the
+    # maximum of two narrower windows that cover it.
+    widest, span = np.zeros((blocks, 2 * BLOCK), np.uint8), 1
+    widest[:, :BLOCK] = np.searchsorted(LIMITS, flat, "right").reshape(blocks, BLOCK)
     best = np.full((blocks, BLOCK), ESCAPE, np.uint8)
     for sel, count, bits in reversed(PACKING):
-        bad = padded >= (np.uint64(1) << np.uint64(bits))
-        run = np.concatenate([np.zeros((blocks, 1), np.int32), np.cumsum(bad, 1, dtype=np.int32)], 1)
-        fits = run[:, count : count + BLOCK] == run[:, :BLOCK]
-        best[fits] = sel
-    at = np.zeros(blocks, np.int64)
-    steps: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    live = np.arange(blocks)
+        more = count - span
+        widest, span = np.maximum(widest[:, : widest.shape[1] - more], widest[:, more:]), count
+        best -= widest[:, :BLOCK] <= WIDTHS.index(bits)
+    # Words begin where the words before them end; the last one of a block may run on over zeros.
+    begins = np.zeros((blocks, BLOCK), bool)
+    at, live = np.zeros(blocks, np.int64), np.arange(blocks)
     while len(live):
-        sel = best[live, at[live]].astype(np.int64)
-        # A word never passes the end of its block's values by more than zeros that the block's length cuts off.
-        steps.append((live, at[live].copy(), sel))
-        at[live] += COUNT[sel]
+        begins[live, at[live]] = True
+        at[live] += COUNT[best[live, at[live]]]
         live = live[at[live] < left[live]]
-    b = np.concatenate([s[0] for s in steps])
-    p = np.concatenate([s[1] for s in steps])
-    s = np.concatenate([s[2] for s in steps])
-    order = np.lexsort((p, b))
-    b, p, s = b[order], p[order], s[order]
+    b, p = np.nonzero(begins)
+    s = best[b, p].astype(np.int64)
     width = 1 + (s == ESCAPE)
     place = np.cumsum(width) - width
     words = np.zeros(int(width.sum()), np.uint64)

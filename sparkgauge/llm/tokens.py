@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import array
 import base64
 import re
 
-SPACES = re.compile(r"\s\s|[\x1c-\x1f]|<\|")
-SPLIT = re.compile(r"(?<!\s) (?!\s)")
-
+import numpy as np
 
 def place(name: str) -> str:
     import public_tokenizers
@@ -40,12 +37,12 @@ class TwoGenerations(dict):
 class ByteBpe:
     """Ids of the byte-level BPE as little-endian uint32 bytes, the same as the tokenizers library gives.
 
-    A single space between two characters that are not white space always begins a pre-token, so
-    the pieces between such spaces encode independently; repeated pieces come from the cache. Texts
-    with runs of white space are split by a pattern, texts with special strings go to the library whole.
+    The vocabulary's ranks encode whole texts several times faster than the library, and faster than a
+    cache of words over texts with many rare words; only texts with the start of a special string go to
+    the library, which knows these.
     """
 
-    def __init__(self, path: str | None = None, cache: int = 250_000):
+    def __init__(self, path: str | None = None):
         import public_tokenizers
         import tiktoken
         from tokenizers import Tokenizer
@@ -54,21 +51,12 @@ class ByteBpe:
         self.whole = Tokenizer.from_file(path)
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path.replace(".json", ".tiktoken"), "rb"))}
         self.ranks = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.cache = TwoGenerations(self.piece, cache)
-
-    def piece(self, chunk: str) -> bytes:
-        return array.array("I", self.ranks.encode_ordinary(chunk if chunk[:1] == "\n" else f" {chunk}")).tobytes()
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if SPACES.search(text) or text[0].isspace() or text[-1].isspace():
-            if "<|" in text:
-                return array.array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
-            first, *rest = SPLIT.split(text)
-        else:
-            first, *rest = text.replace("\n", " \n").split(" ")
-        return array.array("I", self.ranks.encode_ordinary(first)).tobytes() + b"".join(map(self.cache.__getitem__, rest))
+        ids = self.whole.encode(text, add_special_tokens=False).ids if "<|" in text else self.ranks.encode_ordinary(text)
+        return np.array(ids, "<u4").tobytes()
 
 
 class WordBpe:
