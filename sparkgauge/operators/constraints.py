@@ -4,45 +4,53 @@ from __future__ import annotations
 
 from math import log, sqrt
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ORDER = ("end_us", "request_id")
+from .ordered import running_sum, settle
 
+def failed() -> Column:
+    return F.when(F.col("status") == "errored", 1).otherwise(0)
 
-def in_order(keys: list[str], *order: str):
-    return Window.partitionBy(*keys).orderBy(*(order or ORDER))
+
+def counted(r: DataFrame, keys: list[str]) -> DataFrame:
+    """Finished requests with seq and errs: how many have ended, and how many of these with an error, itself included."""
+    x = running_sum(r.withColumns({"_one": F.lit(1), "_bad": failed()}), keys, "end_us", {"seq": "_one", "errs": "_bad"}, ties=("request_id",))
+    return x.drop("_one", "_bad")
+
+
+def recent_rate(o: DataFrame, window: int, keys: list[str], name: str = "rate") -> DataFrame:
+    """Adds the share of errors in the last `window` of counted requests: a difference of two running counts."""
+    before = o.select(*keys, (F.col("seq") + window).alias("seq"), F.col("errs").alias("_before"))
+    x = o.join(before, [*keys, "seq"], "left")
+    return x.withColumn(name, (F.col("errs") - F.coalesce("_before", F.lit(0))) / F.least("seq", F.lit(window))).drop("_before")
 
 
 def error_rate(r: DataFrame, most: float, window: int, keys=("run_index",)) -> DataFrame:
     """Adds seq, rate over the last `window` finished requests, and whether it stops the run."""
-    w = in_order(list(keys))
-    bad = F.when(F.col("status") == "errored", 1.0).otherwise(0.0)
-    out = r.withColumns({"seq": F.row_number().over(w), "rate": F.avg(bad).over(w.rowsBetween(1 - window, 0))})
+    out = recent_rate(settle(counted(r, list(keys))), window, list(keys)).drop("errs")
     return out.withColumn("triggered", (F.col("rate") >= most) & (F.col("seq") >= window))
 
 
 def first_triggers(r: DataFrame, max_requests=None, max_errors=None, max_duration_us=None, max_error_rate=None, max_global_error_rate=None, keys=("run_index",)) -> DataFrame:
     """(keys, name, seq): the first finished request at which each constraint triggers, where it does."""
     keys = list(keys)
-    w = in_order(keys)
-    bad = F.when(F.col("status") == "errored", 1).otherwise(0)
-    begin = F.min("start_us").over(Window.partitionBy(*keys))
-    o = r.withColumns({"seq": F.row_number().over(w).cast("bigint"), "errs": F.sum(bad).over(w), "elapsed": F.col("end_us") - begin})
+    begin = r.groupBy(*keys).agg(F.min("start_us").alias("_begin"))
+    o = counted(r, keys).join(begin, keys)
     when = {}
     if max_requests is not None:
         when["max_requests"] = F.col("seq") >= max_requests
     if max_errors is not None:
         when["max_errors"] = F.col("errs") >= max_errors
     if max_duration_us is not None:
-        when["max_duration"] = F.col("elapsed") >= max_duration_us
+        when["max_duration"] = F.col("end_us") - F.col("_begin") >= max_duration_us
     if max_global_error_rate is not None:
         rate, least = max_global_error_rate
         when["max_global_error_rate"] = (F.col("errs") >= rate * F.col("seq")) & (F.col("seq") >= least)
     if max_error_rate is not None:
         rate, window = max_error_rate
-        o = o.withColumn("recent", F.avg(bad.cast("double")).over(w.rowsBetween(1 - window, 0)))
-        when["max_error_rate"] = (F.col("recent") >= rate) & (F.col("seq") >= window)
+        o = recent_rate(settle(o), window, keys, "_recent")
+        when["max_error_rate"] = (F.col("_recent") >= rate) & (F.col("seq") >= window)
     s = o.groupBy(*keys).agg(*(F.min(F.when(c, F.col("seq"))).alias(n) for n, c in when.items()))
     return s.unpivot(keys, list(when), "name", "seq").where("seq is not null")
 
@@ -106,7 +114,7 @@ def phases(r: DataFrame, warmup: float, cooldown: float, keys=("run_index",)) ->
 def state_counts(r: DataFrame, keys=("run_index",)) -> DataFrame:
     """Running counts after every start and end of a request: created, processed, errored, processing."""
     e = r.select(*keys, "request_id", "status", F.explode(F.array(F.struct(F.col("start_us").alias("t"), F.lit(1).alias("d")), F.struct(F.col("end_us").alias("t"), F.lit(-1).alias("d")))).alias("e")).select(*keys, "request_id", "status", "e.*")
-    w = Window.partitionBy(*keys).orderBy("t", "d", "request_id").rowsBetween(Window.unboundedPreceding, 0)
-    n = lambda c: F.sum(F.when(c, 1).otherwise(0)).over(w)
-    out = e.withColumns({"created": n(F.col("d") == 1), "processed": n(F.col("d") == -1), "errored": n((F.col("d") == -1) & (F.col("status") == "errored"))})
+    is_end = F.col("d") == -1
+    e = e.withColumns({"_start": F.when(is_end, 0).otherwise(1), "_end": F.when(is_end, 1).otherwise(0), "_bad": F.when(is_end, failed()).otherwise(0)})
+    out = running_sum(e, list(keys), "t", {"created": "_start", "processed": "_end", "errored": "_bad"}, ties=("d", "request_id")).drop("_start", "_end", "_bad")
     return out.withColumn("processing", F.col("created") - F.col("processed"))

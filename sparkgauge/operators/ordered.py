@@ -30,13 +30,13 @@ def ranged(df: DataFrame, keys: list[str], order: str, ranges: int = RANGES) ->
     return (df.join(ends, keys) if keys else df.crossJoin(F.broadcast(ends))).withColumn("_r", at).drop("_lo", "_hi")
 
 
-def running_sum(df: DataFrame, keys: list[str], order: str, values: dict[str, str], ranges: int = RANGES) -> DataFrame:
-    """Adds, for each name: column of values, the sum up to and including the row. `order` is unique in a key."""
+def running_sum(df: DataFrame, keys: list[str], order: str, values: dict[str, str], ranges: int = RANGES, ties: tuple[str, ...] = ()) -> DataFrame:
+    """Adds, for each name: column of values, the sum up to and including the row. `order`, then `ties`, is unique in a key."""
     x = ranged(df, keys, order, ranges)
     sums = x.groupBy(*keys, "_r").agg(*(F.sum(c).alias(f"_s_{n}") for n, c in values.items()))
     before = Window.partitionBy(*keys).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(*keys, "_r", *(F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0)).alias(f"_b_{n}") for n in values))
-    within = Window.partitionBy(*keys, "_r").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy(*keys, "_r").orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, 0)
     x = x.join(sums, [*keys, "_r"])
     return x.withColumns({n: F.col(f"_b_{n}") + F.sum(c).over(within) for n, c in values.items()}).drop("_r", *(f"_b_{n}" for n in values))
 

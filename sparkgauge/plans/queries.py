@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import datasets, telemetry
+from . import datasets, graphs, telemetry
 
-QUERIES: dict = telemetry.QUERIES | datasets.QUERIES
-SQL: dict[str, str] = telemetry.SQL | datasets.SQL
+QUERIES: dict = telemetry.QUERIES | datasets.QUERIES | graphs.QUERIES
+SQL: dict[str, str] = telemetry.SQL | datasets.SQL | graphs.SQL
