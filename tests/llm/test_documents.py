@@ -10,7 +10,7 @@ import public_tokenizers as P
 import pytest
 from tokenizers import Tokenizer
 
-from sparkgauge.llm import license_scan, mixing, packing, quality_rules, token_count, token_files
+from sparkgauge.llm import license_scan, mixing, packing, quality_rules, token_count, token_files, tokens
 
 from .data import COLUMNS, ROWS, frame, texts
 
@@ -109,6 +109,20 @@ def test_token_files(spark, tmp_path):
     assert token_files.read_token_files(empty, f"{folder}2").collect() == []
 
 
+@pytest.mark.parametrize("blank", [" ", "\n", "\u3000", "\t \r\n"])
+def test_long_white_space(blank):
+    bpe, t = tokens.ByteBpe(), Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    for n in (tokens.RUN - 1, tokens.RUN, 1_000_000):
+        x = "left" + blank * (n // len(blank)) + "right"
+        assert np.frombuffer(bpe.encode(x), "<u4").tolist() == t.encode(x, add_special_tokens=False).ids
+
+
+def test_long_white_space_rows(spark):
+    x = "left" + "\n" * 1_000_000 + "right"
+    n = len(Tokenizer.from_file(P.path("byte_bpe_50k.json")).encode(x, add_special_tokens=False).ids) + 1
+    assert sum(r.length for r in packing.pack_documents(frame(spark, [(0, x, "s", "x")])).collect()) == n
+
+
 def test_simple8b_round_trip():
     r = np.random.default_rng(0)
     for n in (0, 1, 2, 239, 240, 241, 3000):
