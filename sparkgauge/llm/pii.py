@@ -19,8 +19,12 @@ PATTERN = {
 }
 HINT = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 SPAN = "array<struct<start:int,rank:int,stop:int,value:string>>"
-#: Candidates for unseen identifiers: a word with a digit, of six characters or more, after a word on the same line.
-CANDIDATE = r"(?<![^\x20\x09\n])[^\x20\x09-\x0D]++[\x20\x09]++(?=[^\x20\x09-\x0D]*[0-9])[^\x20\x09-\x0D]{6,}+"
+VALUE = r"(?=[^\x20\x09-\x0D]*[0-9])[^\x20\x09-\x0D]{6,}+"
+#: Candidates for unseen identifiers: a word with a digit, of six characters or more, with the word before it on the line.
+#: The match is the word before alone, so that a candidate is also the word before the next; the group is both words.
+CANDIDATE = r"(?<![^\x20\x09-\x0D])(?=([^\x20\x09-\x0D]++[\x20\x09]++" + VALUE + r"))[^\x20\x09-\x0D]++"
+#: Candidates at the start of a line, which have no word before them.
+FIRST = r"(?:\A|(?<=[\x0A-\x0D]))[\x20\x09]*+" + VALUE
 
 
 def digits(x: Column) -> Column:
@@ -43,9 +47,13 @@ def valid(kind: str, x: Column) -> Column:
     return F.lit(True)
 
 
-def matches(text: Column, pattern: str, rank: int, keep=None) -> Column:
-    """Spans of all matches in code points: the texts between matches and the matches, measured in turn."""
+def matches(text: Column, pattern: str, rank: int, keep=None, group: int = 0) -> Column:
+    """Spans of all matches in code points: the texts between matches and the matches, measured in turn.
+
+    A group that starts where its match does may reach beyond it; the spans are the group's then.
+    """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
     between = F.transform(F.split(text, pattern, -1), F.length)
     start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
 
@@ -53,9 +61,10 @@ def matches(text: Column, pattern: str, rank: int, keep=None) -> Column:
         a = acc["at"] + x["gap"]
         z = a + F.length(x["value"])
         span = F.struct(a.alias("start"), F.lit(rank).alias("rank"), z.alias("stop"), x["value"].alias("value"))
-        return F.struct(z.alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
+        return F.struct((a + x["length"]).alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
 
-    pairs = F.zip_with(found, F.slice(between, 1, F.size(found)), lambda v, g: F.struct(v.alias("value"), g.alias("gap")))
+    steps = F.zip_with(found, F.slice(between, 1, F.size(found)), lambda m, g: F.struct(F.length(m).alias("length"), g.alias("gap")))
+    pairs = F.zip_with(values, steps, lambda v, x: F.struct(v.alias("value"), x["length"].alias("length"), x["gap"].alias("gap")))
     spans = F.aggregate(pairs, start, step)["spans"]
     return F.filter(spans, lambda s: keep(s["value"])) if keep else spans
 
@@ -81,7 +90,7 @@ def shape_of(value: Column) -> Column:
 def bootstrap(found: DataFrame, rounds: int, least: float) -> DataFrame:
     """(row, start, stop, value) of unseen identifiers, by iterative scoring of the pattern-instance graph.
 
-    Instances are (shape of the value); patterns are (word before, lower-cased). Seeds are candidates that
+    Instances are (shape of the value); patterns are (word before, lower-cased; empty at the start of a line). Seeds are candidates that
     overlap a base span. In each round a pattern's score is the share of its occurrences that seeds or
     trusted shapes account for, smoothed; a shape's score is the mean score of its patterns, weighted by
     occurrences. All counts are pre-aggregated to (pattern, shape) rows, which is what the rounds read.
@@ -106,13 +115,14 @@ def bootstrap(found: DataFrame, rounds: int, least: float) -> DataFrame:
 def labelled(rows: DataFrame, rounds: int = 3, least: float = 0.5) -> DataFrame:
     """rows (row, text) with their spans: base and those of the method."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    x = rows.select("row", *(base_spans(text, k).alias(k) for k in KINDS), F.when(F.regexp_like(text, F.lit("[0-9]")), matches(text, CANDIDATE, len(KINDS))).otherwise(F.array().cast(SPAN)).alias("raw"))
+    raw = F.concat(matches(text, CANDIDATE, len(KINDS), group=1), matches(text, FIRST, len(KINDS)))
+    x = rows.select("row", *(base_spans(text, k).alias(k) for k in KINDS), F.when(F.regexp_like(text, F.lit("[0-9]")), raw).otherwise(F.array().cast(SPAN)).alias("raw"))
     x = x.withColumn("base", F.concat(*KINDS))
 
     def candidate(s: Column) -> Column:
-        before = F.regexp_extract(s["value"], r"^([^\x20\x09-\x0D]+)", 1)
+        before = F.regexp_extract(s["value"], r"^([^\x20\x09-\x0D]+)[\x20\x09]", 1)
         value = F.regexp_replace(F.regexp_extract(s["value"], r"([^\x20\x09-\x0D]+)$", 1), r"[.,;:!?\)\]\"']+$", "")
-        lead = F.length(F.regexp_extract(s["value"], r"^([^\x20\x09-\x0D]+[\x20\x09]+)", 1))
+        lead = F.length(F.regexp_extract(s["value"], r"^((?:[^\x20\x09-\x0D]+(?=[\x20\x09]))?[\x20\x09]*)", 1))
         start = s["start"] + lead
         stop = start + F.length(value)
         seed = F.exists("base", lambda b: (b["start"] < stop) & (b["stop"] > start))

@@ -3,10 +3,12 @@
 import hashlib
 import re
 
+from pyspark.sql import functions as F
+
 from sparkgauge.llm import pii
 
 from .data import ROWS, frame, texts
-from .test_documents import by_id
+from .test_documents import by_id, lower
 
 RE = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -70,3 +72,27 @@ def test_redact(spark):
     got = by_id(out)
     assert got[7].text == "mail [EMAIL] or [PHONE] from [IP] with [CARD] now"
     assert all(got[i].text == t for i, t, *_ in ROWS if i not in (7,))
+
+
+def test_every_word_is_a_candidate(spark):
+    rows = ROWS + MORE[:-1] + [(60, "badge AB123456 CD234567 EF345678", "s", "x"), (61, "2024-01-15 12345678 x\n  GH456789.\r\n\tIJ567890 KL678901\x0bMN789012\x0c🙂 é12345, short1 x", "s", "x"), (62, "9" * 3000 + " x" * 3000 + " OP890123", "s", "x")]
+    text = frame(spark, rows).select(F.struct(F.col("doc_id").alias("doc_id")).alias("row"), "text")
+    got = {r.row.doc_id: r.candidates for r in pii.labelled(text).select("row", "candidates").collect()}
+    for i, t, *_ in rows:
+        want = []
+        for line in re.finditer(r"[^\x0A-\x0D]+", t or ""):
+            before = ""
+            for m in re.finditer(r"[^\x20\x09]+", line[0]):
+                if len(m[0]) >= 6 and re.search("[0-9]", m[0]):
+                    value = re.sub(r"[.,;:!?\)\]\"']+$", "", m[0])
+                    a = line.start() + m.start()
+                    want.append((a, a + len(value), value, before))
+                before = lower(m[0])[:64]
+        assert sorted((c.start, c.stop, c.value, lower(c.word)) for c in got[i]) == want, i
+
+
+def test_runs_of_identifiers_are_found_whole(spark):
+    rows = [(i, f"badge user{i}@x.example.com\nuser{i}@x.example.com user{i + 1}@x.example.com", "s", "x") for i in range(30)]
+    rows += [(100, "user5(at)x.example.com", "s", "x"), (101, "badge user5(at)x.example.com\nuser6(at)x.example.com", "s", "x")]
+    got = by_id(pii.find_pii(frame(spark, rows)))
+    assert got[100].spans == "id:0:22" and got[101].spans == "id:6:28,id:29:51"
