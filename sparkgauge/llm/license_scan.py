@@ -35,57 +35,52 @@ def freedom(name: str) -> float:
     return FREEDOM[max(known, key=len)] if known else UNKNOWN
 
 
-def parse(text: str) -> tuple[float | None, list[str], int]:
-    """The longest valid licence expression at the start of text: its value, its licence ids, its end.
+def parse(text: str, at: int = 0) -> tuple[float | None, list[str], int]:
+    """The longest valid licence expression at a place of text: its value, its licence ids, its end.
 
     Shunting-yard with precedence with > and > or: or takes the freest choice, and the strictest,
-    with adds an exception to what stands before it. No valid expression: (None, [], 0).
+    with adds an exception to what stands before it. No valid expression: (None, [], 0). The stacks are
+    kept from token to token, and outside parentheses at most three operators wait, so a long
+    expression takes time in proportion to its length.
     """
-    best: tuple[float | None, list[str], int] = (None, [], 0)
-    tokens, at, opened, want = [], 0, 0, True
+    value, known, stop = None, 0, 0
+    values: list[float] = []
+    names: list[str] = []
+    ops: list[str] = []
+    opened, want, last = 0, True, ""
     while m := TOKEN.match(text, at):
         t = m[1].lower()
         operand = t not in RANK and t not in "()"
         if (operand or t == "(") != want or t == ")" and not opened:
             break
-        tokens.append(t)
-        opened += (t == "(") - (t == ")")
-        want = t == "(" or t in RANK
-        at = m.end()
-        if not want and not opened:
-            best = (*evaluate(tokens), at)
-        if len(tokens) > 200:
-            break
-    return best
-
-
-def evaluate(tokens: list[str]) -> tuple[float, list[str]]:
-    values: list[float] = []
-    names: list[str] = []
-    ops: list[str] = []
-
-    def apply() -> None:
-        op, b, a = ops.pop(), values.pop(), values.pop()
-        values.append(max(a, b) if op == "or" else min(a, b) if op == "and" else min(1.0, a + EXCEPTION))
-
-    for i, t in enumerate(tokens):
         if t in RANK:
             while ops and ops[-1] != "(" and RANK[ops[-1]] >= RANK[t]:
-                apply()
+                apply(ops, values)
             ops.append(t)
         elif t == "(":
             ops.append(t)
         elif t == ")":
             while ops[-1] != "(":
-                apply()
+                apply(ops, values)
             ops.pop()
         else:
             values.append(freedom(t))
-            if not i or tokens[i - 1] != "with":
+            if last != "with":
                 names.append(t)
-    while ops:
-        apply()
-    return values[0], names
+        opened += (t == "(") - (t == ")")
+        want, last = t == "(" or t in RANK, t
+        at = m.end()
+        if not want and not opened:
+            waiting, rest = ops.copy(), values.copy()
+            while waiting:
+                apply(waiting, rest)
+            value, known, stop = rest[0], len(names), at
+    return value, names[:known], stop
+
+
+def apply(ops: list[str], values: list[float]) -> None:
+    op, b, a = ops.pop(), values.pop(), values.pop()
+    values.append(max(a, b) if op == "or" else min(a, b) if op == "and" else min(1.0, a + EXCEPTION))
 
 
 def automaton():
@@ -125,7 +120,7 @@ def scan(text: str | None, a) -> tuple[int, int, int | None, int | None, str, st
         value = min(freedom(x) for x in named)
     if tags:
         for m in re.finditer(r"license-identifier:", low):
-            v, names, _ = parse(low[m.end() : m.end() + 4000])
+            v, names, _ = parse(low, m.end())
             if v is not None:
                 labels |= set(names)
                 value = v if value is None else min(value, v)

@@ -48,6 +48,16 @@ def test_expressions():
     assert license_scan.parse(" mit or ) x")[1] == ["mit"]
 
 
+def test_long_expressions():
+    a = license_scan.automaton()
+    for n in (150, 3000, 200_000):
+        long = "mit and " * n
+        assert license_scan.parse(long + "proprietary")[:2] == (0.0, ["mit"] * n + ["proprietary"])
+        assert license_scan.parse("gpl or " + "(" * n + "mit" + ")" * n + " and isc with x and proprietary or and")[:2] == (0.3, ["gpl", "mit", "isc", "proprietary"])
+        found = license_scan.scan(f"SPDX-License-Identifier: {long}proprietary", a)
+        assert found[5:] == ("mit,proprietary", 0.0)
+
+
 def test_quality_base(spark):
     got = by_id(quality_rules.score_documents(frame(spark, ALL)))
     for i, t, *_ in ALL:
