@@ -52,14 +52,14 @@ def plan_mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: Ca
 
     Size: words of the text (null: 0). Each source takes all its documents floor(target / source_size)
     times, then once more those whose cumulative size, in an order by a hash of the id, stays within
-    the rest; so taken is 0, 1 or 2 times the size, within one document of the target. A copy's position
-    is where the integral of its source's weight schedule reaches the words taken before it. Cumulative
+    the rest; so taken is 0, 1 or 2 times the size. The room that this leaves goes to the documents behind
+    (see `fill`) until none fits; a source never goes above its target. A copy's position is where the integral of its source's weight schedule reaches the words taken before it. Cumulative
     sizes come from sums over ranges of the hash, so no source is gathered in one task. Equal ids are told
     apart by their text's hash, then by the columns of carry, which the result keeps; a null source is a source of its own; an empty table gives no rows.
     """
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long").alias("size"), F.xxhash64(text_col).alias("_t"), *carry)
     base = base.withColumn("h", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
-    base = cut(base.withColumn("r", F.conv(F.substring("h", 1, 3), 16, 10).cast("int")))
+    base = cut(base.withColumn("r", F.conv(F.substring("h", 1, 3), 16, 10).cast("int")).withColumn("_n", F.monotonically_increasing_id()))
     parts = base.groupBy("source", "r").agg(F.sum("size").alias("n"))
     sources = targets(parts.groupBy("source").agg(F.sum("n").alias("source_size")), weights, share, most)
     before = Window.partitionBy("source").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
@@ -71,12 +71,47 @@ def plan_mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: Ca
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     x = x.withColumn("passes", passes).withColumn("ahead", F.col("before") + F.col("ahead"))
     rest = F.col("target") - F.col("passes") * F.col("source_size")
-    x = x.withColumn("copies", F.when(F.col("source_size") > 0, F.col("passes") + (F.col("ahead") + F.col("size") <= rest).cast("long")).otherwise(0))
+    fits = (F.col("source_size") > 0) & (F.col("ahead") + F.col("size") <= rest)
+    x = cut(x.withColumn("rest", rest).withColumn("fits", fits))
+    rooms = x.groupBy("source").agg(F.first("rest").alias("rest"), F.sum(F.when(F.col("fits"), F.col("size")).otherwise(0)).alias("used"))
+    more = fill(x.where(~F.col("fits") & (F.col("size") > 0)).select("source", "r", "h", "doc_id", "_t", "_n", "size", *carry), cut(rooms), carry)
+    x = x.join(more, "_n", "left").withColumn("last", F.coalesce("at", "ahead"))
+    x = x.withColumn("copies", F.when(F.col("source_size") > 0, F.col("passes") + (F.col("fits") | F.col("at").isNotNull()).cast("long")).otherwise(0))
     x = x.withColumn("taken", F.col("copies") * F.col("size"))
-    at = lambda lap: F.when(F.col("copies") > lap, position(F.least(F.lit(1.0), (F.col("ahead") + lap * F.col("source_size")) / F.col("target")), slope(F.col("k"))))
+    words = lambda lap: F.when(F.col("passes") == lap, F.col("last")).otherwise(F.col("ahead")) + lap * F.col("source_size")
+    at = lambda lap: F.when(F.col("copies") > lap, position(F.least(F.lit(1.0), words(lap) / F.col("target")), slope(F.col("k"))))
     return x.select("doc_id", "source", "size", "source_size", "target", "taken", "copies", at(0).alias("first_position"), at(1).alias("second_position"), F.col("_t").alias("text_hash"), *carry)
 
 
+def fill(left: DataFrame, rooms: DataFrame, carry: tuple[str, ...]) -> DataFrame:
+    """(_n, at): rows of left that go into the room of their source, and the words taken before each.
+
+    A round offers the room to the documents that fit it, those of at most half of it first, each kind in
+    hash order, and takes them up to the first that doesn't fit. So the room halves or every small
+    document is taken, of the others one fits at most, and the rounds are about the logarithm of the room.
+    Running sums are made by ranges, and only ranges that the room reaches are sorted.
+    """
+    found = None
+    while True:
+        s = rooms.select(F.col("source").alias("_s"), "used", (F.col("rest") - F.col("used")).alias("room"))
+        left = cut(left.join(s, F.col("source").eqNullSafe(F.col("_s"))).where(F.col("size") <= F.col("room")).drop("_s"))
+        if not left.head(1):
+            break
+        x = left.withColumn("part", F.col("r") + RANGES * (2 * F.col("size") > F.col("room")).cast("int"))
+        w = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        parts = x.groupBy("source", "part", "room").agg(F.sum("size").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0)))
+        parts = parts.where(F.col("before") < F.col("room")).select(F.col("source").alias("_s"), F.col("part").alias("_p"), "before")
+        x = x.join(parts, F.col("source").eqNullSafe(F.col("_s")) & (F.col("part") == F.col("_p")))
+        w = Window.partitionBy("source", "part").orderBy("h", "doc_id", "_t", *carry).rowsBetween(Window.unboundedPreceding, -1)
+        x = x.withColumn("ahead", F.col("before") + F.coalesce(F.sum("size").over(w), F.lit(0))).where(F.col("ahead") + F.col("size") <= F.col("room"))
+        new = cut(x.select("source", "size", "_n", (F.col("used") + F.col("ahead")).alias("at")))
+        found = new.select("_n", "at") if found is None else found.unionByName(new.select("_n", "at"))
+        took = new.groupBy(F.col("source").alias("_s")).agg(F.sum("size").alias("took"))
+        rooms = cut(rooms.join(took, F.col("source").eqNullSafe(F.col("_s")), "left").withColumn("used", F.col("used") + F.coalesce("took", F.lit(0))).drop("_s", "took"))
+        left = left.drop("used", "room").join(new.select("_n"), "_n", "left_anti")
+    return left.select("_n", F.lit(0).cast("long").alias("at")) if found is None else found
+
+
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The documents in training order: each as often as the mix takes it, range-sorted by position.
 

@@ -211,6 +211,24 @@ def test_mixing(spark):
     assert mixing.plan_mix(frame(spark, [])).count() == 0
 
 
+def test_mixing_fills_the_room(spark):
+    r = np.random.default_rng(3)
+    sizes = [("long", n) for n in (50_000, *r.integers(1, 60, 300).tolist())] + [("one", 9000)] + [("even", 100)] * 40 + [(None, int(n)) for n in r.integers(1, 3000, 200)] + [("big", 300_000)]
+    rows = [(i, "a " * n, s, "x") for i, (s, n) in enumerate(sizes)]
+    for share in (0.3, 1.2):
+        got = mixing.plan_mix(frame(spark, rows), share=share).collect()
+        assert len(got) == len(rows)
+        for s in {s for s, _ in sizes}:
+            own = [x for x in got if x.source == s]
+            target, taken, passes = own[0].target, sum(x.taken for x in own), own[0].target // own[0].source_size
+            spare = [x.size for x in own if x.copies == passes]
+            assert target >= taken - 1e-6 and all(n > target - taken for n in spare), (share, s)
+            last = sorted((x.second_position if passes else x.first_position, x.size) for x in own if x.copies > passes)
+            assert len({p for p, _ in last}) == len(last)  # copies of a lap follow one another
+    plan = mixing.plan_mix(frame(spark, [(i, "a " * n, "s", "x") for i, n in enumerate([50_000] + [10] * 1000)]), share=0.5)
+    assert sum(x.taken for x in plan.collect()) == 10_000
+
+
 def test_positions(spark):
     from pyspark.sql import functions as F
 
