@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
 from .tokens import ByteBpe
 
 
@@ -71,13 +72,17 @@ def best_step(a: int, others: list[int], bins, fill, lengths, size):
     full = np.array([fill[k] for k in others])
     room, have = size - np.array(fill)[owner], np.array(fill)[owner]
     best = (0, None)
-    mine = bins[a]
-    singles = {lengths[i]: (i,) for i in sorted(mine, reverse=True)}
+    mine: dict[int, list[int]] = {}  # by length; distinct lengths that fit in a bin are few
+    for i in sorted(bins[a]):
+        mine.setdefault(lengths[i], []).append(i)
+    singles = {n: (own[0],) for n, own in mine.items()}
     pairs: dict[int, tuple] = {}
-    if len(mine) <= 64:
-        for x in range(len(mine)):
-            for y in range(x):
-                pairs.setdefault(lengths[mine[x]] + lengths[mine[y]], (mine[x], mine[y]))
+    for n, own in mine.items():
+        for m, more in mine.items():
+            if m < n:
+                pairs.setdefault(n + m, (own[0], more[0]))
+        if len(own) > 1:
+            pairs.setdefault(2 * n, (own[0], own[1]))
     for n, out in singles.items():  # one item moves
         gain = np.where(free >= n, 2 * n * (full - fill[a] + n), 0)
         if (g := gain.max()) > best[0]:
@@ -127,13 +132,14 @@ def pack_documents(docs: DataFrame, size: int = 1024, path: str | None = None, e
     """One row per piece with its place: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Items are dealt by a hash over groups of about group_items, whose number follows the number of
-    documents; each group is packed whole in one task of bounded memory, and costs at most about one
+    pieces; each group is packed whole in one task of bounded memory, and costs at most about one
     sequence more than packing all at once. A null text is the end id alone; a null id and repeated ids
     are packed like others; an empty table gives no rows; other columns are not carried.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    groups = max(1, round(docs.count() / group_items))
-    pieces = cut_pieces(docs, size, path, end_id).withColumn("g", F.pmod(F.xxhash64("doc_id", "ids_crc32"), F.lit(groups)))
+    pieces = cut(cut_pieces(docs, size, path, end_id), "pieces")
+    groups = max(1, round(pieces.count() / group_items))
+    pieces = pieces.withColumn("g", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values(["doc_id", "piece", "ids_crc32"], kind="stable").reset_index(drop=True)

@@ -178,6 +178,20 @@ def test_swaps_empty_bins():
     assert packing.improve([], [], 10) == []
 
 
+def test_pairs_leave_bins_of_many_items():
+    lengths = [7] * 70 + [12] * 83
+    bins = packing.improve([list(range(70)), list(range(70, 153))], lengths, 1000)
+    assert sorted(sum(lengths[i] for i in b) for b in bins) == [486, 1000] and sorted(sum(bins, [])) == list(range(153))
+
+
+def test_groups_follow_pieces(spark):
+    rows = [(0, "word " * 30_000, "s", "x")]
+    got = packing.pack_documents(frame(spark, rows), size=64, group_items=50)
+    n = round(got.count() / 50)
+    dealt = got.selectExpr(f"sequence_id % {n} = pmod(xxhash64(doc_id, piece, ids_crc32), {n}) as own", f"sequence_id % {n} as g").collect()
+    assert n > 4 and all(r.own for r in dealt) and len({r.g for r in dealt}) == n
+
+
 def test_mixing(spark):
     rows = [(a, b, c, d) for a, b, c, d in ALL]
     got = by_id(mixing.plan_mix(frame(spark, rows)))
