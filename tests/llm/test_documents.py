@@ -89,7 +89,7 @@ def test_em_finds_accuracies():
     y = r.random(20000) < 0.8
     right = [0.95, 0.8, 0.7, 0.9]
     v = np.stack([np.where(r.random(20000) < 0.2, 0, np.where((r.random(20000) < a) == y, 1, -1)) for a in right], 1)
-    model = quality_rules.learn(sorted(Counter(map(tuple, v.tolist())).items()), trust=(1e-3, 1e-3))
+    model = quality_rules.learn(sorted(Counter(map(tuple, v.tolist())).items()), trust=1e-3)
     table = np.array(model["table"])
     assert abs(model["prior"] - 0.8) < 0.03
     assert np.allclose(table[:, 0, 2] / (table[:, 0, 0] + table[:, 0, 2]), right, atol=0.06)
