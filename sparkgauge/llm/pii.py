@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, numbered
+from .common import cut, free_name
 
 #: Kinds in the order of the contract; the method's own kind comes last.
 KINDS = ("email", "ip", "card", "phone")
@@ -19,12 +19,14 @@ PATTERN = {
 }
 HINT = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 SPAN = "array<struct<start:int,rank:int,stop:int,value:string>>"
-VALUE = r"(?=[^\x20\x09-\x0D]*[0-9])[^\x20\x09-\x0D]{6,}+"
-#: Candidates for unseen identifiers: a word with a digit, of six characters or more, with the word before it on the line.
-#: The match is the word before alone, so that a candidate is also the word before the next; the group is both words.
-CANDIDATE = r"(?<![^\x20\x09-\x0D])(?=([^\x20\x09-\x0D]++[\x20\x09]++" + VALUE + r"))[^\x20\x09-\x0D]++"
-#: Candidates at the start of a line, which have no word before them.
-FIRST = r"(?:\A|(?<=[\x0A-\x0D]))[\x20\x09]*+" + VALUE
+#: Values that may be identifiers: words of six characters or more with a digit in them.
+VALUE = r"(?<![^\x20\x09-\x0D])(?=[^\x20\x09-\x0D]*[0-9])[^\x20\x09-\x0D]{6,}+"
+GAP = r"[\x20\x09-\x0D]+"
+#: Seeds beyond the base kinds: unbroken strings of 20 characters or more that mix digits with letters, as keys and tokens are.
+SECRET = r"^(?=(?:[^0-9]*[0-9]){4})(?=(?:[^A-Za-z]*[A-Za-z]){4})[A-Za-z0-9+/_=.-]{20,}$"
+LEAD, TRAIL = r"^[\"'(\[{<]+", r"[\"')\]}>.,;:!?]+$"
+#: Stand for a neighbouring value, and for the end of the text, within a context.
+SLOT, EDGE = "<value>", "<edge>"
 
 
 def digits(x: Column) -> Column:
@@ -47,25 +49,29 @@ def valid(kind: str, x: Column) -> Column:
     return F.lit(True)
 
 
-def matches(text: Column, pattern: str, rank: int, keep=None, group: int = 0) -> Column:
-    """Spans of all matches in code points: the texts between matches and the matches, measured in turn.
+def running(x: Column) -> Column:
+    """Running sums of an array of numbers: within blocks of about the root of its size, then over blocks."""
 
-    A group that starts where its match does may reach beyond it; the spans are the group's then.
-    """
+    def sums(y: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(y, start, lambda a, v: F.struct((a["at"] + v).alias("at"), F.concat(a["out"], F.array(a["at"] + v)).alias("out")))["out"]
+
+    width = F.ceil(F.sqrt(F.size(x))).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), F.ceil(F.size(x) / width).cast("int") - 1), lambda b: sums(F.slice(x, b * width + 1, width)))
+    before = lambda b: sums(F.transform(b, lambda y: F.element_at(y, -1)))
+    shifted = F.zip_with(blocks, before(blocks), lambda b, z: F.transform(b, lambda v: v + z - F.element_at(b, -1)))
+    return F.when(F.size(x) > 0, F.flatten(shifted)).otherwise(F.array().cast("array<int>"))
+
+
+def ends(found: Column, pieces: Column) -> Column:
+    """Where each match ends, in code points, from the texts between matches and the matches."""
+    return running(F.zip_with(found, F.slice(pieces, 1, F.size(found)), lambda m, g: F.length(m) + F.length(g)))
+
+
+def matches(text: Column, pattern: str, rank: int, keep=None) -> Column:
+    """Spans of all matches in code points."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
-    between = F.transform(F.split(text, pattern, -1), F.length)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
-
-    def step(acc: Column, x: Column) -> Column:
-        a = acc["at"] + x["gap"]
-        z = a + F.length(x["value"])
-        span = F.struct(a.alias("start"), F.lit(rank).alias("rank"), z.alias("stop"), x["value"].alias("value"))
-        return F.struct((a + x["length"]).alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
-
-    steps = F.zip_with(found, F.slice(between, 1, F.size(found)), lambda m, g: F.struct(F.length(m).alias("length"), g.alias("gap")))
-    pairs = F.zip_with(values, steps, lambda v, x: F.struct(v.alias("value"), x["length"].alias("length"), x["gap"].alias("gap")))
-    spans = F.aggregate(pairs, start, step)["spans"]
+    spans = F.zip_with(found, ends(found, F.split(text, pattern, -1)), lambda v, z: F.struct((z - F.length(v)).alias("start"), F.lit(rank).alias("rank"), z.alias("stop"), v.alias("value")))
     return F.filter(spans, lambda s: keep(s["value"])) if keep else spans
 
 
@@ -80,88 +86,107 @@ def joined(spans: Column) -> Column:
     return F.concat_ws(",", F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", F.element_at(names, s["rank"] + 1), s["start"].cast("string"), s["stop"].cast("string"))))
 
 
-def shape_of(value: Column) -> Column:
-    """What a value looks like: letters, digits and hex runs without their lengths, with its length's class."""
-    x = F.regexp_replace(value, r"[.,;:!?\)\]\"']+$", "")
-    x = F.regexp_replace(F.regexp_replace(F.regexp_replace(x, "[A-Z]+", "A"), "[a-z]+", "a"), "[0-9]+", "9")
-    return F.substring(F.regexp_replace(x, "([A-Za]9){2,}[A-Za]?|(9[A-Za]){2,}9?", "x"), 1, 24)
+def is_seed(value: Column) -> Column:
+    """Whether a value is by itself of a base kind, or an unbroken key of letters and digits."""
+    whole = {k: F.regexp_like(value, F.lit(f"^(?:{p})$")) & valid(k, value) for k, p in PATTERN.items()}
+    return whole["email"] | whole["ip"] | whole["card"] | whole["phone"] | F.regexp_like(value, F.lit(SECRET))
+
+
+def short(x: Column) -> Column:
+    """A key of x: x itself, or a digest where it is long."""
+    return F.when(F.length(x) > 64, F.md5(x.cast("binary"))).otherwise(x)
 
 
-def bootstrap(found: DataFrame, rounds: int, least: float) -> DataFrame:
-    """(row, start, stop, value) of unseen identifiers, by iterative scoring of the pattern-instance graph.
+def contexts(text: Column) -> Column:
+    """Spans of the values of a text with their lexical patterns: two words before, two words after, one word on either side."""
+    found = F.regexp_extract_all(text, F.lit(VALUE), F.lit(0))
+    pieces = F.split(text, VALUE, -1)
+    gaps = F.transform(pieces, lambda p: F.trim(F.regexp_replace(F.lower(p), GAP, " ")))
+    mark = lambda at, edge: F.when(at == edge, EDGE).otherwise(SLOT)
+    before = F.transform(gaps, lambda g, i: F.substring_index(F.trim(F.concat(mark(i, 0), F.lit(" "), g)), " ", -2))
+    after = F.transform(gaps, lambda g, i: F.substring_index(F.trim(F.concat(g, F.lit(" "), mark(i, F.size(found)))), " ", 2))
+    around = F.zip_with(F.slice(before, 1, F.size(found)), F.slice(after, 2, F.size(found)), lambda b, a: F.struct(b.alias("b"), a.alias("a")))
+    placed = F.zip_with(found, ends(found, pieces), lambda v, z: F.struct(v.alias("v"), z.alias("z")))
 
-    Instances are (shape of the value); patterns are (word before, lower-cased; empty at the start of a line). Seeds are candidates that
-    overlap a base span. In each round a pattern's score is the share of its occurrences that seeds or
-    trusted shapes account for, smoothed; a shape's score is the mean score of its patterns, weighted by
-    occurrences. All counts are pre-aggregated to (pattern, shape) rows, which is what the rounds read.
+    def candidate(p: Column, c: Column) -> Column:
+        value = F.regexp_replace(F.regexp_replace(p["v"], LEAD, ""), TRAIL, "")
+        start = p["z"] - F.length(p["v"]) + F.length(F.regexp_extract(p["v"], LEAD, 0))
+        one = F.concat_ws(" _ ", F.substring_index(c["b"], " ", -1), F.substring_index(c["a"], " ", 1))
+        patterns = F.array(F.concat(c["b"], F.lit(" _")), F.concat(F.lit("_ "), c["a"]), one)
+        known = F.filter(patterns, lambda x: ~x.isin(f"{EDGE} _", f"_ {EDGE}", f"{EDGE} _ {EDGE}"))
+        return F.struct(start.alias("start"), (start + F.length(value)).alias("stop"), value.alias("value"), F.transform(known, short).alias("patterns"))
+
+    return F.zip_with(placed, around, candidate)
+
+
+def bootstrap(found: DataFrame, rounds: int, least: float, support: int) -> DataFrame:
+    """(row, start, stop, value) of unseen identifiers, by iterative scoring of the graph of patterns and instances.
+
+    Instances are distinct values, patterns the words around them. Seeds have confidence 1. In each round
+    a pattern's score is the mean confidence of the distinct instances that it extracts; it is trusted
+    where `support` of them and the share `least` are known, so a frequent context of other words never is.
+    An instance then gets the best score of its trusted patterns. What a trusted pattern of the last round
+    extracts is an identifier. The rounds read (pattern, instance) rows only.
     """
-    cand = found.select("row", F.explode("candidates").alias("c"), "base").select(
-        "row", F.col("c.start").alias("start"), F.col("c.stop").alias("stop"), F.col("c.value").alias("value"), F.col("c.word").alias("word"), F.col("c.seed").alias("seed")
-    ).withColumn("shape", shape_of("value"))
-    graph = cut(cand.groupBy("word", "shape").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("seed").cast("long")).alias("seeds")))
-    known = graph.groupBy("shape").agg((F.sum("seeds") / F.sum("n")).alias("score"))
-    for _ in range(rounds):
-        g = graph.join(known, "shape")
-        pattern = g.groupBy("word").agg((F.sum(F.col("n") * F.col("score")) / (F.sum("n") + 1)).alias("p"))
-        scored = graph.join(pattern, "word")
-        new = scored.groupBy("shape").agg((F.sum(F.col("n") * F.col("p")) / F.sum("n")).alias("s"), (F.sum("seeds") / F.sum("n")).alias("own"))
-        known = cut(new.select("shape", F.greatest("own", "s").alias("score")))
-    trusted = pattern.where(F.col("p") >= least).select("word")
-    shapes = known.where(F.col("score") >= least).select("shape")
-    new = cand.where(~F.col("seed"))
-    return new.join(trusted, "word", "left_semi").join(shapes, "shape", "left_semi").select("row", "start", "stop", "value")
-
-
-def labelled(rows: DataFrame, rounds: int = 3, least: float = 0.5) -> DataFrame:
-    """rows (row, text) with their spans: base and those of the method."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    raw = F.concat(matches(text, CANDIDATE, len(KINDS), group=1), matches(text, FIRST, len(KINDS)))
-    x = rows.select("row", *(base_spans(text, k).alias(k) for k in KINDS), F.when(F.regexp_like(text, F.lit("[0-9]")), raw).otherwise(F.array().cast(SPAN)).alias("raw"))
-    x = x.withColumn("base", F.concat(*KINDS))
-
-    def candidate(s: Column) -> Column:
-        before = F.regexp_extract(s["value"], r"^([^\x20\x09-\x0D]+)[\x20\x09]", 1)
-        value = F.regexp_replace(F.regexp_extract(s["value"], r"([^\x20\x09-\x0D]+)$", 1), r"[.,;:!?\)\]\"']+$", "")
-        lead = F.length(F.regexp_extract(s["value"], r"^((?:[^\x20\x09-\x0D]+(?=[\x20\x09]))?[\x20\x09]*)", 1))
-        start = s["start"] + lead
-        stop = start + F.length(value)
-        seed = F.exists("base", lambda b: (b["start"] < stop) & (b["stop"] > start))
-        return F.struct(start.alias("start"), stop.alias("stop"), value.alias("value"), F.lower(F.substring(before, 1, 64)).alias("word"), seed.alias("seed"))
-
-    found = cut(x.withColumn("candidates", F.transform("raw", candidate)).drop("raw"))
-    extra = bootstrap(found, rounds, least).groupBy("row").agg(F.collect_list(F.struct(F.col("start"), F.lit(len(KINDS)).alias("rank"), F.col("stop"), F.col("value"))).alias("extra"))
-    return found.join(extra, "row", "left").withColumn("spans", F.concat("base", F.coalesce(F.col("extra").cast(SPAN), F.array().cast(SPAN))))
+    cand = found.select("row", F.explode("candidates").alias("c")).select("row", "c.*")
+    graph = cut(cand.select(F.explode("patterns").alias("pattern"), short(F.col("value")).alias("v"), is_seed(F.col("value")).alias("seed")).groupBy("pattern", "v").agg(F.max("seed").alias("seed")))
+    known = graph.groupBy("v").agg(F.max("seed").cast("double").alias("s"))
+    for k in range(rounds):
+        scored = graph.join(known, "v").groupBy("pattern").agg(F.avg("s").alias("p"), F.sum((F.col("s") >= least).cast("long")).alias("f"))
+        trusted = cut(scored.where((F.col("p") >= least) & (F.col("f") >= support)).select("pattern", "p"))
+        if k + 1 < rounds:
+            best = graph.join(trusted, "pattern").groupBy("v").agg(F.max("p").alias("p"))
+            known = graph.groupBy("v").agg(F.max("seed").cast("double").alias("own")).join(best, "v", "left").select("v", F.greatest("own", F.coalesce("p", F.lit(0.0))).alias("s"))
+    return cand.select("row", "start", "stop", "value", F.explode("patterns").alias("pattern")).join(trusted, "pattern", "left_semi").select("row", "start", "stop", "value").distinct()
+
+
+def labelled(docs: DataFrame, text_col: str, names: dict[str, str], rounds: int = 3, least: float = 0.8, support: int = 4) -> DataFrame:
+    """docs, read once and copied to a table, with their base spans and all spans in columns of the given names."""
+    row = free_name(docs, "row")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    x = docs.withColumn(row, F.monotonically_increasing_id()).withColumn(names["kinds"], F.struct(*(base_spans(text, k).alias(k) for k in KINDS)))
+    some = F.regexp_like(text, F.lit("[0-9]"))
+    candidates = free_name(x, "candidates")
+    found = cut(x.withColumn(candidates, F.when(some, contexts(text))))
+    extra = bootstrap(found.select(F.col(row).alias("row"), F.col(candidates).alias("candidates")), rounds, least, support)
+    more = free_name(found, "extra")
+    extra = cut(extra.groupBy("row").agg(F.collect_list(F.struct(F.col("start"), F.lit(len(KINDS)).alias("rank"), F.col("stop"), F.col("value"))).cast(SPAN).alias(more)).withColumnRenamed("row", row))
+    base = F.concat(*(F.col(f"`{names['kinds']}`.{k}") for k in KINDS))
+    apart = F.filter(F.coalesce(F.col(more), F.array().cast(SPAN)), lambda e: ~F.exists(base, lambda b: (b["start"] < e["stop"]) & (b["stop"] > e["start"])))
+    return found.drop(candidates).join(extra, row, "left").withColumn(names["spans"], F.concat(base, apart)).drop(row, more)
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans (kind:start:end, joined).
 
-    Spans are in code points, end exclusive. A null text is empty; rows of a repeated id are labelled one
+    Spans are in code points, end exclusive. A null text is empty; rows of a repeated or null id are labelled one
     by one; other columns are not carried; an empty table gives no rows.
     """
-    rows = docs.select(F.struct(F.monotonically_increasing_id().alias("k"), F.col(id_col).alias("doc_id")).alias("row"), F.col(text_col).alias("text"))
-    out = labelled(rows, **options)
-    return out.select(F.col("row.doc_id").alias("doc_id"), *(F.size(k).cast("long").alias(f"n_{k}") for k in KINDS), F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    out = labelled(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text", {"kinds": "kinds", "spans": "spans"}, **options)
+    base = F.concat(*(F.col(f"kinds.{k}") for k in KINDS))
+    return out.select("doc_id", *(F.size(f"kinds.{k}").cast("long").alias(f"n_{k}") for k in KINDS), F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
 def redact(docs: DataFrame, **options) -> DataFrame:
-    """docs with every span replaced by its kind in brackets; overlapping spans become one, named by the first."""
-    names = F.array(*map(F.lit, (*KINDS, OWN)))
-    docs = numbered(docs)
-    found = labelled(docs.select(F.col("_row").alias("row"), "text"), **options).where(F.size("spans") > 0)
-    found = cut(found.select(F.col("row").alias("_row"), F.array_sort("spans").alias("_spans")))
+    """docs with every span replaced by its kind in brackets; overlapping spans become one, named by the first.
+
+    Keeps the columns of docs, whatever their names; n_chars, where there is one, follows the text. Null
+    texts stay null, rows of a repeated or null id are redacted one by one, an empty table stays empty.
+    """
+    kinds = F.array(*map(F.lit, (*KINDS, OWN)))
+    names = {"kinds": free_name(docs, "kinds"), "spans": free_name(docs, "spans")}
+    found = labelled(docs, "text", names, **options)
 
     def step(acc: Column, s: Column) -> Column:
         gap = F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"])
-        name = F.concat(F.lit("["), F.upper(F.element_at(names, s["rank"] + 1)), F.lit("]"))
+        name = F.concat(F.lit("["), F.upper(F.element_at(kinds, s["rank"] + 1)), F.lit("]"))
         fresh = s["start"] >= acc["at"]
         return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), F.when(fresh, F.concat(acc["out"], gap, name)).otherwise(acc["out"]).alias("out"))
 
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    end = F.aggregate("_spans", begin, step, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
-    joined_ = docs.join(found, "_row", "left")
-    changed = F.col("_spans").isNotNull()
-    out = joined_.withColumn("text", F.when(changed, end).otherwise(F.col("text")))
+    spans = F.col(f"`{names['spans']}`")
+    end = F.aggregate(F.array_sort(spans), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
+    changed = F.size(spans) > 0
+    out = found.withColumn("text", F.when(changed, end).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.drop("_row", "_spans")
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns))

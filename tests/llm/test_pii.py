@@ -74,25 +74,52 @@ def test_redact(spark):
     assert all(got[i].text == t for i, t, *_ in ROWS if i not in (7,))
 
 
-def test_every_word_is_a_candidate(spark):
-    rows = ROWS + MORE[:-1] + [(60, "badge AB123456 CD234567 EF345678", "s", "x"), (61, "2024-01-15 12345678 x\n  GH456789.\r\n\tIJ567890 KL678901\x0bMN789012\x0c🙂 é12345, short1 x", "s", "x"), (62, "9" * 3000 + " x" * 3000 + " OP890123", "s", "x")]
-    text = frame(spark, rows).select(F.struct(F.col("doc_id").alias("doc_id")).alias("row"), "text")
-    got = {r.row.doc_id: r.candidates for r in pii.labelled(text).select("row", "candidates").collect()}
+def test_contexts_of_every_value(spark):
+    rows = ROWS + MORE[:-1] + [(60, "badge AB123456 CD234567 EF345678", "s", "x"), (61, "2024-01-15 12345678 x\n  (GH456789).\r\n\tIJ567890 KL678901\x0bMN789012\x0c\U0001f642 é12345, short1 x", "s", "x"), (62, "9" * 3000 + " x" * 3000 + " OP890123", "s", "x")]
+    text = frame(spark, rows).select("doc_id", pii.contexts(F.coalesce("text", F.lit(""))).alias("c"))
+    got = {r.doc_id: r.c for r in text.collect()}
     for i, t, *_ in rows:
+        words = [(m.start(), m[0]) for m in re.finditer(r"[^\x20\x09-\x0D]+", t or "")]
+        value = [len(w) >= 6 and bool(re.search("[0-9]", w)) for _, w in words]
+        shown = ["<value>" if v else w.lower() for v, (_, w) in zip(value, words, strict=True)]
         want = []
-        for line in re.finditer(r"[^\x0A-\x0D]+", t or ""):
-            before = ""
-            for m in re.finditer(r"[^\x20\x09]+", line[0]):
-                if len(m[0]) >= 6 and re.search("[0-9]", m[0]):
-                    value = re.sub(r"[.,;:!?\)\]\"']+$", "", m[0])
-                    a = line.start() + m.start()
-                    want.append((a, a + len(value), value, before))
-                before = lower(m[0])[:64]
-        assert sorted((c.start, c.stop, c.value, lower(c.word)) for c in got[i]) == want, i
+        for k, (a, w) in enumerate(words):
+            if not value[k]:
+                continue
+            inner = re.sub(pii.TRAIL, "", re.sub(pii.LEAD, "", w))
+            a += len(re.match(f"(?:{pii.LEAD[1:]})?", w)[0])
+
+            def take(side):  # up to two words, ended by a value or the text's end
+                out = []
+                for x in side:
+                    out.append(x)
+                    if x == "<value>" or len(out) == 2:
+                        break
+                return out if len(out) == 2 or out[-1:] == ["<value>"] else [*out, "<edge>"]
+
+            b, z = take(shown[:k][::-1])[::-1], take(shown[k + 1 :])
+            both = [" ".join([*b, "_"]), " ".join(["_", *z]), f"{b[-1]} _ {z[0]}"]
+            keep = [p if len(p) <= 64 else hashlib.md5(p.encode()).hexdigest() for p in both if p not in ("<edge> _", "_ <edge>", "<edge> _ <edge>")]
+            want.append((a, a + len(inner), inner, keep))
+        assert [(c.start, c.stop, c.value, c.patterns) for c in got[i]] == want, i
 
 
 def test_runs_of_identifiers_are_found_whole(spark):
     rows = [(i, f"badge user{i}@x.example.com\nuser{i}@x.example.com user{i + 1}@x.example.com", "s", "x") for i in range(30)]
     rows += [(100, "user5(at)x.example.com", "s", "x"), (101, "badge user5(at)x.example.com\nuser6(at)x.example.com", "s", "x")]
     got = by_id(pii.find_pii(frame(spark, rows)))
-    assert got[100].spans == "id:0:22" and got[101].spans == "id:6:28,id:29:51"
+    assert got[100].spans == "" and got[101].spans == "id:6:28,id:29:51"  # a value alone has no context
+
+
+def test_words_that_are_no_identifiers_keep_a_context_untrusted(spark):
+    rows = [(i, f"order number {10000000 + 7 * i} for user{i}@x.example.com", "s", "x") for i in range(40)]
+    rows += [(100 + i, f'token = "{hashlib.sha1(str(i).encode()).hexdigest()}" is set', "s", "x") for i in range(9)] + [(200, 'token = "hunter22" is set', "s", "x")]
+    got = by_id(pii.find_pii(frame(spark, rows)))
+    assert all("id" not in got[i].spans for i in range(40))
+    assert got[200].spans == "id:9:17" and all(got[100 + i].spans == "id:9:49" for i in range(9))
+
+
+def test_running_sums(spark):
+    for n in (0, 1, 2, 3, 10, 101):
+        x = list(range(n))
+        assert spark.range(1).select(pii.running(F.array(*map(F.lit, x)).cast("array<int>"))).first()[0] == [sum(x[: k + 1]) for k in range(n)]
