@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, numbered, scratch
+from .common import cut, delete, drop, free_name, numbered, scratch, tables_in
 
 WORD = r"[^\x20\x09-\x0D]+"
 RANGES = 4096
@@ -59,20 +59,21 @@ def plan_mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: Ca
     """
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long").alias("size"), F.xxhash64(text_col).alias("_t"), *carry)
     base = base.withColumn("h", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
-    base = cut(base.withColumn("r", F.conv(F.substring("h", 1, 3), 16, 10).cast("int")).withColumn("_n", F.monotonically_increasing_id()))
-    parts = base.groupBy("source", "r").agg(F.sum("size").alias("n"))
+    rows = cut(base.withColumn("r", F.conv(F.substring("h", 1, 3), 16, 10).cast("int")).withColumn("_n", F.monotonically_increasing_id()))
+    parts = rows.groupBy("source", "r").agg(F.sum("size").alias("n"))
     sources = targets(parts.groupBy("source").agg(F.sum("n").alias("source_size")), weights, share, most)
     before = Window.partitionBy("source").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
     ranges = parts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
     ranges = ranges.join(sources, ranges.source.eqNullSafe(sources.source)).drop(sources.source)
     within = Window.partitionBy("source", "r").orderBy("h", "doc_id", "_t", *carry).rowsBetween(Window.unboundedPreceding, -1)
-    rows = base.withColumn("ahead", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    x = rows.join(ranges, rows.source.eqNullSafe(ranges.source) & (rows.r == ranges.r)).drop(ranges.source).drop(ranges.r)
+    ahead = rows.withColumn("ahead", F.coalesce(F.sum("size").over(within), F.lit(0)))
+    x = ahead.join(ranges, ahead.source.eqNullSafe(ranges.source) & (ahead.r == ranges.r)).drop(ranges.source).drop(ranges.r)
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     x = x.withColumn("passes", passes).withColumn("ahead", F.col("before") + F.col("ahead"))
     rest = F.col("target") - F.col("passes") * F.col("source_size")
     fits = (F.col("source_size") > 0) & (F.col("ahead") + F.col("size") <= rest)
     x = cut(x.withColumn("rest", rest).withColumn("fits", fits))
+    drop(rows)
     rooms = x.groupBy("source").agg(F.first("rest").alias("rest"), F.sum(F.when(F.col("fits"), F.col("size")).otherwise(0)).alias("used"))
     more = fill(x.where(~F.col("fits") & (F.col("size") > 0)).select("source", "r", "h", "doc_id", "_t", "_n", "size", *carry), cut(rooms), carry)
     x = x.join(more, "_n", "left").withColumn("last", F.coalesce("at", "ahead"))
@@ -91,10 +92,12 @@ def fill(left: DataFrame, rooms: DataFrame, carry: tuple[str, ...]) -> DataFrame
     document is taken, of the others one fits at most, and the rounds are about the logarithm of the room.
     Running sums are made by ranges, and only ranges that the room reaches are sorted.
     """
-    found = None
+    found = last = None
     while True:
         s = rooms.select(F.col("source").alias("_s"), "used", (F.col("rest") - F.col("used")).alias("room"))
         left = cut(left.join(s, F.col("source").eqNullSafe(F.col("_s"))).where(F.col("size") <= F.col("room")).drop("_s"))
+        drop(last)
+        last = left
         if not left.head(1):
             break
         x = left.withColumn("part", F.col("r") + RANGES * (2 * F.col("size") > F.col("room")).cast("int"))
@@ -112,16 +115,24 @@ def fill(left: DataFrame, rooms: DataFrame, carry: tuple[str, ...]) -> DataFrame
     return left.select("_n", F.lit(0).cast("long").alias("at")) if found is None else found
 
 
-def mix(docs: DataFrame, **options) -> DataFrame:
-    """The documents in training order: each as often as the mix takes it, range-sorted by position.
+def mix(docs: DataFrame, words: int = 1 << 24, **options) -> DataFrame:
+    """The documents in training order: each as often as the mix takes it, by position.
 
-    Keeps the columns of documents. The choice is plan_mix's, by id, whatever the layout of the files;
-    positions are attached by a key of the row, so equal ids keep apart.
+    Keeps the columns of documents, whatever their names. The choice is plan_mix's, made over ids and
+    sizes; positions are attached by a number of the row, so equal and null ids keep apart. A position is
+    the share of the training's words before it, so equal ranges of positions hold about as many words,
+    and texts are dealt to them as they are, without a pass to find the ranges: each text moves for the
+    join and for its place, no more. Null and empty texts have no words and are in no mix; an empty table
+    gives no rows.
     """
-    path = scratch(docs.sparkSession, "mix")
-    docs = numbered(docs)
-    plan = plan_mix(docs, carry=("_row",), **options).where("copies > 0")
-    copies = plan.select("_row", F.explode(F.expr("filter(array(first_position, second_position), x -> x is not null)")).alias("_at"))
-    copies.write.parquet(path)
-    copies = docs.sparkSession.read.parquet(path)
-    return docs.join(copies, "_row").repartitionByRange("_at").sortWithinPartitions("_at", "_row").drop("_at", "_row")
+    row, at = free_name(docs, "row"), free_name(docs, "at")
+    docs = numbered(docs, row)
+    spark, folder = docs.sparkSession, scratch(docs.sparkSession, "plan")
+    with tables_in(folder):
+        plan = plan_mix(docs, carry=(row,), **options).where("copies > 0")
+    copies = cut(plan.select(row, "size", F.explode(F.expr("filter(array(first_position, second_position), x -> x is not null)")).alias(at)))
+    delete(spark, folder)
+    total = copies.agg(F.sum("size")).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // words))
+    dealt = docs.join(copies.drop("size"), row).repartitionById(parts, F.least(F.floor(F.col(at) * parts), F.lit(parts - 1)).cast("int"))
+    return dealt.sortWithinPartitions(at, row).drop(at, row)
