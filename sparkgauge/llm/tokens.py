@@ -1,11 +1,16 @@
-"""Token ids and token counts inside tasks, through bounded worker caches."""
+"""Token ids and token counts inside tasks; counts go through bounded worker caches."""
 
 from __future__ import annotations
 
 import base64
 import re
+import unicodedata
+from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
+import regex
+
 
 def place(name: str) -> str:
     import public_tokenizers
@@ -13,27 +18,6 @@ def place(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-class TwoGenerations(dict):
-    """A cache of at most 2 x size entries: when the young generation is full it becomes the old one."""
-
-    def __init__(self, compute, size: int, fixed: dict | None = None):
-        super().__init__()
-        self.compute, self.size, self.old, self.fixed = compute, size, {}, fixed or {}
-
-    def __missing__(self, key):
-        value = self.fixed.get(key)
-        if value is None:
-            value = self.old.get(key)
-            if value is None:
-                value = self.compute(key)
-        if len(self) >= self.size:
-            self.old = dict(self)
-            self.clear()
-        if len(key) <= 64:
-            self[key] = value
-        return value
-
-
 #: Runs of white space from this length on go to the library; tiktoken panics somewhere between 700,000 and 1,000,000.
 RUN = 1 << 16
 BLANK = re.compile(rf"(?<!\s)\s{{{RUN}}}")
@@ -74,24 +58,59 @@ class ByteBpe:
 
 
 class WordBpe:
-    """Token counts of the word BPE, which drops white space: counts of white-space separated pieces add up."""
+    """Token counts of the word BPE: the counts of a text's pre-tokens, which the tokenizer's pattern gives, add up.
+
+    Counts of frequent pre-tokens are given, others come from the library and stay in a cache that starts
+    anew with the given ones when it is full. White space is in no pre-token.
+    """
 
     def __init__(self, path: str | None = None, frequent: dict[str, int] | None = None, cache: int = 250_000):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the cores
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path or place("word_bpe_49k.json"))
-        self.cache = TwoGenerations(self.length, cache, frequent)
+        self.frequent, self.size = frequent or {}, cache
+        self.known = dict(self.frequent)
 
     def length(self, text: str) -> int:
-        return len(self.whole.encode(text, add_special_tokens=False).ids)
+        return len(self.whole.encode(text, add_special_tokens=False))
+
+    def plain(self, text: str) -> str:
+        """The text as the tokenizer normalises it, but for white space. Lower-casing a final sigma is its own."""
+        if text.isascii() or "\u03a3" not in text and unicodedata.is_normalized("NFC", text):
+            return text.lower()
+        return self.whole.normalizer.normalize_str(text)
+
+    def pieces(self, text: str) -> Iterator[list[str]]:
+        """The pre-tokens of a text, many at a time but never all of a very long one."""
+        if len(text) <= 1 << 20:
+            yield PIECE.findall(self.plain(text))
+        else:
+            found = (m[0] for m in PIECE.finditer(self.plain(text)))
+            while part := list(islice(found, 1 << 17)):
+                yield part
 
     def count(self, text: str | None) -> int:
         if not text:
             return 0
-        if ODD.search(text):
+        if "<|" in text:  # special strings, which the library knows
             return self.length(text)
-        return sum(map(self.cache.__getitem__, text.split()))
-
-
-#: Separators that Python splits at and the tokenizer's pattern does not, and the start of special strings.
-ODD = re.compile(r"[\x1c-\x1f]|<\|")
+        return sum(map(self.part, self.pieces(text)))
+
+    def part(self, pieces: list[str]) -> int:
+        known = self.known
+        if missing := list(set(pieces).difference(known)):
+            known.update(zip(missing, map(len, self.whole.encode_batch_fast(missing, add_special_tokens=False)), strict=True))
+        n = sum(map(known.__getitem__, pieces))
+        for p in missing:
+            if len(p) > 64:
+                del known[p]
+        if len(known) > self.size + len(self.frequent):
+            self.known = dict(self.frequent)
+        return n
+
+
+#: The word BPE's pattern for pre-tokens.
+PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
