@@ -16,17 +16,18 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, numbered
+from .common import cut, delete, drop, numbered, scratch, tables_in
 from .minhash import mix64
 
-GRAM, WINDOW, STEP = 16, 96, 16
+GRAM, WINDOW, STEP = 16, 128, 16
 BASES = (np.uint64(0x9E3779B97F4A7C15 | 1), np.uint64(0xD6E8FEB86659FD93 | 1))
 
 
@@ -210,28 +211,45 @@ def remove_repeats(docs: DataFrame, length: int = 400, growth: int = 4, id_col:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (array of start, stop).
 
     Removes every byte covered by a `length`-byte string that also starts elsewhere, in the same document
-    or another (length >= 304). Null texts are empty, texts under `length` bytes keep all; rows of a
-    repeated id are documents of their own; other columns are not carried; an empty table gives no rows.
-    Phrases are known by 64-bit hashes, whole strings by 128 bits.
+    or another (length >= 400). Null texts are empty, texts under `length` bytes keep all; rows of a
+    repeated or null id are documents of their own; other columns are not carried; an empty table gives no
+    rows. 64-bit hashes of phrases only choose what is looked at; whatever is removed has met its equal by
+    128 bits over all its bytes. Tables of finished rounds are deleted.
     """
-    if length < 2 * (GRAM + 2 * WINDOW) - WINDOW - 16:
+    if length < 3 * WINDOW + GRAM:
         raise ValueError("length is too short for the anchors")
+    spark, folder = docs.sparkSession, scratch(docs.sparkSession, "repeats")
     docs = numbered(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "row")
+    with tables_in(folder):
+        heads, gone = spans_of(docs.select("row", "text"), length, growth)
+    none, shape = F.lit(0).cast("long"), "array<struct<start:int,stop:int>>"
+    found = docs.select("row", "doc_id").join(heads, "row").join(gone, "row", "left").select(
+        "doc_id", "n_bytes", F.coalesce("n_removed", none).alias("n_removed"), F.coalesce("n_spans", none).alias("n_spans"), F.coalesce("left", "sha").alias("kept_sha256"), F.coalesce("spans", F.array().cast(shape)).alias("spans")
+    )
+    found = cut(found)
+    delete(spark, folder)
+    drop(docs)
+    return found
+
+
+def spans_of(docs: DataFrame, length: int, growth: int) -> tuple[DataFrame, DataFrame]:
+    """(row, n_bytes, sha) of every row of docs, and (row, n_removed, n_spans, left, spans) of those that lose something."""
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for row, i, t in zip(b["row"], b["doc_id"], b["text"], strict=True):
+            for row, t in zip(b["row"], b["text"], strict=True):
                 raw = as_bytes(t)
                 at = syms = np.zeros(0, np.int64)
                 if len(raw) >= length:
                     data = np.frombuffer(raw, np.uint8)
                     at = anchors(data)
                     syms = phrases(data, at).view(np.int64)
-                out.append((row, i, len(raw), hashlib.sha256(raw).hexdigest(), at.astype(np.int32), syms))
-            yield pd.DataFrame(out, columns=["row", "doc_id", "n_bytes", "sha", "at", "syms"]).astype({"doc_id": "Int64"})
+                out.append((row, len(raw), hashlib.sha256(raw).hexdigest(), at.astype(np.int32), syms))
+            yield pd.DataFrame(out, columns=["row", "n_bytes", "sha", "at", "syms"])
 
-    parsed = cut(docs.mapInPandas(parse, "row long, doc_id long, n_bytes long, sha string, at array<int>, syms array<long>"))
+    parsed = cut(docs.mapInPandas(parse, "row long, n_bytes long, sha string, at array<int>, syms array<long>"))
+    heads = cut(parsed.select("row", "n_bytes", "sha"))
 
     # First round: intervals of one phrase.
     single = parsed.where(F.size("syms") > 0).select("row", F.posexplode("syms").alias("i", "key"))
@@ -247,6 +265,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, growth: int = 4, id_col:
             yield b[keep]
 
     zones = cut(parsed.join(alive, "row").select("row", "n_bytes", "at", "syms", "alive").mapInPandas(zone, "row long, n_bytes long, at array<int>, syms array<long>, alive array<int>"))
+    drop(parsed)
 
     # Further rounds: prefixes of growth, growth ** 2, ... phrases, or as many as reach the length.
     def refine(depth: int):
@@ -269,17 +288,31 @@ def remove_repeats(docs: DataFrame, length: int = 400, growth: int = 4, id_col:
 
         return lambda batches: gathered(x for b in batches for x in pieces(b))
 
-    live, depth, blocks = zones.withColumn("live", F.col("alive")), growth, None
+    live, depth, rounds = zones.withColumn("live", F.col("alive")), growth, []
     while True:
         met = cut(repeated(live.mapInPandas(refine(depth), "row long, i int, key long, settled boolean, start int, stop int"), "key"))
-        settled = met.where("settled").select("row", "start", "stop")
-        blocks = settled if blocks is None else blocks.unionByName(settled)
+        rounds.append(met)
         open_ = met.where("not settled")
         if depth > length or not open_.head(1):
             break
         depth *= growth
         live = zones.select("row", "at", "syms").join(listed(open_, F.col("i"), "live"), "row")
 
+    # What the rounds settled, by all its bytes. Texts of documents in zones only.
+    text = cut(docs.join(zones.select("row"), "row", "left_semi"))
+
+    def digests(b: pd.DataFrame) -> Iterator[dict[str, np.ndarray]]:
+        for row, t, starts, stops in zip(b["row"], b["text"], b["starts"], b["stops"], strict=True):
+            raw = as_bytes(t)
+            d = np.frombuffer(b"".join(xxhash.xxh3_128_digest(raw[a:z]) for a, z in zip(starts, stops, strict=True)), "<i8").reshape(-1, 2)
+            yield {"row": np.full(len(d), row), "start": starts, "stop": stops, "h1": d[:, 0], "h2": d[:, 1]}
+
+    settled = reduce(DataFrame.unionByName, (m.where("settled").select("row", "start", "stop") for m in rounds)).groupBy("row").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
+    found = cut(text.join(settled, "row").mapInPandas(lambda batches: gathered(x for b in batches for x in digests(b)), "row long, start int, stop int, h1 long, h2 long"))
+    drop(*rounds)
+    blocks = cut(repeated(found, "h1", "h2").select("row", "start", "stop"))
+    drop(found)
+
     # Places by their cores; only cores that an uncovered place asks for go on.
     grouped = blocks.groupBy("row").agg(F.collect_list(F.struct("start", "stop")).alias("blocks"))
     zoned = zones.join(grouped, "row", "left").withColumn("starts", F.coalesce(F.col("blocks.start"), F.array().cast("array<int>"))).withColumn("stops", F.coalesce(F.col("blocks.stop"), F.array().cast("array<int>")))
@@ -294,11 +327,10 @@ def remove_repeats(docs: DataFrame, length: int = 400, growth: int = 4, id_col:
 
     core = cut(zoned.select("row", "n_bytes", "at", "syms", "alive", "starts", "stops").mapInPandas(lambda batches: gathered(x for b in batches for x in find_cores(b)), "row long, key long, mark int, lo int, hi int, asked boolean"))
     wanted = core.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("asked").alias("asked")).where("asked and n > 1").select("key")
+    drop(zones)
     places = core.join(wanted, "key", "left_semi").groupBy("row").agg(F.collect_list(F.struct("lo", "hi", "mark")).alias("places"))
 
-    # Byte level: whole strings by 128 bits. Texts of documents in zones only.
-    text = cut(docs.select("row", "text").join(zones.select("row"), "row", "left_semi"))
-
+    # Byte level: whole strings by 128 bits.
     def neighbours(b: pd.DataFrame) -> Iterator[dict[str, np.ndarray]]:
         """Blocks of places: a hash of what all their strings share, and 128 bits of what they span."""
         for row, t, los, his, marks in zip(b["row"], b["text"], b["los"], b["his"], b["marks"], strict=True):
@@ -313,6 +345,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, growth: int = 4, id_col:
 
     asked = text.join(places, "row").select("row", "text", F.col("places.lo").alias("los"), F.col("places.hi").alias("his"), F.col("places.mark").alias("marks"))
     near = cut(asked.mapInPandas(lambda batches: gathered(x for b in batches for x in neighbours(b)), "row long, q int, shared long, w1 long, w2 long"))
+    drop(core)
     # One block of each kind serves as partner for all of them.
     kinds = cut(near.groupBy("shared", "w1", "w2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "q")).alias("m")))
     spanned = near.join(kinds.where("n > 1"), ["shared", "w1", "w2"], "left_semi").select("row", F.col("q").alias("start"), (F.col("q") + STEP - 1 + length).alias("stop"))
@@ -326,7 +359,8 @@ def remove_repeats(docs: DataFrame, length: int = 400, growth: int = 4, id_col:
             yield {"row": np.full(len(p), row), "p": p} | {f"h{k + 1}": span_hash(prefix_sums(data, k), p, p + length, k).view(np.int64) for k in (0, 1)}
 
     found = text.join(open_blocks, "row").mapInPandas(lambda batches: gathered(x for b in batches for x in strings(b)), "row long, p int, h1 long, h2 long")
-    starts = repeated(cut(found), "h1", "h2").select("row", F.col("p").alias("start"), (F.col("p") + length).alias("stop"))
+    found = cut(found)
+    starts = repeated(found, "h1", "h2").select("row", F.col("p").alias("start"), (F.col("p") + length).alias("stop"))
     spans = blocks.unionByName(spanned).unionByName(starts).groupBy("row").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
 
     def remove(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -339,9 +373,4 @@ def remove_repeats(docs: DataFrame, length: int = 400, growth: int = 4, id_col:
                 out.append((row, int(gone.sum()), len(a), hashlib.sha256(data[~gone].tobytes()).hexdigest(), [{"start": int(x), "stop": int(y)} for x, y in zip(a, z, strict=True)]))
             yield pd.DataFrame(out, columns=["row", "n_removed", "n_spans", "left", "spans"])
 
-    shape = "array<struct<start:int,stop:int>>"
-    gone = text.join(spans, "row").mapInPandas(remove, f"row long, n_removed long, n_spans long, left string, spans {shape}")
-    none = F.lit(0).cast("long")
-    return parsed.select("row", "doc_id", "n_bytes", "sha").join(gone, "row", "left").select(
-        "doc_id", "n_bytes", F.coalesce("n_removed", none).alias("n_removed"), F.coalesce("n_spans", none).alias("n_spans"), F.coalesce("left", "sha").alias("kept_sha256"), F.coalesce("spans", F.array().cast(shape)).alias("spans")
-    )
+    return heads, text.join(spans, "row").mapInPandas(remove, "row long, n_removed long, n_spans long, left string, spans array<struct<start:int,stop:int>>")
