@@ -8,18 +8,18 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import scratch
+from .common import cut
 from .tokens import ByteBpe
 
 #: Fixed values of Simple-8b: selector, integers in a word, bits of each. Selector 15 is an escape: the next word is one raw integer.
 PACKING = [(0, 240, 0), (1, 120, 0), (2, 60, 1), (3, 30, 2), (4, 20, 3), (5, 15, 4), (6, 12, 5), (7, 10, 6), (8, 8, 7), (9, 7, 8), (10, 6, 10), (11, 5, 12), (12, 4, 15), (13, 3, 20), (14, 2, 30)]
 ONE, ESCAPE = 15, 15
 BLOCK = 240
-MAGIC = b"S8BT0001"
+MAGIC = b"S8BT0002"
 COUNT = np.array([n for _, n, _ in PACKING] + [1])
 WIDTHS = sorted({bits for *_, bits in PACKING})
 #: The first value too large for each width: a value needs the width whose number is how many of these it reaches.
@@ -96,89 +96,100 @@ def decode(words: np.ndarray, first: np.ndarray, n: int) -> np.ndarray:
     return out[:, :BLOCK].reshape(-1)[:n]
 
 
-def pack_shard(ids: list[int], lengths: list[int], values: np.ndarray) -> bytes:
-    """Header, document ids and lengths, block offsets, words; all little-endian."""
+def pack_shard(ids: list[int | None], lengths: list[int], values: np.ndarray, base: int) -> bytes:
+    """Header, document ids and lengths, block offsets, words; all little-endian.
+
+    base: ids in files of the same part before this one. Null document ids come first; the header has their number.
+    """
     words, first = encode(values)
-    head = MAGIC + struct.pack("<QQQQ", len(ids), len(values), len(first), len(words))
-    return head + np.asarray(ids, "<i8").tobytes() + np.asarray(lengths, "<u4").tobytes() + first.astype("<u4").tobytes() + words.astype("<u8").tobytes()
+    none = sum(i is None for i in ids)
+    head = MAGIC + struct.pack("<QQQQQQ", len(ids), none, len(values), len(first), len(words), base)
+    return head + np.array([i or 0 for i in ids], "<i8").tobytes() + np.asarray(lengths, "<u4").tobytes() + first.astype("<u4").tobytes() + words.astype("<u8").tobytes()
 
 
-def read_shard(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document ids, lengths, values)."""
+def read_shard(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray, int]:
+    """(document ids, lengths, values, base)."""
     if data[:8] != MAGIC:
         raise ValueError("not a token file")
-    docs, n, blocks, words = struct.unpack("<QQQQ", data[8:40])
-    at = 40
-    ids = np.frombuffer(data, "<i8", docs, at)
+    docs, none, n, blocks, words, base = struct.unpack("<QQQQQQ", data[8 : (at := 56)])
+    ids = np.frombuffer(data, "<i8", docs, at).tolist()
     lengths = np.frombuffer(data, "<u4", docs, at := at + 8 * docs)
     first = np.frombuffer(data, "<u4", blocks, at := at + 4 * docs)
-    return ids, lengths, decode(np.frombuffer(data, "<u8", words, at + 4 * blocks), first, n)
+    return [None] * none + ids[none:], lengths, decode(np.frombuffer(data, "<u8", words, at + 4 * blocks), first, n), base
 
 
 def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end_id: int = 0, shard_ids: int = 1 << 21, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Writes all documents' ids in ascending id order; returns the manifest (file, shard, part, n_docs, n_ids).
+    """Writes all documents' ids in ascending id order; returns the manifest (file, part, shard, n_docs, n_ids).
 
     Documents are range-partitioned by id; each task writes files of about shard_ids ids under a name
     that no other attempt uses and then moves it into place, so a task that runs again leaves the same
-    files. Null or empty texts are the end id alone; documents with equal ids stay next to each other,
-    ordered by text; a null id sorts first and is written as the smallest long.
+    files. Null or empty texts are the end id alone; documents with equal ids stay next to each other, in
+    an order by their text's hash, and are split over tasks where there are many; null ids come first and
+    come back null.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
         from pyspark import TaskContext
 
         store, root = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("/") else f"file://{folder}")
         store.create_dir(root, recursive=True)
-        part, k = TaskContext.get().partitionId(), 0
+        part, k, base = TaskContext.get().partitionId(), 0, 0
         bpe, end = ByteBpe(path), np.uint32(end_id).tobytes()
         ids, lengths, data, held = [], [], [], 0
 
-        def flush() -> pd.DataFrame:
+        def flush() -> pa.RecordBatch:
             name = f"part-{part:06d}-{k:05d}.s8b"
             with store.open_output_stream(temp := f"{root}/.{name}.{uuid.uuid4().hex}") as f:
-                f.write(pack_shard(ids, lengths, np.frombuffer(b"".join(data), np.uint32)))
+                f.write(pack_shard(ids, lengths, np.frombuffer(b"".join(data), np.uint32), base))
             store.move(temp, f"{root}/{name}")
-            return pd.DataFrame({"file": [name], "part": [part], "shard": [k], "n_docs": [len(ids)], "n_ids": [held // 4]})
+            row = {"file": name, "part": part, "shard": k, "n_docs": len(ids), "n_ids": held // 4}
+            return pa.RecordBatch.from_pylist([row])
 
         for b in batches:
-            for i, t in zip(b["doc_id"], b["text"], strict=True):
-                x = bpe.encode(t) + end
-                ids.append(-(2**63) if pd.isna(i) else int(i))
+            for i, t in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
+                x = bpe.encode(t.as_py()) + end
+                ids.append(i)
                 lengths.append(len(x) // 4)
                 data.append(x)
                 held += len(x)
                 if held >= 4 * shard_ids:
                     yield flush()
-                    ids, lengths, data, held, k = [], [], [], 0, k + 1
+                    k, base = k + 1, base + held // 4
+                    ids, lengths, data, held = [], [], [], 0
         if ids:
             yield flush()
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    manifest = rows.mapInPandas(run, "file string, part long, shard long, n_docs long, n_ids long")
-    target = scratch(docs.sparkSession, "manifest")
-    manifest.write.parquet(target)
-    return docs.sparkSession.read.parquet(target)
+    order = ["doc_id", "tie", "row"]
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumns({"tie": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
+    manifest = rows.mapInArrow(run, "file string, part long, shard long, n_docs long, n_ids long")
+    return cut(manifest, "manifest")
 
 
 def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document, from the files."""
-    before = Window.orderBy("part", "shard").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
-    files = manifest.select("file", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
+    """(doc_id, start, n_tokens, ids_crc32) of every document, from the files.
+
+    A file knows the ids of its part before it; the parts' sums, a row for each task that wrote, go to all readers.
+    """
     spark = manifest.sparkSession
+    shape = "doc_id long, start long, n_tokens long, ids_crc32 long"
     if not manifest.head(1):
-        return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
+        return spark.createDataFrame([], shape)
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = manifest.groupBy("part").agg(F.sum("n_ids").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for data, base in zip(b["content"], b["base"], strict=True):
-                ids, lengths, values = read_shard(data)
+            for data, base in zip(b.column("content"), b.column("base").to_pylist(), strict=True):
+                ids, lengths, values, own = read_shard(data.as_py())
                 raw = values.astype("<u4").tobytes()
                 stop = np.cumsum(lengths.astype(np.int64))
                 start = stop - lengths
                 crc = [zlib.crc32(raw[4 * a : 4 * z]) for a, z in zip(start, stop, strict=True)]
-                yield pd.DataFrame({"doc_id": ids.astype(np.int64), "start": start + base, "n_tokens": lengths.astype(np.int64), "ids_crc32": crc})
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(start + base + own), pa.array(lengths.astype(np.int64)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     data = spark.read.format("binaryFile").option("pathGlobFilter", "*.s8b").load(folder)
-    data = data.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
-    return data.join(F.broadcast(files), "file").mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    data = data.select(F.regexp_extract("path", r"part-([0-9]+)-[0-9]+\.s8b$", 1).cast("long").alias("part"), "content")
+    # At most as many rows as the writing shuffle had partitions.
+    return data.join(F.broadcast(parts), "part").select("content", "base").mapInArrow(run, shape)
