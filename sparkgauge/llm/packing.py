@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -107,45 +108,51 @@ def pack(lengths: list[int], size: int) -> tuple[list[int], list[int]]:
     return number, offset
 
 
+PIECES = "array<struct<piece:int,start:long,length:long,ids_crc32:long>>"
+
+
 def cut_pieces(docs: DataFrame, size: int, path: str | None, end_id: int) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32); of a document longer than a sequence the first piece holds the remainder."""
+    """(doc_id, piece, start, length, ids_crc32) of rows (doc_id, text); of a document longer than a sequence the first piece holds the remainder."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         bpe, end = ByteBpe(path), np.uint32(end_id).tobytes()
-        for b in batches:
+        for texts in batches:
             rows = []
-            for i, t in zip(b["doc_id"], b["text"], strict=True):
+            for t in texts:
                 raw = bpe.encode(t) + end
                 n = len(raw) // 4
-                start, piece, length = 0, 0, n % size or size
+                found, start, piece, length = [], 0, 0, n % size or size
                 while start < n:
-                    rows.append((i, piece, start, length, zlib.crc32(raw[4 * start : 4 * (start + length)])))
+                    found.append({"piece": piece, "start": start, "length": length, "ids_crc32": zlib.crc32(raw[4 * start : 4 * (start + length)])})
                     start, piece, length = start + length, piece + 1, size
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out
+                rows.append(found)
+            yield pd.Series(rows)
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select("doc_id", F.inline(F.pandas_udf(run, PIECES)(F.col("text"))))
 
 
 def pack_documents(docs: DataFrame, size: int = 1024, path: str | None = None, end_id: int = 2, group_items: int = 8192, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece with its place: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    Items are dealt by a hash over groups of about group_items, whose number follows the number of
-    pieces; each group is packed whole in one task of bounded memory, and costs at most about one
-    sequence more than packing all at once. A null text is the end id alone; a null id and repeated ids
-    are packed like others; an empty table gives no rows; other columns are not carried.
+    A piece as long as a sequence fills one of its own, with a negative number, and moves nowhere. The others are dealt
+    by a hash over groups of about group_items, whose number follows theirs; each group is packed whole in
+    one task of bounded memory, and costs at most about one sequence more than packing all at once. A null
+    text is the end id alone; a null id and repeated ids are packed like others; an empty table gives no
+    rows; other columns are not carried.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    pieces = cut(cut_pieces(docs, size, path, end_id), "pieces")
-    groups = max(1, round(pieces.count() / group_items))
-    pieces = pieces.withColumn("g", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
-
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(["doc_id", "piece", "ids_crc32"], kind="stable").reset_index(drop=True)
-        number, offset = pack(p["length"].tolist(), size)
-        p["sequence_id"] = p["g"] + groups * np.array(number, np.int64)
-        p["offset"] = np.array(offset, np.int64)
-        return p.drop(columns="g")
-
-    return pieces.groupBy("g").applyInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    pieces = cut(cut_pieces(docs, size, path, end_id).withColumn("n", F.monotonically_increasing_id()), "pieces")  # equal rows have numbers of their own
+    full = pieces.where(F.col("length") == size).withColumn("sequence_id", -1 - F.col("n")).withColumn("offset", F.lit(0).cast("long"))
+    open_ = pieces.where(F.col("length") < size)
+    groups = max(1, round(open_.count() / group_items))
+    open_ = open_.withColumn("g", F.pmod(F.xxhash64("n"), F.lit(groups))).drop("n")
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by([(c, "ascending") for c in ("doc_id", "piece", "ids_crc32")])
+        number, offset = pack(t["length"].to_pylist(), size)
+        ids = np.array(number, np.int64) * groups + t["g"].to_numpy()
+        return t.drop_columns("g").append_column("sequence_id", pa.array(ids)).append_column("offset", pa.array(offset, pa.int64()))
+
+    id_type = pieces.schema["doc_id"].dataType.simpleString()
+    packed = open_.groupBy("g").applyInArrow(run, f"doc_id {id_type}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return packed.unionByName(full.drop("n"))
