@@ -7,7 +7,7 @@ from math import log, sqrt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import running_sum, settle
+from .ordered import running_sum
 
 def failed() -> Column:
     return F.when(F.col("status") == "errored", 1).otherwise(0)
@@ -28,7 +28,7 @@ def recent_rate(o: DataFrame, window: int, keys: list[str], name: str = "rate")
 
 def error_rate(r: DataFrame, most: float, window: int, keys=("run_index",)) -> DataFrame:
     """Adds seq, rate over the last `window` finished requests, and whether it stops the run."""
-    out = recent_rate(settle(counted(r, list(keys))), window, list(keys)).drop("errs")
+    out = recent_rate(counted(r, list(keys)), window, list(keys)).drop("errs")
     return out.withColumn("triggered", (F.col("rate") >= most) & (F.col("seq") >= window))
 
 
@@ -49,7 +49,7 @@ def first_triggers(r: DataFrame, max_requests=None, max_errors=None, max_duratio
         when["max_global_error_rate"] = (F.col("errs") >= rate * F.col("seq")) & (F.col("seq") >= least)
     if max_error_rate is not None:
         rate, window = max_error_rate
-        o = recent_rate(settle(o), window, keys, "_recent")
+        o = recent_rate(o, window, keys, "_recent")
         when["max_error_rate"] = (F.col("_recent") >= rate) & (F.col("seq") >= window)
     s = o.groupBy(*keys).agg(*(F.min(F.when(c, F.col("seq"))).alias(n) for n, c in when.items()))
     return s.unpivot(keys, list(when), "name", "seq").where("seq is not null")

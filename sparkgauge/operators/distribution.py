@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import neighbours, running_sum, settle
+from .ordered import before_ranges, in_order, running_sum, with_neighbours, with_running
 
 #: Names and ranks of the percentiles.
 PERCENTILES = {"p001": 0.001, "p01": 0.01, "p05": 0.05, "p10": 0.1, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95, "p99": 0.99, "p999": 0.999}
@@ -22,12 +22,18 @@ def pdf(df: DataFrame, keys: list[str], value: str = "value", weight: str | None
     return df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("value")).agg(w.alias("weight")).where("weight > 0")
 
 
+def with_totals(sums: DataFrame, key: str, *values: str, name: str = "total") -> DataFrame:
+    """Aggregated rows with those of all of `key` together, from the aggregate."""
+    others = [c for c in sums.columns if c != key and c not in values]
+    return sums.unionByName(sums.groupBy(*others).agg(*(F.sum(v).alias(v) for v in values)).withColumn(key, F.lit(name)))
+
+
 def pdf_sample(df: DataFrame, keys: list[str], points: int) -> DataFrame:
     """`points` rows of a pdf at evenly spaced ranks, first and last included."""
-    w = Window.partitionBy(*keys)
-    x = df.withColumn("_i", F.row_number().over(w.orderBy("value")) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
+    x = running_sum(df.withColumn("_one", F.lit(1).cast("bigint")), keys, "value", {"_i": "_one"})
+    x = x.join(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), keys).withColumn("_i", F.col("_i") - 1)
     chosen = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.floor(i * (F.col("_n") - 1) / max(1, points - 1)))
-    return x.where((F.col("_n") <= points) | F.array_contains(chosen, F.col("_i").cast("bigint"))).drop("_i", "_n")
+    return x.where((F.col("_n") <= points) | F.array_contains(chosen, F.col("_i").cast("bigint"))).drop("_i", "_n", "_one")
 
 
 def summarise(merged: DataFrame, keys: list[str]) -> DataFrame:
@@ -36,11 +42,12 @@ def summarise(merged: DataFrame, keys: list[str]) -> DataFrame:
     count: rounded half to even; mode: of ties the least; the percentile q is the first value at which the
     running weight reaches q x all. Where all weights together are below 1e-6 every value weighs the same.
     """
-    merged = settle(merged)
-    total = merged.groupBy(*keys).agg(F.sum("weight").alias("_w"))
-    x = merged.join(total, keys).withColumn("weight", F.when(F.col("_w") <= TINY, F.lit(1.0)).otherwise(F.col("weight")))
-    stats = x.groupBy(*keys).agg(F.sum("weight").alias("_tot"), (F.sum(F.col("value") * F.col("weight")) / F.sum("weight")).alias("mean"), F.first("_w").alias("_raw"))
-    x = running_sum(x.drop("_w"), keys, "value", {"cum": "weight"}).join(stats, keys)
+    merged = in_order(merged, keys, "value")
+    total = merged.groupBy(*keys).agg(F.sum("weight").alias("_w"), F.count(F.lit(1)).alias("_c"), F.sum(F.col("value") * F.col("weight")).alias("_v"), F.avg("value").alias("_m"))
+    tiny = F.col("_w") <= TINY
+    stats = total.select(*keys, F.col("_w").alias("_raw"), tiny.alias("_tiny"), F.when(tiny, F.col("_c")).otherwise(F.col("_w")).alias("_tot"), F.when(tiny, F.col("_m")).otherwise(F.col("_v") / F.col("_w")).alias("mean"))
+    x = with_running(merged.withColumn("_even", F.lit(1.0)), keys, "value", {"_cw": "weight", "_ce": "_even"}).join(stats, keys)
+    x = x.withColumns({"weight": F.when(F.col("_tiny"), F.lit(1.0)).otherwise(F.col("weight")), "cum": F.when(F.col("_tiny"), F.col("_ce")).otherwise(F.col("_cw"))})
     at = [F.min(F.when(F.col("cum") >= q * F.col("_tot"), F.col("value"))).alias(n) for n, q in PERCENTILES.items()]
     d = F.col("value") - F.col("mean")
     return x.groupBy(*keys).agg(
@@ -64,9 +71,12 @@ def merge_times(points: DataFrame, keys: list[str], threshold: int = 100) -> Dat
     Chains of small gaps are told apart first; one no longer than the threshold is a cluster as it is.
     Only longer chains are folded in order, each on its own.
     """
-    once = settle(points.groupBy(*keys, "t").agg(F.sum("w").alias("w")))
-    x = neighbours(once, keys, "t").withColumn("_new", (F.col("prev_t").isNull() | (F.col("t") - F.col("prev_t") > threshold)).cast("int"))
-    x = settle(running_sum(settle(x), keys, "t", {"_seg": "_new"}))
+    x = in_order(points.groupBy(*keys, "t").agg(F.sum("w").alias("w")), keys, "t")
+    x = with_neighbours(x, keys, "t").withColumn("_new", F.when(F.col("prev_t").isNull() | (F.col("t") - F.col("prev_t") > threshold), F.col("t")))
+    # A chain is known by its first time: the last one that began at or before the row.
+    begun = before_ranges(x.groupBy(*keys, "_r").agg(F.max("_new").alias("_last")), keys, {"seg": (F.max, "_last")})
+    within = Window.partitionBy(*keys, "_r").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+    x = x.join(begun, [*keys, "_r"]).withColumn("_seg", F.coalesce(F.max("_new").over(within), "_b_seg")).select(*keys, "t", "w", "_seg")
     chains = x.groupBy(*keys, "_seg").agg(F.min("t").alias("_a"), F.max("t").alias("_z"), F.sum("w").alias("w"))
     short = chains.where(F.col("_z") - F.col("_a") <= threshold).select(*keys, F.col("_a").alias("t"), "w")
     long = chains.where(F.col("_z") - F.col("_a") > threshold).select(*keys, "_seg")
@@ -92,7 +102,7 @@ def rate_points(points: DataFrame, keys: list[str], threshold: int = 100, start:
             p = p.where(F.col("t") >= start).unionByName(ends.select(*keys, F.lit(start).cast("bigint").alias("t"), F.lit(0.0).alias("w")))
         if end is not None:
             p = p.where(F.col("t") <= end).unionByName(ends.select(*keys, F.lit(end).cast("bigint").alias("t"), F.lit(0.0).alias("w")))
-    x = neighbours(settle(merge_times(p, keys, threshold)), keys, "t")
+    x = with_neighbours(in_order(merge_times(p, keys, threshold), keys, "t"), keys, "t").drop("_r")
     half = (F.coalesce("next_t", "t") - F.coalesce("prev_t", "t")) / 2e6
     alone = F.col("next_t").isNull() & F.col("prev_t").isNull()
     return x.where(~alone).withColumn("duration", F.when(F.col("next_t").isNull(), F.greatest(half, F.lit(TINY))).otherwise(half)).drop("next_t", "prev_t")
@@ -106,20 +116,21 @@ def rate_summary(points: DataFrame, keys: list[str], **options) -> DataFrame:
     return s.join(events, keys).withColumn("count", F.col("_events")).drop("_events")
 
 
-def concurrency_levels(spans: DataFrame, keys: list[str], threshold: int = 100, start: int | None = None, end: int | None = None) -> DataFrame:
-    """(keys, t, level, duration_us): how many intervals are open from each time to the next."""
-    s = spans.select(*keys, "start_us", "end_us")
+def concurrency_levels(spans: DataFrame, keys: list[str], threshold: int = 100, start: int | None = None, end: int | None = None, weight: str | None = None) -> DataFrame:
+    """(keys, t, level, duration_us): how many intervals (or how much of their weight) are open from each time to the next."""
+    s = spans.select(*keys, "start_us", "end_us", (F.col(weight) if weight else F.lit(1)).alias("_v"))
     if start is not None:
         s = s.where(F.col("end_us") >= start)
     if end is not None:
         s = s.where(F.col("start_us") <= end)
     clip = F.col("start_us") if start is None else F.greatest("start_us", F.lit(start))
-    deltas = F.array(F.struct(clip.alias("t"), F.lit(1).alias("w")), F.struct(F.col("end_us").alias("t"), F.lit(-1).alias("w")))
+    deltas = F.array(F.struct(clip.alias("t"), F.col("_v").alias("w")), F.struct(F.col("end_us").alias("t"), (-F.col("_v")).alias("w")))
     p = s.select(*keys, F.explode(deltas).alias("d")).select(*keys, "d.t", "d.w")
     if end is not None:
         p = p.where(F.col("t") <= end).unionByName(s.select(*keys).distinct().select(*keys, F.lit(end).cast("bigint").alias("t"), F.lit(0).alias("w")))
-    x = running_sum(settle(neighbours(settle(merge_times(p, keys, threshold)), keys, "t")), keys, "t", {"level": "w"})
-    return x.where("next_t is not null").select(*keys, "t", F.greatest(F.lit(0), F.col("level")).cast("bigint").alias("level"), (F.col("next_t") - F.col("t")).alias("duration_us"))
+    x = with_running(with_neighbours(in_order(merge_times(p, keys, threshold), keys, "t"), keys, "t"), keys, "t", {"level": "w"})
+    level = F.greatest(F.lit(0), F.col("level"))
+    return x.where("next_t is not null").select(*keys, "t", (level if weight else level.cast("bigint")).alias("level"), (F.col("next_t") - F.col("t")).alias("duration_us"))
 
 
 def concurrency_summary(spans: DataFrame, keys: list[str], **options) -> DataFrame:

@@ -1,52 +1,77 @@
-"""Running sums and neighbours over long orders without one task per key.
+"""Running sums, running maxima and neighbours over long orders without one task per key.
 
-A key's order is cut into ranges of its values; sums and edge values of whole ranges are combined over
-at most `ranges` rows a key, and windows work within ranges.
+`in_order` deals the rows to ranges of (keys, order, ties) of about equal size, wherever their values lie,
+so a key of many rows is in many ranges. Sums and edge values of whole ranges are combined over one row a
+key and range, and windows work within ranges; several steps on one ordered frame share its partitioning.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGES = 512
-
 
 def settle(df: DataFrame) -> DataFrame:
-    """df from a reliable checkpoint, for frames that several branches of a plan read; a folder is made only where none is set."""
+    """df from a reliable checkpoint in spark.checkpoint.dir, so that all readers see the same rows in the same ranges.
+
+    Where no folder is set, a session within one process (as in tests) gets a temporary one; a cluster gets an error.
+    """
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sparkgauge-ckpt-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-ckpt-"))
     return df.checkpoint(eager=True)
 
 
-def ranged(df: DataFrame, keys: list[str], order: str, ranges: int = RANGES) -> DataFrame:
-    """df with the number `_r` of the range of `order` (a number) that a row falls in, by key."""
-    ends = df.groupBy(*keys).agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"))
-    width = F.greatest((F.col("_hi") - F.col("_lo")).cast("double") / ranges, F.lit(1e-12))
-    at = F.least(F.floor((F.col(order) - F.col("_lo")).cast("double") / width), F.lit(ranges - 1)).cast("int")
-    return (df.join(ends, keys) if keys else df.crossJoin(F.broadcast(ends))).withColumn("_r", at).drop("_lo", "_hi")
+def in_order(df: DataFrame, keys: list[str], order: str, ties: tuple[str, ...] = ()) -> DataFrame:
+    """df with the number `_r` of the range that a row falls in; ranges follow the order of (keys, order, ties)."""
+    return settle(df.repartitionByRange(*keys, order, *ties).withColumn("_r", F.spark_partition_id()))
 
 
-def running_sum(df: DataFrame, keys: list[str], order: str, values: dict[str, str], ranges: int = RANGES, ties: tuple[str, ...] = ()) -> DataFrame:
-    """Adds, for each name: column of values, the sum up to and including the row. `order`, then `ties`, is unique in a key."""
-    x = ranged(df, keys, order, ranges)
-    sums = x.groupBy(*keys, "_r").agg(*(F.sum(c).alias(f"_s_{n}") for n, c in values.items()))
-    before = Window.partitionBy(*keys).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*keys, "_r", *(F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0)).alias(f"_b_{n}") for n in values))
+def before_ranges(parts: DataFrame, keys: list[str], values: dict) -> DataFrame:
+    """(keys, _r, _b_name ...): for each name, an aggregate function and column, over the key's earlier ranges."""
+    along = Window.partitionBy(*keys).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    return parts.select(*keys, "_r", *(f(c).over(along).alias(f"_b_{n}") for n, (f, c) in values.items()))
+
+
+def with_running(x: DataFrame, keys: list[str], order: str, values: dict[str, str], ties: tuple[str, ...] = (), f=F.sum) -> DataFrame:
+    """x, a frame of `in_order`, with for each name: column of values the sum (or other f) up to and including the row."""
+    parts = x.groupBy(*keys, "_r").agg(*(f(c).alias(f"_s_{n}") for n, c in values.items()))
+    parts = before_ranges(parts, keys, {n: (f, f"_s_{n}") for n in values})
     within = Window.partitionBy(*keys, "_r").orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, 0)
-    x = x.join(sums, [*keys, "_r"])
-    return x.withColumns({n: F.col(f"_b_{n}") + F.sum(c).over(within) for n, c in values.items()}).drop("_r", *(f"_b_{n}" for n in values))
+    x = x.join(parts, [*keys, "_r"])
+    both = (lambda a, b: a + F.coalesce(b, F.lit(0))) if f is F.sum else lambda a, b: F.greatest(a, b)
+    return x.withColumns({n: both(f(c).over(within), F.col(f"_b_{n}")) for n, c in values.items()}).drop(*(f"_b_{n}" for n in values))
 
 
-def neighbours(df: DataFrame, keys: list[str], order: str, ranges: int = RANGES) -> DataFrame:
-    """Adds prev_<order> and next_<order>, also across ranges."""
-    x = ranged(df, keys, order, ranges)
-    edges = x.groupBy(*keys, "_r").agg(F.min(order).alias("_min"), F.max(order).alias("_max"))
+def with_neighbours(x: DataFrame, keys: list[str], order: str, ties: tuple[str, ...] = (), carried: tuple[str, ...] = ()) -> DataFrame:
+    """x, a frame of `in_order`, with prev_<column> and next_<column> of order and of the carried columns, also across ranges."""
+    columns = (order, *carried)
+    by = F.struct(order, *ties)
+    edges = x.groupBy(*keys, "_r").agg(F.min_by(F.struct(*columns), by).alias("_min"), F.max_by(F.struct(*columns), by).alias("_max"))
     along = Window.partitionBy(*keys).orderBy("_r")
     edges = edges.select(*keys, "_r", F.lag("_max").over(along).alias("_p"), F.lead("_min").over(along).alias("_n"))
-    within = Window.partitionBy(*keys, "_r").orderBy(order)
-    x = x.join(edges, [*keys, "_r"])
-    return x.withColumns({f"prev_{order}": F.coalesce(F.lag(order).over(within), "_p"), f"next_{order}": F.coalesce(F.lead(order).over(within), "_n")}).drop("_r", "_p", "_n")
+    within = Window.partitionBy(*keys, "_r").orderBy(order, *ties)
+    row = F.struct(*columns)
+    x = x.join(edges, [*keys, "_r"]).withColumns({"_p": F.coalesce(F.lag(row).over(within), "_p"), "_n": F.coalesce(F.lead(row).over(within), "_n")})
+    return x.withColumns({f"prev_{c}": F.col(f"_p.{c}") for c in columns} | {f"next_{c}": F.col(f"_n.{c}") for c in columns}).drop("_p", "_n")
+
+
+def running_sum(df: DataFrame, keys: list[str], order: str, values: dict[str, str], ties: tuple[str, ...] = ()) -> DataFrame:
+    """Adds, for each name: column of values, the sum up to and including the row. `order`, then `ties`, is unique in a key."""
+    return with_running(in_order(df, keys, order, ties), keys, order, values, ties).drop("_r")
+
+
+def running_max(df: DataFrame, keys: list[str], order: str, values: dict[str, str], ties: tuple[str, ...] = ()) -> DataFrame:
+    """Adds, for each name: column of values, the largest value up to and including the row."""
+    return with_running(in_order(df, keys, order, ties), keys, order, values, ties, F.max).drop("_r")
+
+
+def neighbours(df: DataFrame, keys: list[str], order: str, ties: tuple[str, ...] = (), carried: tuple[str, ...] = ()) -> DataFrame:
+    """Adds prev_<column> and next_<column> of order and of the carried columns."""
+    return with_neighbours(in_order(df, keys, order, ties), keys, order, ties, carried).drop("_r")

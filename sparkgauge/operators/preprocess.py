@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import words
+from .mapping import choose
+from .ordered import running_sum
 
 
 def trim(df: DataFrame, text: str, most: int) -> DataFrame:
@@ -34,3 +36,79 @@ def fail_short(df: DataFrame, text: str, least: int) -> DataFrame:
     """The rows; a short one ends the query with an error."""
     short = F.size(words(F.col(text))) < least
     return df.withColumn(text, F.when(short, F.raise_error(F.lit(f"a prompt has fewer than {least} words")).cast("string")).otherwise(F.col(text)))
+
+
+def prepare(df: DataFrame, target: Column, output: Column, short: str = "ignore", pad: str = "", most_prefix: int | None = None, count_prefix: bool = False, aliases: dict | None = None) -> DataFrame:
+    """df with prompt, prefix, prompt_tokens_count and output_tokens_count, by columns that the mapper finds.
+
+    A prefix is cut to most_prefix words, and counts towards the target if asked. Rows without room for a
+    prompt go; short prompts are dropped ("ignore"), padded ("pad") or an error ("error"); long ones are cut.
+    """
+    prompt, prefix, _ = choose(df, aliases)
+    first = F.slice(words(F.col(prefix)), 1, most_prefix) if prefix and most_prefix is not None else words(F.col(prefix)) if prefix else F.array().cast("array<string>")
+    x = df.withColumns({"_prefix": first, "_words": words(F.col(prompt)), "_target": target}).withColumn("_room", F.col("_target") - (F.size("_prefix") if count_prefix else 0))
+    x = x.where((F.col("_target") > 0) & (F.col("_room") > 0))
+    lacks = F.col("_room") - F.size("_words")
+    if short == "ignore":
+        x = x.where(lacks <= 0)
+    elif short == "error":
+        x = x.withColumn("_words", F.when(lacks > 0, F.raise_error(F.lit("a prompt is too short")).cast("array<string>")).otherwise(F.col("_words")))
+    else:
+        if not pad.split():
+            raise ValueError("the pad has no words")
+        ring = F.array(*map(F.lit, pad.split()))
+        more = F.when(lacks > 0, F.transform(F.sequence(F.lit(0).cast("bigint"), lacks - 1), lambda i: ring[(i % F.size(ring)).cast("int")])).otherwise(F.array().cast("array<string>"))
+        x = x.withColumn("_words", F.concat("_words", more))
+    x = x.withColumn("_words", F.slice("_words", F.lit(1), F.col("_room").cast("int")))
+    x = x.withColumns({"prompt": F.array_join("_words", " "), "prefix": F.array_join("_prefix", " "), "prompt_tokens_count": F.size("_words").cast("bigint"), "output_tokens_count": output})
+    return x.drop("_prefix", "_words", "_target", "_room")
+
+
+def concatenate(df: DataFrame, keys: list[str], order: str, text: str, least: int, between: str = " ") -> DataFrame:
+    """(keys, first, prompt, prompt_tokens): rows of a key joined in order until they have `least` words; an unfinished end goes.
+
+    The rows of a key are one ordered walk, so a key is a shard of the input and has to be of a bounded size.
+    """
+    kind = "array<struct<first:int,prompt:string,n:bigint>>"
+    rows = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, F.col(text).alias("t"), F.size(words(F.col(text))).cast("bigint").alias("n")))).alias("rows"))
+    rows = rows.withColumn("rows", F.transform("rows", lambda r, i: F.struct(i.alias("first"), r["t"].alias("prompt"), r["n"].alias("n"))))
+
+    def step(done: Column, r: Column) -> Column:
+        last = F.element_at(done, -1)
+        more = F.struct(last["first"].alias("first"), F.concat(last["prompt"], F.lit(between), r["prompt"]).alias("prompt"), (last["n"] + r["n"]).alias("n"))
+        return F.when(F.size(done) == 0, F.array(r)).when(last["n"] >= least, F.concat(done, F.array(r))).otherwise(F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(more)))
+
+    x = rows.select(*keys, F.explode(F.aggregate("rows", F.array().cast(kind), step)).alias("r"))
+    return x.where(F.col("r.n") >= least).select(*keys, "r.first", "r.prompt", F.col("r.n").alias("prompt_tokens"))
+
+
+def first_rows(df: DataFrame, most: int, order: str) -> DataFrame:
+    """The first `most` rows."""
+    return df.orderBy(order).limit(most)
+
+
+def exactly(df: DataFrame, n: int, order: str) -> DataFrame:
+    """The first n rows; fewer are an error."""
+    out = first_rows(df, n, order)
+    if out.count() < n:
+        raise ValueError(f"fewer than {n} rows")
+    return out
+
+
+def sample_rows(df: DataFrame, most: int, key: str, seed: int = 0) -> DataFrame:
+    """`most` rows by a seeded hash of the key."""
+    return df.orderBy(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))).cast("binary"))).limit(most)
+
+
+def shards(df: DataFrame, n: int, order: str, shift: int = 0) -> DataFrame:
+    """df with `shard`: the row's place in the order of a unique number, plus a shift, modulo n."""
+    x = running_sum(df.withColumn("_one", F.lit(1)), [], order, {"_place": "_one"})
+    return x.withColumn("shard", (F.col("_place") - 1 + shift) % n).drop("_one", "_place")
+
+
+def without_failures(df: DataFrame, value: str) -> DataFrame:
+    """Rows whose value came out; that none did is an error."""
+    out = df.where(F.col(value).isNotNull())
+    if not out.head(1) and df.head(1):
+        raise ValueError("the transformation failed in every row")
+    return out

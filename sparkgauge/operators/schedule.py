@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .ordered import running_sum
+
 
 def indices(spark: SparkSession, n: int) -> DataFrame:
     return spark.range(1, n + 1).withColumnRenamed("id", "i")
@@ -34,15 +36,13 @@ def poisson(spark: SparkSession, n: int, rate: float, seed: int = 0) -> DataFram
     """Exponential gaps; the draw of a request depends on seed and index alone."""
     u = (F.pmod(F.xxhash64("i", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     x = indices(spark, n).withColumn("gap", -F.log(1 - u) / rate)
-    from .ordered import running_sum
-
     return running_sum(x.withColumn("_k", F.lit(0)), ["_k"], "i", {"offset_s": "gap"}).select("i", "offset_s")
 
 
 def synchronous(r: DataFrame, keys: list[str]) -> DataFrame:
     """Each request starts when the one before it in its key has ended."""
-    w = Window.partitionBy(*keys).orderBy("start_us", "request_id").rowsBetween(Window.unboundedPreceding, -1)
-    return r.withColumn("offset_s", F.coalesce(F.sum("latency_us").over(w), F.lit(0)) / 1e6)
+    x = running_sum(r, keys, "start_us", {"_sum": "latency_us"}, ties=("request_id",))
+    return x.withColumn("offset_s", (F.col("_sum") - F.col("latency_us")) / 1e6).drop("_sum")
 
 
 def relative(trace: DataFrame, t: str, keys: list[str]) -> DataFrame:

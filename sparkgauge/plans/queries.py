@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import datasets, graphs, telemetry
+from . import datasets, graphs, runs, telemetry, workload
 
-QUERIES: dict = telemetry.QUERIES | datasets.QUERIES | graphs.QUERIES
-SQL: dict[str, str] = telemetry.SQL | datasets.SQL | graphs.SQL
+QUERIES: dict = telemetry.QUERIES | datasets.QUERIES | graphs.QUERIES | workload.QUERIES | runs.QUERIES
+SQL: dict[str, str] = telemetry.SQL | datasets.SQL | graphs.SQL | workload.SQL | runs.SQL

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import requests as rq
 from ..operators import constraints, distribution as ds, report, schedule
+from ..operators.ordered import neighbours
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -64,8 +65,8 @@ def summary_columns(s: DataFrame, keys: list[str], scale: float = 1.0) -> DataFr
 
 @query(f"WITH {REQUESTS}, {TOTAL}, src AS (SELECT status, latency_us AS value, 1 AS weight FROM alls), {summary_sql('src', 'status', 1e6)} SELECT * FROM summary")
 def latency_summary_by_status(spark: SparkSession, d: str) -> DataFrame:
-    r = rq.with_total(rq.requests(spark, d).select("status", F.col("latency_us").alias("value")))
-    return summary_columns(ds.value_summary(r, ["status"]), ["status"], 1e6)
+    p = ds.with_totals(ds.pdf(rq.requests(spark, d), ["status"], "latency_us"), "status", "weight")
+    return summary_columns(ds.summarise(p, ["status"]), ["status"], 1e6)
 
 
 METRICS = {
@@ -147,10 +148,14 @@ def bounds(spark: SparkSession, d: str) -> tuple[int, int]:
 BOUNDS = "bounds AS (SELECT min(start_us) + (max(end_us) - min(start_us)) // 10 AS lo, max(end_us) - (max(end_us) - min(start_us)) // 10 AS hi FROM requests)"
 
 
+def end_points(r: DataFrame) -> DataFrame:
+    """(status, t, w): how many requests ended at each time, also over all statuses."""
+    return ds.with_totals(r.groupBy("status", F.col("end_us").alias("t")).agg(F.count(F.lit(1)).alias("w")), "status", "w")
+
+
 @query(f"WITH RECURSIVE {REQUESTS}, {TOTAL}, src AS (SELECT status, end_us AS t, 1 AS w FROM alls), {rate_sql('src')} SELECT dsum.status, n, mean FROM dsum JOIN evs USING (status)")
 def rps_distribution(spark: SparkSession, d: str) -> DataFrame:
-    r = rq.with_total(rq.requests(spark, d).select("status", F.col("end_us").alias("t"), F.lit(1).alias("w")))
-    return rate_columns(ds.rate_points(r, ["status"]), ["status"])
+    return rate_columns(ds.rate_points(end_points(rq.requests(spark, d)), ["status"]), ["status"])
 
 
 @query(f"""WITH RECURSIVE {REQUESTS}, {TOTAL}, {BOUNDS}, kept AS (SELECT * FROM alls, bounds WHERE end_us >= lo AND start_us <= hi),
@@ -158,14 +163,12 @@ src AS (SELECT status, end_us AS t, 1 AS w FROM kept WHERE end_us BETWEEN lo AND
 def rps_distribution_windowed(spark: SparkSession, d: str) -> DataFrame:
     lo, hi = bounds(spark, d)
     r = rq.requests(spark, d).where(rq.in_window(F.col("start_us"), F.col("end_us"), lo, hi))
-    r = rq.with_total(r.select("status", F.col("end_us").alias("t"), F.lit(1).alias("w")))
-    return rate_columns(ds.rate_points(r, ["status"], start=lo, end=hi), ["status"])
+    return rate_columns(ds.rate_points(end_points(r), ["status"], start=lo, end=hi), ["status"])
 
 
 @query(f"WITH RECURSIVE {REQUESTS}, {TOTAL}, src AS (SELECT status, end_us AS t, 1 AS w FROM alls), {rate_sql('src')}, src2 AS (SELECT status, round(w / duration, 6) AS value, CAST(round(duration * 1e6) AS BIGINT) AS weight FROM dur), {summary_sql('src2', 'status')} SELECT status, p10, p50, p90, p99, mode FROM summary")
 def rps_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    r = rq.with_total(rq.requests(spark, d).select("status", F.col("end_us").alias("t"), F.lit(1).alias("w")))
-    p = ds.rate_points(r, ["status"]).select("status", F.round(F.col("w") / F.col("duration"), 6).alias("value"), F.round(F.col("duration") * 1e6).cast("bigint").alias("weight"))
+    p = ds.rate_points(end_points(rq.requests(spark, d)), ["status"]).select("status", F.round(F.col("w") / F.col("duration"), 6).alias("value"), F.round(F.col("duration") * 1e6).cast("bigint").alias("weight"))
     return ds.value_summary(p, ["status"], weight="weight").select("status", "p10", "p50", "p90", "p99", "mode")
 
 
@@ -184,10 +187,11 @@ def concurrency_distribution(spark: SparkSession, d: str) -> DataFrame:
     return s.select("status", F.col("count").alias("n"), F.round("mean", 6).alias("mean"), F.col("max").alias("max_value"), "p50", "p90")
 
 
-@query("SELECT * FROM (VALUES (0, 2.0), (120, 2.0), (1000, 1.0)) x(t, w)")
+@query(f"WITH RECURSIVE src AS (SELECT o_custkey AS k, CAST(floor(o_totalprice) AS BIGINT) // 200 AS t, 1 AS w FROM orders), {merged_sql('src', 'k')} SELECT * FROM points")
 def time_merge(spark: SparkSession, d: str) -> DataFrame:
-    p = spark.createDataFrame([(0, 0, 1.0), (0, 60, 1.0), (0, 120, 1.0), (0, 180, 1.0), (0, 1000, 1.0)], "k int, t long, w double")
-    return ds.merge_times(p, ["k"], 100).select("t", "w")
+    """Dense times, so that most chains are longer than the threshold and are folded."""
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    return ds.merge_times(o.select(F.col("o_custkey").alias("k"), F.expr("cast(o_totalprice as bigint) div 200").alias("t"), F.lit(1).alias("w")), ["k"], 100)
 
 
 POINTS_SQL = """pts AS (
@@ -198,10 +202,11 @@ src AS (SELECT * FROM pts UNION ALL SELECT status, 'total', t, w FROM pts)"""
 
 
 def token_points(spark: SparkSession, d: str) -> DataFrame:
-    r = rq.with_total(rq.requests(spark, d))
+    """(status, metric, t, w): points of equal times are summed up before the totals of metric and status are added."""
+    r = rq.requests(spark, d)
     p = r.select("status", F.explode(F.array(F.struct(F.lit("prompt").alias("metric"), rq.prompt_points().alias("p")), F.struct(F.lit("output").alias("metric"), rq.output_points().alias("p")))).alias("m"))
-    p = p.select("status", "m.metric", F.explode("m.p").alias("p")).select("status", F.explode(F.array("metric", F.lit("total"))).alias("metric"), "p.t", "p.w")
-    return p
+    p = p.select("status", "m.metric", F.explode("m.p").alias("p")).groupBy("status", "metric", F.col("p.t").alias("t")).agg(F.sum("p.w").alias("w"))
+    return ds.with_totals(ds.with_totals(p, "metric", "w"), "status", "w")
 
 
 @query(f"WITH RECURSIVE {REQUESTS}, {TOTAL}, {POINTS_SQL}, {rate_sql('src', 'status, metric')} SELECT dsum.status, dsum.metric, n, round(mean, 4) AS mean FROM dsum JOIN evs USING (status, metric)")
@@ -223,9 +228,10 @@ LONG_SQL = "long AS (" + " UNION ALL ".join(f"SELECT status, '{m}' AS metric, ro
 @query(f"WITH {REQUESTS}, {TOTAL}, {LONG_SQL}, {summary_sql('long', 'status, metric')} SELECT status, metric, n, round(mean, 4) AS mean, p50, p90, p95, p99 FROM summary")
 def base_metrics(spark: SparkSession, d: str) -> DataFrame:
     """All value distributions in one pass over one long frame; missing values count as zero."""
-    r = rq.with_total(rq.with_metrics(rq.requests(spark, d)).select("status", *BASE))
+    r = rq.with_metrics(rq.requests(spark, d)).select("status", *BASE)
     long = r.select("status", F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.round(F.coalesce(F.col(m).cast("double"), F.lit(0.0)), 6).alias("value")) for m in BASE))).alias("m")).select("status", "m.*")
-    return ds.value_summary(long, ["status", "metric"]).select("status", "metric", F.col("count").alias("n"), F.round("mean", 4).alias("mean"), "p50", "p90", "p95", "p99")
+    p = ds.with_totals(ds.pdf(long, ["status", "metric"]), "status", "weight")
+    return ds.summarise(p, ["status", "metric"]).select("status", "metric", F.col("count").alias("n"), F.round("mean", 4).alias("mean"), "p50", "p90", "p95", "p99")
 
 
 @query(f"WITH {REQUESTS} SELECT run_index, coalesce(status, 'total') AS status, count(*) AS n FROM requests GROUP BY GROUPING SETS ((run_index, status), (run_index))")
@@ -245,8 +251,8 @@ def scheduler_averages(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {REQUESTS}, o AS (SELECT *, lag(latency_us) OVER w AS p, end_us - lag(end_us) OVER w AS dt FROM requests WINDOW w AS (PARTITION BY run_index ORDER BY end_us, request_id))
 SELECT run_index, count(*) AS n, round(avg(latency_us) / 1e6, 6) AS mean, round(sum(p / 1e6 * (dt / 1e6)) / nullif(sum(dt / 1e6), 0), 6) AS tw_mean, round(sum(latency_us) / 1e6 / nullif(sum(dt / 1e6), 0), 6) AS rate FROM o GROUP BY run_index""")
 def running_stats(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("run_index").orderBy("end_us", "request_id")
-    o = rq.requests(spark, d).withColumns({"p": F.lag("latency_us").over(w) / 1e6, "dt": (F.col("end_us") - F.lag("end_us").over(w)) / 1e6})
+    o = neighbours(rq.requests(spark, d), ["run_index"], "end_us", ("request_id",), ("latency_us",))
+    o = o.withColumns({"p": F.col("prev_latency_us") / 1e6, "dt": (F.col("end_us") - F.col("prev_end_us")) / 1e6})
     span = F.nullif(F.sum("dt"), F.lit(0.0))
     return r6(o.groupBy("run_index").agg(F.count(F.lit(1)).alias("n"), (F.avg("latency_us") / 1e6).alias("mean"), (F.sum(F.col("p") * F.col("dt")) / span).alias("tw_mean"), (F.sum("latency_us") / 1e6 / span).alias("rate")), "mean", "tw_mean", "rate")
 

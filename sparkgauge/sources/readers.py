@@ -9,7 +9,24 @@ from pyspark.sql import functions as F
 
 READERS: dict[str, Callable[..., DataFrame]] = {}
 #: Names under which the splits of a dataset are known, in the order in which they are looked for.
-SPLITS = {"train": ("train", "training"), "calib": ("calibration", "calib", "cal"), "val": ("validation", "val", "valid"), "test": ("test", "testing")}
+SPLITS = {
+    "train": [
+        "train", "training", "train_set", "training_set", "train_dataset", "training_dataset", "train_data", "training_data",
+        "pretrain", "pretrain_set", "pretrain_dataset", "pretrain_data", "pretraining",
+    ],
+    "calib": [
+        "calibration", "calib", "cal", "calibration_set", "calib_set", "cal_set", "calibration_dataset", "calib_dataset",
+        "calibration_data", "calib_data", "cal_data",
+    ],
+    "val": [
+        "validation", "val", "valid", "validation_set", "val_set", "validation_dataset", "val_dataset", "validation_data", "val_data",
+        "dev", "dev_set", "dev_dataset", "dev_data",
+    ],
+    "test": [
+        "test", "testing", "test_set", "testing_set", "test_dataset", "testing_dataset", "test_data", "testing_data",
+        "eval", "eval_set", "eval_dataset", "eval_data",
+    ],
+}
 
 
 def reader(*kinds: str):
@@ -28,9 +45,10 @@ def read(spark: SparkSession, kind: str, source, **options) -> DataFrame:
 
 
 @reader("text_file", "txt")
-def text(spark: SparkSession, path: str) -> DataFrame:
-    """One row a line."""
-    return spark.read.text(path).withColumnRenamed("value", "text")
+def text(spark: SparkSession, path: str, newline: bool = True) -> DataFrame:
+    """One row a line; with its line feed, unless said otherwise. The last line of a file gets one too."""
+    lines = spark.read.text(path).withColumnRenamed("value", "text")
+    return lines.withColumn("text", F.concat("text", F.lit("\n"))) if newline else lines
 
 
 @reader("csv_file", "csv")
@@ -47,11 +65,38 @@ def json(spark: SparkSession, path: str, field: str | None = None) -> DataFrame:
     return spark.read.option("multiLine", True).json(path).select(F.explode(field).alias("_row")).select("_row.*")
 
 
+@reader("mooncake")
+def mooncake(spark: SparkSession, path: str, block: int = 512) -> DataFrame:
+    """Lines of JSON with timestamp (ms), input_length, output_length and hash_ids, in order of time, with their blocks."""
+    schema = "timestamp double, input_length bigint, output_length bigint, hash_ids array<bigint>"
+    x = spark.read.schema(schema).json(path)
+    nulls = F.greatest(*(F.col(c).isNull().cast("int") for c in x.columns)) > 0
+    x = x.withColumn("timestamp", F.when(nulls, F.raise_error(F.lit("a trace row has nulls")).cast("double")).otherwise(F.col("timestamp")))
+    return sorted_rows(block_trace(x, block=block), "timestamp", [])
+
+
 @reader("parquet_file", "parquet")
 def parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+@reader("directory", "hf", "huggingface")
+def directory(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
+    """A local dataset: Parquet or JSON files, also in a folder for each split (see `split_of`)."""
+    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    listed = [(x.getPath().getName(), x.isDirectory()) for x in fs.listStatus(fs_path)]
+    splits = sorted(n for n, folder in listed if folder and not n.startswith(("_", ".")))
+    if split and not splits:
+        raise ValueError(f"there is no split {split!r}")
+    if splits:
+        return directory(spark, f"{path}/{split_of(splits, split)}")
+    kinds = {n.rsplit(".", 1)[-1] for n, _ in listed if not n.startswith(("_", "."))} & {"parquet", "json", "jsonl", "csv"}
+    if len(kinds) != 1:
+        raise ValueError("a folder of one kind of files is needed: parquet, json, jsonl or csv")
+    return read(spark, kinds.pop(), path)
+
+
 @reader("in_memory_dict")
 def columns(spark: SparkSession, data: dict[str, list]) -> DataFrame:
     if not data or len({len(v) for v in data.values()}) != 1 or not next(iter(data.values())):
@@ -99,12 +144,37 @@ def trace(df: DataFrame, time: str, prompt: str, output: str, conversation: str
         raise ValueError(f"columns are missing: {', '.join(sorted(missing))}")
     bad = F.col(time).isNull() | F.col(prompt).isNull() | F.col(output).isNull() | (F.col(prompt) < 0) | (F.col(output) < 0)
     t = F.when(bad, F.raise_error(F.lit("a trace row has nulls or negative counts")).cast("double")).otherwise(F.col(time).cast("double"))
-    return df.select(
+    return sorted_rows(df, time, [conversation] if conversation else []).select(
         (F.col(conversation) if conversation else F.lit(None).cast("string")).alias("conversation"), (t * 1_000_000).cast("bigint").alias("t_us"),
         F.col(prompt).cast("bigint").alias("input_length"), F.col(output).cast("bigint").alias("output_length"),
     )
 
 
+def sorted_rows(df: DataFrame, time: str, keys: list[str], ties: tuple[str, ...] = ()) -> DataFrame:
+    """df in order of keys, time and ties."""
+    return df.orderBy(*keys, time, *ties)
+
+
+def block_trace(df: DataFrame, n_in: str = "input_length", ids: str = "hash_ids", block: int = 512) -> DataFrame:
+    """(df's columns, blocks): a trace of hashed prompts, checked, with the length and seed of each block of tokens.
+
+    A block's tokens depend on its hash id and the one before it, so equal ids after equal ids give equal
+    blocks and siblings differ; the last one takes the rest of the prompt.
+    """
+    ok = F.when(blocks_fit(n_in, ids, block), F.col(ids)).otherwise(F.raise_error(F.lit("hash ids don't fit the prompt")).cast(df.schema[ids].dataType))
+    last = F.size(ids) - 1
+    length = lambda i: F.when((i < last) | (F.col(n_in) % block == 0), F.lit(block)).otherwise(F.col(n_in) % block).cast("bigint")
+    before = lambda i: F.coalesce(F.try_element_at(F.col(ids), i), F.lit(-1)).cast("bigint")
+    seeds = F.transform(ids, lambda x, i: F.struct(x.cast("bigint").alias("hash_id"), F.when(i > 0, before(F.greatest(i, F.lit(1)))).otherwise(F.lit(-1).cast("bigint")).alias("after"), length(i).alias("length")))
+    return df.withColumn(ids, ok).withColumn("blocks", seeds)
+
+
+def block_tokens(blocks: str, vocabulary: int):
+    """The token ids of each block: a walk through the vocabulary from a start and with a step by hash of (id, id before)."""
+    start = lambda b, k: F.pmod(F.xxhash64(b["hash_id"], b["after"], F.lit(k)), F.lit(vocabulary))
+    return F.transform(blocks, lambda b: F.transform(F.sequence(F.lit(0).cast("bigint"), b["length"] - 1), lambda i: (start(b, 0) + i * (1 + start(b, 1) % (vocabulary - 1))) % vocabulary))
+
+
 def blocks_fit(n_in: str, ids: str, block: int = 512, floor_too: bool = False):
     """Whether ids are no negative numbers and as many as the prompt has blocks, begun ones included (or, if so said, left out)."""
     n = F.size(ids)
