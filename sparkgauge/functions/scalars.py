@@ -70,3 +70,103 @@ def fit(width: Column, height: Column, most_width: int, most_height: int) -> tup
     """Size within a box at the same aspect ratio, never enlarged."""
     k = F.least(F.lit(1.0), most_width / width, most_height / height)
     return tuple(F.greatest(F.lit(1), F.bround(x * k).cast("int")) for x in (width, height))
+
+
+def float_around(mean: float, u: Column, z: Column, spread: float | None = None, least: float | None = None, most: float | None = None) -> Column:
+    """A number around mean: constant, even between bounds by u in (0, 1), or normal between bounds by z; never below zero."""
+    if spread is None and least is None and most is None or least is not None and least == most:
+        return F.lit(float(mean if least is None else least))
+    lo = max(0.0, mean - 5 * (spread or 0) if least is None else least)
+    hi = mean + 5 * (spread or 0) if most is None else most
+    return lo + u * (hi - lo) if spread is None else F.greatest(F.lit(lo), F.least(F.lit(float(hi)), mean + spread * z))
+
+
+def filter_text(t: Column, start: str | int | None = None, end: str | int | None = None) -> Column:
+    """The text from a marker or place on, and of the text before a marker or up to a place; both are looked for in the whole text.
+
+    The end counts from where the text then begins. A marker that isn't there is an error.
+    """
+
+    def place(mark: str | int | None) -> Column | None:
+        if not mark:
+            return None
+        if isinstance(mark, int):
+            return F.lit(mark)
+        at = F.instr(t, mark) - 1
+        return F.when(at < 0, F.raise_error(F.lit(f"no {mark!r} in the text")).cast("int")).otherwise(at)
+
+    a, z = place(start), place(end)
+    out = t if a is None else F.substring(t, a + 1, F.length(t))
+    return out if z is None else F.substring(out, F.lit(1), z)
+
+
+def is_punctuation(t: Column) -> Column:
+    """Whether t is one character that is no letter, digit or white space."""
+    return (F.length(t) == 1) & ~F.regexp_like(t, F.lit(r"^[\p{L}\p{N}\s]$"))
+
+
+def camelize(t: Column) -> Column:
+    """snake_case as camelCase."""
+    parts = F.split(t, "_")
+    return F.concat(F.lower(parts[0]), F.array_join(F.transform(F.slice(parts, F.lit(2), F.greatest(F.lit(0), F.size(parts) - 1)), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1 << 30)))), ""))
+
+
+def wrap(t: Column, width: int) -> Column:
+    """Lines of at most `width` characters, broken between words, as an array; a longer word has a line of its own."""
+    last = lambda a: F.element_at(a, -1)
+
+    def step(lines: Column, w: Column) -> Column:
+        joined = F.concat(last(lines), F.lit(" "), w)
+        fits = (F.size(lines) > 0) & (F.length(last(lines)) + 1 + F.length(w) <= width)
+        return F.when(fits, F.concat(F.slice(lines, F.lit(1), F.size(lines) - 1), F.array(joined))).otherwise(F.concat(lines, F.array(w)))
+
+    return F.aggregate(words(t), F.array().cast("array<string>"), step)
+
+
+def value_display(x: Column, label: str, units: str = "", places: int = 0, width: int = 0) -> Column:
+    """A number with its unit and label, right-aligned."""
+    shown = F.concat(F.format_string(f"%.{places}f", x.cast("double")), F.lit(f"{units} [{label}]"))
+    return F.when(F.length(shown) < width, F.lpad(shown, width, " ")).otherwise(shown) if width else shown
+
+
+def merged_map(base: Column, more: Column) -> Column:
+    """A map with the entries of another, which win."""
+    return F.map_concat(F.map_filter(base, lambda k, v: ~F.map_contains_key(more, k)), more)
+
+
+def renamed_keys(m: Column, names: dict[str, str]) -> Column:
+    return F.transform_keys(m, lambda k, v: F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in names.items() for x in kv)), k), k))
+
+
+def without_keys(m: Column, *keys: str) -> Column:
+    return F.map_filter(m, lambda k, v: ~k.isin(*keys))
+
+
+def as_json(t: Column) -> Column:
+    """The text if it is a JSON object or array, else null."""
+    return F.when(F.regexp_like(t, F.lit(r"^\s*[\[{]")) & F.try_parse_json(t).isNotNull(), t)
+
+
+#: Named resolutions.
+RESOLUTIONS = {"240p": (426, 240), "360p": (640, 360), "480p": (854, 480), "540p": (960, 540), "720p": (1280, 720), "1080p": (1920, 1080), "1440p": (2560, 1440), "2160p": (3840, 2160), "4k": (3840, 2160)}
+
+
+def resolution(name: Column) -> Column:
+    """(width, height) of a named resolution; null for others."""
+    size = F.create_map(*(x for n, (w, h) in RESOLUTIONS.items() for x in (F.lit(n), F.struct(F.lit(w).alias("width"), F.lit(h).alias("height")))))
+    return F.try_element_at(size, F.lower(name))
+
+
+def aspect_ratio(t: Column) -> Column:
+    """W:H or W/H as a number; anything else is an error."""
+    parts = F.split(t, "[:/]")
+    ratio = F.try_divide(F.expr("1.0D") * F.try_element_at(parts, F.lit(1)).try_cast("double"), F.try_element_at(parts, F.lit(2)).try_cast("double"))
+    return F.when((F.size(parts) == 2) & ratio.isNotNull(), ratio).otherwise(F.raise_error(F.lit("W:H or W/H is needed")).cast("double"))
+
+
+def reasoning(t: Column, mode: bool | str = True) -> Column:
+    """Reasoning in <think> tags or in a template with {reasoning}; null where there is none, or if mode is false."""
+    if not mode:
+        return F.lit(None).cast("string")
+    before, _, after = ("<think>{reasoning}</think>" if mode is True else mode).partition("{reasoning}")
+    return F.when(F.length(t) > 0, F.concat(F.lit(before), t, F.lit(after)))
