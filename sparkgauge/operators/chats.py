@@ -84,3 +84,63 @@ def tool_tokens(text: Column, calls: Column, tokens: Column) -> dict[str, Column
 def empty_response(text: Column, calls: Column, tokens: Column) -> Column:
     """Whether a response holds no text, no tool call and no token."""
     return (F.length(F.coalesce(text, F.lit(""))) == 0) & (F.coalesce(calls, F.lit(0)) == 0) & (F.coalesce(tokens, F.lit(0)) <= 0)
+
+
+def tool_overrides(turns: DataFrame, tools: str, kind: str, choice: str | None = None) -> DataFrame:
+    """turns with `tool_choice` and the body keys that have to go (`removed`).
+
+    Without tools there is no choice; with them it is the given or `required`, but `none` where a turn is
+    standard or follows a tool's answer. A turn that calls a tool must end by itself.
+    """
+    have = F.size(F.coalesce(F.from_json(tools, "array<string>"), F.array().cast("array<string>"))) > 0
+    wanted = F.when(F.col(kind).isin("standard", "tool_response_injection"), "none").otherwise(F.lit(choice or "required"))
+    gone = F.when(have & (F.col(kind) == "client_tool_call"), F.array(F.lit("ignore_eos"), F.lit("stop"))).otherwise(F.array().cast("array<string>"))
+    return turns.withColumns({"tool_choice": F.when(have, wanted), "removed": gone})
+
+
+def limits_body(tokens: Column, model: str | None = None, stream: bool = False) -> Column:
+    """JSON of a request's settings: model and stream, and with an output count max_tokens, ignore_eos and no stop."""
+    parts = {"model": F.lit(model).cast("string")} | ({"stream": F.lit(True), "stream_options": F.struct(F.lit(True).alias("include_usage"), F.lit(True).alias("continuous_usage_stats"))} if stream else {})
+    known = tokens > 0
+    parts |= {"max_tokens": F.when(known, tokens), "ignore_eos": F.when(known, F.lit(True))}
+    return F.to_json(F.struct(*(c.alias(n) for n, c in parts.items())))
+
+
+def pooling_body(entry: str, model: str | None = None) -> Column:
+    """JSON of a pooling request: data and priority of the entry (JSON), where it has them."""
+    return F.to_json(F.struct(F.lit(model).cast("string").alias("model"), F.get_json_object(entry, "$.data").alias("data"), F.get_json_object(entry, "$.priority").cast("bigint").alias("priority")))
+
+
+def input_items(turns: DataFrame, key: str, order: str, prefix: str, text: str, response: str) -> DataFrame:
+    """(key, instructions, items): the input of the responses service: all prefixes as instructions, user and assistant texts as typed items."""
+    item = lambda role, kind, c: F.when(F.length(c) > 0, F.struct(F.lit(role).alias("role"), F.lit(kind).alias("type"), F.col(c).alias("text")))
+    one = F.array_compact(F.array(item("user", "input_text", text), item("assistant", "output_text", response)))
+    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("t"), F.nullif(F.col(prefix), F.lit("")).alias("p"), one.alias("m"))))
+    x = turns.groupBy(key).agg(rows.alias("_r"))
+    said = F.array_compact(F.transform("_r", lambda r: r["p"]))
+    return x.select(key, F.when(F.size(said) > 0, F.array_join(said, " ")).alias("instructions"), F.flatten(F.transform("_r", lambda r: r["m"])).alias("items"))
+
+
+def assembled_calls(chunks: DataFrame, key: str, order: str, data: str = "data") -> DataFrame:
+    """(key, calls): the tool calls of a stream by their index; names and arguments are joined in the order of the chunks."""
+    parsed = F.from_json(F.get_json_object(data, "$.choices[0].delta.tool_calls"), "array<struct<index:int,id:string,function:struct<name:string,arguments:string>>>")
+    x = chunks.select(key, F.col(order).alias("o"), F.explode(parsed).alias("c"))
+    rows = F.array_sort(F.collect_list(F.struct("o", F.coalesce("c.function.name", F.lit("")).alias("n"), F.coalesce("c.function.arguments", F.lit("")).alias("a"))))
+    joined = lambda part: F.array_join(F.transform(rows, lambda r: r[part]), "")
+    calls = x.groupBy(key, F.col("c.index").alias("index")).agg(F.min_by("c.id", F.struct(F.col("c.id").isNull(), "o")).alias("id"), joined("n").alias("name"), joined("a").alias("arguments"))
+    return calls.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("index", "id", "name", "arguments"))).alias("calls"))
+
+
+def compiled_usage(r: DataFrame, counters: list[str], status: str = "status", kind: str = "turn_type", prefer_response: bool = True) -> DataFrame:
+    """r with one column for each counter from its request_ and response_ columns.
+
+    The preferred one counts where it is there, else the other. A request that didn't complete has no
+    output of its own. A turn that was to call a tool counts zero calls where nothing is known.
+    """
+    out = {}
+    for c in counters:
+        asked = F.when(F.col(status) == "completed", F.col(f"request_{c}")) if c.startswith("output_") else F.col(f"request_{c}")
+        told = F.col(f"response_{c}")
+        merged = F.coalesce(told, asked) if prefer_response else F.coalesce(asked, told)
+        out[c] = F.coalesce(merged, F.when(F.col(kind) == "client_tool_call", F.lit(0))) if c == "output_tool_call_count" else merged
+    return r.withColumns(out)

@@ -95,3 +95,20 @@ def merged_usage(request: Column, response: Column, prefer_response: bool = True
 def usage_total(*parts: Column) -> Column:
     """Text, image, video and audio tokens together; null only if all are."""
     return total_or_null(*parts)
+
+
+def check_graph(nodes: DataFrame, edges: DataFrame, key: str, node: str) -> DataFrame:
+    """The edges, if every end is a node, no node takes over two full histories and no chain returns to its start; else an error."""
+    from .graphs import levels
+
+    for found, what in ((dangling(nodes, edges, key, node), "an edge leads to no node"), (crowded(edges, key), "a node has two edges of full history")):
+        if found.head(1):
+            raise ValueError(f"{what}: {found.head(1)[0].asDict()}")
+    levels(nodes, edges, key, node)
+    return edges
+
+
+def built_edges(nodes: DataFrame, key: str, node: str, parents: str, history: str = "full") -> DataFrame:
+    """(key, source, target, history) of nodes with their parents' names, checked."""
+    edges = nodes.select(key, F.explode(parents).alias("source"), F.col(node).alias("target"), F.lit(history).alias("history"))
+    return check_graph(nodes, edges, key, node)

@@ -61,3 +61,37 @@ def sweep(spark: SparkSession, slowest: float, fastest: float, size: int) -> Dat
     k = F.col("k")
     step = (fastest - slowest) / max(1, size - 2)
     return spark.range(size).withColumnRenamed("id", "k").withColumn("rate", F.when(k == 0, slowest).when(k == 1, fastest).otherwise(slowest + step * (k - 1)))
+
+
+def profile(spark: SparkSession, kind: str, rates: list[float] | None = None) -> DataFrame:
+    """(k, strategy, rate): a strategy for each rate or number of streams; kinds that run once have one without a rate.
+
+    Lists go with constant, poisson and concurrent; synchronous, throughput and replay run once.
+    """
+    once = ("synchronous", "throughput", "replay")
+    if kind in once:
+        if rates and len(rates) > 1:
+            raise ValueError(f"{kind} takes one rate at most")
+        return spark.createDataFrame([(0, kind, float(rates[0]) if rates else None)], "k long, strategy string, rate double")
+    if kind not in ("constant", "poisson", "concurrent"):
+        raise ValueError(f"no profile is known as {kind!r}")
+    if not rates or min(rates) <= 0:
+        raise ValueError("rates above zero are needed")
+    return spark.createDataFrame([(k, kind, float(x)) for k, x in enumerate(rates)], "k long, strategy string, rate double")
+
+
+def escalated(runs: DataFrame, order: str, stopped: str) -> DataFrame:
+    """The runs up to the first that a constraint for all rates has stopped."""
+    last = runs.where(stopped).agg(F.min(order).alias("_last"))
+    return runs.crossJoin(F.broadcast(last)).where(F.col("_last").isNull() | (F.col(order) <= F.col("_last"))).drop("_last")
+
+
+def streams(r: DataFrame, n: int, keys: list[str], ramp: float = 0.0) -> DataFrame:
+    """r with stream and offset_s of a closed loop: requests are dealt to n streams in turn, each begins as the one before it in its stream ends.
+
+    The first of each stream begin one after the other over `ramp` seconds.
+    """
+    x = running_sum(r.withColumn("_one", F.lit(1)), keys, "start_us", {"_place": "_one"}, ties=("request_id",))
+    x = x.withColumn("stream", ((F.col("_place") - 1) % n).cast("int"))
+    x = running_sum(x, [*keys, "stream"], "start_us", {"_sum": "latency_us"}, ties=("request_id",))
+    return x.withColumn("offset_s", ramp * F.col("stream") / n + (F.col("_sum") - F.col("latency_us")) / 1e6).drop("_one", "_place", "_sum")

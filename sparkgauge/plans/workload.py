@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import mapping
+from ..operators import chats, conversations, mapping, schedule
 from ..operators import preprocess as pp
 from .datasets import WORDS, table
 from .telemetry import query_into
@@ -120,3 +120,65 @@ def sorted_trace(spark: SparkSession, d: str) -> DataFrame:
 
     x = sorted_rows(table(spark, d, "orders"), "o_orderdate", ["o_custkey"], ties=("o_orderkey",))
     return x.select("o_custkey", "o_orderkey", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")).alias("place"))
+
+
+KIND_SQL = "CASE turn % 3 WHEN 0 THEN 'standard' WHEN 1 THEN 'client_tool_call' ELSE 'tool_response_injection' END"
+
+
+@query(f"SELECT conv_id, turn, CASE WHEN turn % 2 = 1 THEN CASE WHEN {KIND_SQL} = 'client_tool_call' THEN 'required' ELSE 'none' END END AS tool_choice, CASE WHEN turn % 2 = 1 AND turn % 3 = 1 THEN 2 ELSE 0 END AS removed FROM conversations")
+def tool_overrides(spark: SparkSession, d: str) -> DataFrame:
+    x = table(spark, d, "conversations").select("conv_id", "turn", F.expr(KIND_SQL).alias("kind"), F.when(F.col("turn") % 2 == 1, '[{"name": "f"}]').otherwise("[]").alias("tools"))
+    return chats.tool_overrides(x, "tools", "kind").select("conv_id", "turn", "tool_choice", F.size("removed").alias("removed"))
+
+
+@query("""SELECT o_orderkey, coalesce(CASE WHEN o_orderkey % 3 = 0 THEN o_custkey END, 7) AS input_tokens, coalesce(CASE WHEN o_orderkey % 4 = 0 THEN 5 END, CASE WHEN o_orderstatus = 'F' THEN 9 END) AS output_tokens,
+  coalesce(CASE WHEN o_orderstatus = 'F' AND o_orderkey % 7 = 0 THEN 2 END, CASE WHEN o_orderkey % 2 = 0 THEN 0 END) AS output_tool_call_count FROM orders""")
+def compiled_usage(spark: SparkSession, d: str) -> DataFrame:
+    k, done = F.col("o_orderkey"), F.col("o_orderstatus") == "F"
+    x = table(spark, d, "orders").select(
+        "o_orderkey", F.when(done, "completed").otherwise("errored").alias("status"), F.when(k % 2 == 0, "client_tool_call").otherwise("standard").alias("turn_type"), F.lit(7).alias("request_input_tokens"), F.when(k % 3 == 0, F.col("o_custkey")).alias("response_input_tokens"),
+        F.lit(9).alias("request_output_tokens"), F.when(k % 4 == 0, 5).alias("response_output_tokens"), F.when(k % 7 == 0, 2).alias("request_output_tool_call_count"), F.lit(None).cast("int").alias("response_output_tool_call_count"),
+    )
+    names = ["input_tokens", "output_tokens", "output_tool_call_count"]
+    return chats.compiled_usage(x, names).select("o_orderkey", *names)
+
+
+@query("""SELECT conv_id, string_agg(CASE WHEN role = 'system' THEN text END, ' ' ORDER BY turn) AS instructions, coalesce(string_agg(CASE role WHEN 'user' THEN 'input_text:' || text WHEN 'assistant' THEN 'output_text:' || text END, '|' ORDER BY turn), '') AS items
+FROM conversations WHERE length(text) > 0 GROUP BY 1""")
+def input_items(spark: SparkSession, d: str) -> DataFrame:
+    said = lambda role: F.when(F.col("role") == role, F.col("text"))
+    c = table(spark, d, "conversations").where(F.length("text") > 0).select("conv_id", "turn", said("system").alias("p"), said("user").alias("u"), said("assistant").alias("a"))
+    x = chats.input_items(c, "conv_id", "turn", "p", "u", "a")
+    return x.select("conv_id", "instructions", F.array_join(F.transform("items", lambda i: F.concat(i["type"], F.lit(":"), i["text"])), "|").alias("items"))
+
+
+@query("WITH l AS (SELECT l_orderkey, l_linenumber, min(l_partkey) AS p, min(l_suppkey) AS s FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1, 2) SELECT l_orderkey, string_agg('f' || l_linenumber || '(' || p || s || ')', ',' ORDER BY l_linenumber) AS calls FROM l GROUP BY 1")
+def stream_tool_calls(spark: SparkSession, d: str) -> DataFrame:
+    """Two chunks a call, the second with the rest of its arguments; calls of a stream are interleaved."""
+    x = table(spark, d, "lineitem").where("l_linenumber <= 3").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"), F.min("l_suppkey").alias("l_suppkey"))
+    first = lambda args: F.struct(F.col("l_linenumber").cast("int").alias("index"), F.struct(F.when(F.lit(args == "l_partkey"), F.concat(F.lit("f"), F.col("l_linenumber").cast("string"))).alias("name"), F.col(args).cast("string").alias("arguments")).alias("function"))
+    body = lambda args: F.to_json(F.struct(F.array(F.struct(F.struct(F.array(first(args)).alias("tool_calls")).alias("delta"))).alias("choices")))
+    chunks = x.select("l_orderkey", F.col("l_linenumber").alias("t"), body("l_partkey").alias("data")).unionByName(x.select("l_orderkey", (10 + F.col("l_linenumber")).alias("t"), body("l_suppkey").alias("data")))
+    calls = chats.assembled_calls(chunks, "l_orderkey", "t")
+    return calls.select("l_orderkey", F.array_join(F.transform("calls", lambda c: F.concat(c["name"], F.lit("("), c["arguments"], F.lit(")"))), ",").alias("calls"))
+
+
+@query("""WITH c AS (SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS source FROM conversations) SELECT conv_id, source, turn AS target FROM c WHERE source IS NOT NULL""")
+def built_edges(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "conversations").select("conv_id", "turn")
+    linear = conversations.linear_edges(table(spark, d, "conversations")).select("conv_id", F.col("target").alias("turn"), F.col("source").alias("p"))
+    nodes = c.join(linear, ["conv_id", "turn"], "left").select("conv_id", "turn", F.array_compact(F.array("p")).alias("parents"))
+    return conversations.built_edges(nodes, "conv_id", "turn", "parents").select("conv_id", "source", "target")
+
+
+@query("SELECT n_nationkey AS k, n_regionkey = 3 AS stop_all FROM nation WHERE n_nationkey <= (SELECT min(n_nationkey) FROM nation WHERE n_regionkey = 3)")
+def escalated_runs(spark: SparkSession, d: str) -> DataFrame:
+    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("k"), (F.col("n_regionkey") == 3).alias("stop_all"))
+    return schedule.escalated(n, "k", "stop_all")
+
+
+@query("""WITH o AS (SELECT o_custkey AS c, o_orderkey AS request_id, epoch_us(o_orderdate) AS t, 1000 + o_orderkey % 97 AS latency_us, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1) % 3 AS stream FROM orders)
+SELECT request_id, stream, round(6.0 * stream / 3 + coalesce(sum(latency_us) OVER (PARTITION BY c, stream ORDER BY t, request_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 1e6, 6) AS offset_s FROM o""")
+def closed_loop(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("c"), F.col("o_orderkey").alias("request_id"), F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("start_us"), (1000 + F.col("o_orderkey") % 97).alias("latency_us"))
+    return schedule.streams(o, 3, ["c"], ramp=6.0).select("request_id", "stream", F.round("offset_s", 6).alias("offset_s"))

@@ -182,3 +182,25 @@ def blocks_fit(n_in: str, ids: str, block: int = 512, floor_too: bool = False):
     if floor_too:
         count = count | (n == F.floor(F.col(n_in) / block))
     return F.forall(ids, lambda x: x >= 0) & count
+
+
+def options(source: str | dict) -> dict:
+    """Options of a dict, a JSON text, a JSON file or `key=value,...`; values of pairs are JSON where they can be, else texts."""
+    import json as js
+    from pathlib import Path
+
+    if isinstance(source, dict):
+        return dict(source)
+    text = Path(source).read_text() if source.endswith(".json") and Path(source).is_file() else source.strip()
+    if text.startswith("{"):
+        return js.loads(text)
+    out: dict = {}
+    for pair in filter(None, (p.strip() for p in text.split(","))):
+        name, sign, value = pair.partition("=")
+        if not sign:
+            raise ValueError(f"{pair!r} is no key=value")
+        try:
+            out[name.strip()] = js.loads(value)
+        except ValueError:
+            out[name.strip()] = value.strip()
+    return out
