@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from math import log, sqrt
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.student import t_quantile
 from .ordered import running_sum
 
 def failed() -> Column:
@@ -60,20 +60,6 @@ def per_benchmark(values: list, index: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), F.least(index + 1, F.lit(len(values))).cast("int"))
 
 
-def t_quantile(p: float, dof: Column) -> Column:
-    """Student's t quantile: the normal one by a rational approximation, then the Cornish-Fisher expansion; NaN without freedom."""
-    q = min(p, 1 - p)
-    t = sqrt(-2 * log(q))
-    # Coefficients of the rational approximation 26.2.23 in Abramowitz and Stegun.
-    z = t - (2.515517 + 0.802853 * t + 0.010328 * t * t) / (1 + 1.432788 * t + 0.189269 * t * t + 0.001308 * t**3)
-    z = z if p > 0.5 else -z
-    g = [(z**3 + z) / 4, (5 * z**5 + 16 * z**3 + 3 * z) / 96, (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384]
-    series = F.lit(z)
-    for k, x in enumerate(g, 1):
-        series = series + F.lit(x) / F.pow(dof, F.lit(k))
-    return F.when(dof > 0, series).otherwise(F.lit(float("nan")))
-
-
 def slope(r: DataFrame, keys: list[str], x: str = "start_us", y: str = "latency_us", confidence: float = 0.95, most_error: float = 2.0) -> DataFrame:
     """Least-squares slope of y (s) over x (s from the start): n, slope, standard error, relative margin, alert."""
     begin = r.groupBy(*keys).agg(F.min(x).alias("_x0"))

@@ -154,8 +154,8 @@ def histogram(df: DataFrame, value: str, width: float | None = None, bins: int =
 
 def reservoir(df: DataFrame, keys: list[str], size: int, seed: int = 0, payload: tuple[str, ...] = ()) -> DataFrame:
     """Marks `size` rows of each key as sampled, by a seeded hash of request_id; clears the payload of all others."""
-    h = F.xxhash64("request_id", F.lit(seed))
-    top = df.select(*keys, "request_id", h.alias("_h")).withColumn("_b", F.pmod(F.col("_h"), F.lit(256)))
+    h = F.md5(F.concat(F.col("request_id").cast("string"), F.lit(f":{seed}")).cast("binary"))
+    top = df.select(*keys, "request_id", h.alias("_h")).withColumn("_b", F.substring("_h", 1, 2))
     first = top.withColumn("_k", F.row_number().over(Window.partitionBy(*keys, "_b").orderBy("_h"))).where(F.col("_k") <= size)
     chosen = first.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy("_h"))).where(F.col("_k") <= size)
     out = df.join(chosen.select("request_id", *keys, F.lit(True).alias("sampled")), ["request_id", *keys], "left").withColumn("sampled", F.coalesce("sampled", F.lit(False)))

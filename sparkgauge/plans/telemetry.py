@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import requests as rq
+from ..functions.student import normal_quantile, terms
 from ..operators import constraints, distribution as ds, report, schedule
 from ..operators.ordered import neighbours
 
@@ -262,6 +263,13 @@ def token_histogram(spark: SparkSession, d: str) -> DataFrame:
     return r6(ds.histogram(spark.read.parquet(f"{d}/documents.parquet"), "n_chars"), "bucket_start")
 
 
+@query(f"""WITH {REQUESTS}, h AS (SELECT request_id, k, row_number() OVER (PARTITION BY status ORDER BY md5(request_id || ':3')) <= 10 AS sampled FROM requests)
+SELECT request_id, sampled, CASE WHEN sampled THEN k END AS k FROM h""")
+def reservoir_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Which rows of each status are in the sample, and that the others lose their payload."""
+    return ds.reservoir(rq.requests(spark, d), ["status"], 10, seed=3, payload=("k",)).select("request_id", "sampled", "k")
+
+
 @query(f"WITH {REQUESTS} SELECT status, least(count(*), 10) AS n FROM requests GROUP BY status")
 def reservoir_sizes(spark: SparkSession, d: str) -> DataFrame:
     r = ds.reservoir(rq.requests(spark, d), ["status"], 10, payload=("k",))
@@ -288,10 +296,15 @@ def first_trigger(spark: SparkSession, d: str) -> DataFrame:
 SLOPE_SQL = "slope AS (SELECT run_index, count(*) AS n, regr_slope(y, x) AS slope, regr_sxx(y, x) AS sxx, regr_syy(y, x) AS syy, regr_sxy(y, x) AS sxy FROM (SELECT run_index, (start_us - min(start_us) OVER (PARTITION BY run_index)) / 1e6 AS x, latency_us / 1e6 AS y FROM requests) GROUP BY 1)"
 
 
-@query(f"WITH {REQUESTS}, {SLOPE_SQL} SELECT run_index, n, round(slope, 8) AS slope, round(sqrt(greatest(syy - sxy * sxy / sxx, 0) / (n - 2) / sxx), 8) AS se FROM slope")
+Z = normal_quantile(0.95)
+T_SQL = f"({Z!r} + {terms(Z)[0]!r} / (n - 2) + {terms(Z)[1]!r} / (n - 2) ** 2)"
+
+
+@query(f"""WITH {REQUESTS}, {SLOPE_SQL}, se AS (SELECT *, sqrt(greatest(syy - sxy * sxy / sxx, 0) / (n - 2) / sxx) AS se FROM slope), m AS (SELECT *, {T_SQL} * se / greatest(slope, 1e-12) AS margin FROM se)
+SELECT run_index, n, round(slope, 8) AS slope, round(se, 8) AS se, CASE WHEN slope > 0 THEN round(margin, 4) END AS margin, slope > 0 AND margin < 2.0 AS alert FROM m""")
 def slope_check(spark: SparkSession, d: str) -> DataFrame:
     s = constraints.slope(rq.requests(spark, d), ["run_index"])
-    return s.select("run_index", "n", F.round("slope", 8).alias("slope"), F.round("se", 8).alias("se"))
+    return s.select("run_index", "n", F.round("slope", 8).alias("slope"), F.round("se", 8).alias("se"), F.when(F.col("slope") > 0, F.round("margin", 4)).alias("margin"), "alert")
 
 
 @query(f"""WITH {REQUESTS}, b AS (SELECT run_index, min(start_us) AS lo, max(end_us) - min(start_us) AS len FROM requests GROUP BY 1)

@@ -3,28 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import isnan, log, sqrt
+from math import isnan, sqrt
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions.student import t_quantile_of
+
 STATE = "started_t array<double>, started_v array<double>, first_t array<double>, first_v array<double>, n_started long, n_first long"
 VERDICT = "run_index long, at_s double, n_started long, n_first long, n_late long, saturated boolean"
 
 
-def quantile(p: float, dof: float) -> float:
-    """Student's t quantile, as constraints.t_quantile has it."""
-    if dof <= 0:
-        return float("nan")
-    t = sqrt(-2 * log(min(p, 1 - p)))
-    # Coefficients of the rational approximation 26.2.23 in Abramowitz and Stegun.
-    z = t - (2.515517 + 0.802853 * t + 0.010328 * t * t) / (1 + 1.432788 * t + 0.189269 * t * t + 0.001308 * t**3)
-    z = z if p > 0.5 else -z
-    return z + (z**3 + z) / 4 / dof + (5 * z**5 + 16 * z**3 + 3 * z) / 96 / dof**2 + (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384 / dof**3
-
-
 def rises(t: np.ndarray, v: np.ndarray, n: float, confidence: float, most_error: float) -> bool:
     """Whether the least-squares slope is positive with a relative margin below most_error; n stands for independent points."""
     if n <= 2 or not len(t):
@@ -32,7 +23,7 @@ def rises(t: np.ndarray, v: np.ndarray, n: float, confidence: float, most_error:
     x, y = t - t.mean(), v - v.mean()
     sxx = max(float(x @ x), 1e-12)
     slope = float(x @ y) / sxx
-    margin = quantile(confidence, n - 2) * sqrt(max(float(y @ y) - slope * float(x @ y), 0.0) / (n - 2) / sxx) / max(slope, 1e-12)
+    margin = t_quantile_of(confidence, n - 2) * sqrt(max(float(y @ y) - slope * float(x @ y), 0.0) / (n - 2) / sxx) / max(slope, 1e-12)
     return slope > 0 and not isnan(margin) and margin < most_error
 
 
