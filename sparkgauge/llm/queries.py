@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import sql
 from .common import documents, scratch
 
 
@@ -70,4 +71,4 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_license_scan, op2_quality_rules, op3_token_count, op4_suffix_dedup, op5_embedding_dedup, op6_token_files, op7_pii, op8_minhash, op9_mixing, op10_packing)}
-SQL: dict[str, str] = {}
+SQL = sql.SQL
