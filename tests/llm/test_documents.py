@@ -95,6 +95,19 @@ def test_quality_against_labels(spark):
     assert kept.columns == ["doc_id", "text", "source", "n_words"] and wanted and {r.doc_id for r in kept.collect()} == wanted
 
 
+def test_quality_posterior_beats_any_bad_vote(spark):
+    import duckdb
+
+    d = "/root/testdata/sf0.1"
+    truth = dict(duckdb.sql(f"select doc_id, quality from '{d}/labels.parquet'").fetchall())
+    rows = [r for r in quality_rules.score_documents(spark.read.parquet(f"{d}/documents.parquet")).collect() if r.doc_id in truth and not r.base_failed]
+    votes = [c for c in rows[0].asDict() if c.startswith("v_")]
+    right = np.mean([r.kept == (truth[r.doc_id] == 1) for r in rows])
+    plain = np.mean([all(r[c] >= 0 for c in votes) == (truth[r.doc_id] == 1) for r in rows])
+    assert right > 0.998 and right > plain
+    assert any(r.kept and min(r[c] for c in votes) < 0 for r in rows) and {r[c] for r in rows for c in votes} == {-1, 0, 1}
+
+
 def test_em_finds_accuracies():
     r = np.random.default_rng(1)
     y = r.random(20000) < 0.8
