@@ -85,8 +85,8 @@ def request_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 def weighted(metric: str, weight: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        r = rq.with_total(rq.with_metrics(rq.requests(spark, d)).select("status", F.round(metric, 6).alias("value"), F.expr(weight).alias("weight")))
-        s = ds.value_summary(r, ["status"], weight="weight")
+        r = rq.with_metrics(rq.requests(spark, d)).select("status", F.round(metric, 6).alias("value"), F.expr(weight).alias("weight"))
+        s = ds.summarise(ds.with_totals(ds.pdf(r, ["status"], weight="weight"), "status", "weight"), ["status"])
         return s.select("status", F.col("count").alias("n"), F.round("mean", 5).alias("mean"), "p50", "p95")
 
     sql = f"WITH {REQUESTS}, {TOTAL}, src AS (SELECT status, round(CAST({METRICS[metric]} AS DOUBLE), 6) AS value, {weight} AS weight FROM alls), {summary_sql('src', 'status')} SELECT status, n, round(mean, 5) AS mean, p50, p95 FROM summary"
@@ -99,14 +99,13 @@ QUERIES["tpot_weighted_summary"], SQL["tpot_weighted_summary"] = weighted("tpot_
 
 @query(f"WITH {REQUESTS}, {TOTAL} SELECT status, value, count(*) AS weight FROM (SELECT status, latency_us // 1000000 AS value FROM alls) GROUP BY status, value")
 def pdf_by_status(spark: SparkSession, d: str) -> DataFrame:
-    r = rq.with_total(rq.requests(spark, d).select("status", F.expr("latency_us div 1000000").alias("value")))
-    return ds.pdf(r, ["status"])
+    r = rq.requests(spark, d).select("status", F.expr("latency_us div 1000000").alias("value"))
+    return ds.with_totals(ds.pdf(r, ["status"]), "status", "weight")
 
 
 @query(f"WITH {REQUESTS}, {TOTAL}, m AS (SELECT status, latency_us // 1000000 AS value, count(*) AS weight FROM alls GROUP BY ALL) SELECT status, arg_max(value, (weight, -value)) AS mode FROM m GROUP BY status")
 def mode_by_status(spark: SparkSession, d: str) -> DataFrame:
-    r = rq.with_total(rq.requests(spark, d).select("status", F.expr("latency_us div 1000000").alias("value")))
-    return ds.value_summary(r, ["status"]).select("status", "mode")
+    return ds.summarise(pdf_by_status(spark, d), ["status"]).select("status", "mode")
 
 
 @query(f"WITH {REQUESTS}, {TOTAL}, m AS (SELECT status, latency_us // 1000000 AS value, count(*) AS weight FROM alls GROUP BY ALL), n AS (SELECT *, row_number() OVER (PARTITION BY status ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY status) AS c FROM m) SELECT status, value, weight FROM n WHERE c <= 5 OR i IN (0, (c - 1) // 4, 2 * (c - 1) // 4, 3 * (c - 1) // 4, c - 1)")
@@ -218,8 +217,8 @@ def token_rate(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {REQUESTS}, {TOTAL} SELECT status, round((output_tokens - 1) / (token_iterations - 1), 6) AS value, CAST(sum(token_iterations - 1) AS BIGINT) AS n FROM alls WHERE output_tokens > 1 AND token_iterations > 1 GROUP BY 1, 2")
 def iteration_fanout(spark: SparkSession, d: str) -> DataFrame:
-    r = rq.with_total(rq.requests(spark, d))
-    return r.select("status", F.explode(rq.iteration_points()).alias("p")).groupBy("status", F.round("p.w", 6).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    n = rq.requests(spark, d).select("status", F.explode(rq.iteration_points()).alias("p")).groupBy("status", F.round("p.w", 6).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    return ds.with_totals(n, "status", "n")
 
 
 BASE = ("request_latency_s", "prompt_tokens", "output_tokens", "total_tokens", "ttft_ms", "token_iterations")
@@ -237,7 +236,7 @@ def base_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {REQUESTS} SELECT run_index, coalesce(status, 'total') AS status, count(*) AS n FROM requests GROUP BY GROUPING SETS ((run_index, status), (run_index))")
 def request_totals(spark: SparkSession, d: str) -> DataFrame:
-    return rq.with_total(rq.requests(spark, d).select("run_index", "status")).groupBy("run_index", "status").agg(F.count(F.lit(1)).alias("n"))
+    return ds.with_totals(rq.requests(spark, d).groupBy("run_index", "status").agg(F.count(F.lit(1)).alias("n")), "status", "n")
 
 
 PARTS = {"prefill_s": "(first_token_us - start_us) / 1e6", "decode_s": "(last_token_us - first_token_us) / 1e6", "finish_s": "(end_us - last_token_us) / 1e6", "queued_s": "0.0"}
@@ -384,8 +383,8 @@ def slo_match(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {RUNS_SQL}, f AS (SELECT run_index, status, unnest(['p50', 'p75', 'p90', 'p95', 'p99']) AS p, unnest([p50, p75, p90, p95, p99]) // 1000000000 AS v FROM summary), g AS (SELECT *, lead(v) OVER (PARTITION BY run_index, status ORDER BY p) AS n FROM f) SELECT run_index, status, p, v FROM g WHERE n IS NULL OR n <> v")
 def dedup_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    r = rq.with_total(rq.requests(spark, d).select("run_index", "status", F.col("latency_us").alias("value")))
-    s = ds.value_summary(r, ["run_index", "status"]).select("run_index", "status", *(F.expr(f"{p} div 1000000000").alias(p) for p in ("p50", "p75", "p90", "p95", "p99")))
+    p = ds.with_totals(ds.pdf(rq.requests(spark, d), ["run_index", "status"], "latency_us"), "status", "weight")
+    s = ds.summarise(p, ["run_index", "status"]).select("run_index", "status", *(F.expr(f"{p} div 1000000000").alias(p) for p in ("p50", "p75", "p90", "p95", "p99")))
     return report.distinct_percentiles(s, ["run_index", "status"], ["p50", "p75", "p90", "p95", "p99"])
 
 

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ordered import settle
 from .readers import reader
 
 
@@ -106,7 +107,7 @@ def hdf5(spark: SparkSession, path: str, schema: str, key: str) -> DataFrame:
 def unwrap(df: DataFrame, required: dict[str, str]) -> DataFrame:
     """Rows of a trace with the required columns (name: type): as they are, or out of the one column that holds JSON lists of them.
 
-    Unwrapped rows have `conversation`, a number of the row that they came from (rising with it, not without gaps).
+    Unwrapped rows have `conversation`, a number of the row that they came from (rising with it, not without gaps), the same for all readers.
     """
     if set(required) <= set(df.columns):
         return df
@@ -117,8 +118,8 @@ def unwrap(df: DataFrame, required: dict[str, str]) -> DataFrame:
     fit = [c for c, ok in zip(texts, found, strict=True) if ok]
     if len(fit) != 1:
         raise ValueError(f"{len(fit)} columns hold lists of rows with {', '.join(required)}; there has to be one")
-    x = df.select(F.monotonically_increasing_id().alias("conversation"), F.from_json(fit[0], item).alias("_rows"))
-    return x.select("conversation", F.explode("_rows").alias("_row")).select("conversation", "_row.*")
+    x = settle(df.select(F.monotonically_increasing_id().alias("conversation"), F.col(fit[0]).alias("_cell")))
+    return x.withColumn("_rows", F.from_json("_cell", item)).select("conversation", F.explode("_rows").alias("_row")).select("conversation", "_row.*")
 
 
 def weka_blocks(df: DataFrame, block: int = 64) -> DataFrame:
