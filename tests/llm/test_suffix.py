@@ -8,7 +8,7 @@ import numpy as np
 
 from sparkgauge.llm import suffix_dedup
 
-from .data import ROWS, frame, texts
+from .data import LONG, ROWS, frame, texts
 from .test_documents import by_id
 
 
@@ -45,7 +45,9 @@ def hard(seed=4):
 
 
 def test_remove_repeats(spark):
-    rows = [(a + 1000, b, c, d) for a, b, c, d in texts()] + ROWS + hard()
+    r = random.Random(8)
+    long = "".join(r.choice("abcdefgh ") for _ in range(150_000))
+    rows = [(a + 1000, b, c, d) for a, b, c, d in texts()] + ROWS + hard() + [(900, long + LONG, "s", "x"), (901, "x" + long[70_000:71_000] + LONG * 2, "s", "x")]
     want = brute(rows)
     got = by_id(suffix_dedup.remove_repeats(frame(spark, rows)))
     bad = {i: (want[i], tuple(got[i])[1:5]) for i in want if want[i] != tuple(got[i])[1:5]}
@@ -53,6 +55,21 @@ def test_remove_repeats(spark):
     assert suffix_dedup.remove_repeats(frame(spark, [])).count() == 0
 
 
+def test_clashes_of_short_keys_remove_nothing(spark, monkeypatch):
+    """With seven keys for all phrase sequences nearly everything is looked at, and nothing else is removed."""
+    from pyspark import cloudpickle
+
+    key = suffix_dedup.sequence_key
+    monkeypatch.setattr(suffix_dedup, "sequence_key", lambda sums, a, b: np.abs(key(sums, a, b)) % 7)
+    cloudpickle.register_pickle_by_value(suffix_dedup)
+    try:
+        rows = [(a, t[:6000], s, x) for a, t, s, x in hard()[:14] + hard()[-4:]]
+        got = by_id(suffix_dedup.remove_repeats(frame(spark, rows)))
+    finally:
+        cloudpickle.unregister_pickle_by_value(suffix_dedup)
+    assert {i: tuple(r)[1:5] for i, r in got.items()} == brute(rows)
+
+
 def test_hashes():
     data = np.frombuffer(b"some bytes that repeat, some bytes that repeat, " * 20, np.uint8)
     for n in (1, 2, 3, 16, 100, 400):
