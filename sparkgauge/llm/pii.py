@@ -22,6 +22,8 @@ SPAN = "array<struct<start:int,rank:int,stop:int,value:string>>"
 #: Values that may be identifiers: words of six characters or more with a digit in them.
 VALUE = r"(?<![^\x20\x09-\x0D])(?=[^\x20\x09-\x0D]*[0-9])[^\x20\x09-\x0D]{6,}+"
 GAP = r"[\x20\x09-\x0D]+"
+#: The first two words of a text.
+HEAD = r"^[\x20\x09-\x0D]*+([^\x20\x09-\x0D]++(?:[\x20\x09-\x0D]++[^\x20\x09-\x0D]++)?)"
 #: Seeds beyond the base kinds: unbroken strings of 20 characters or more that mix digits with letters, as keys and tokens are.
 SECRET = r"^(?=(?:[^0-9]*[0-9]){4})(?=(?:[^A-Za-z]*[A-Za-z]){4})[A-Za-z0-9+/_=.-]{20,}$"
 LEAD, TRAIL = r"^[\"'(\[{<]+", r"[\"')\]}>.,;:!?]+$"
@@ -58,20 +60,25 @@ def running(x: Column) -> Column:
 
     width = F.ceil(F.sqrt(F.size(x))).cast("int")
     blocks = F.transform(F.sequence(F.lit(0), F.ceil(F.size(x) / width).cast("int") - 1), lambda b: sums(F.slice(x, b * width + 1, width)))
-    before = lambda b: sums(F.transform(b, lambda y: F.element_at(y, -1)))
-    shifted = F.zip_with(blocks, before(blocks), lambda b, z: F.transform(b, lambda v: v + z - F.element_at(b, -1)))
+    last = lambda b: F.element_at(b, -1)
+    shifted = once(blocks, lambda bs: F.zip_with(bs, sums(F.transform(bs, last)), lambda b, z: F.transform(b, lambda v: v + z - last(b))))
     return F.when(F.size(x) > 0, F.flatten(shifted)).otherwise(F.array().cast("array<int>"))
 
 
+def once(x: Column, f) -> Column:
+    """f of x, worked out once however often f reads it."""
+    return F.transform(F.array(x), f)[0]
+
+
 def ends(found: Column, pieces: Column) -> Column:
     """Where each match ends, in code points, from the texts between matches and the matches."""
-    return running(F.zip_with(found, F.slice(pieces, 1, F.size(found)), lambda m, g: F.length(m) + F.length(g)))
+    return once(F.zip_with(found, F.slice(pieces, 1, F.size(found)), lambda m, g: F.length(m) + F.length(g)), running)
 
 
 def matches(text: Column, pattern: str, rank: int, keep=None) -> Column:
     """Spans of all matches in code points."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    spans = F.zip_with(found, ends(found, F.split(text, pattern, -1)), lambda v, z: F.struct((z - F.length(v)).alias("start"), F.lit(rank).alias("rank"), z.alias("stop"), v.alias("value")))
+    both = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("p"))
+    spans = once(both, lambda x: F.zip_with(x["m"], ends(x["m"], x["p"]), lambda v, z: F.struct((z - F.length(v)).alias("start"), F.lit(rank).alias("rank"), z.alias("stop"), v.alias("value"))))
     return F.filter(spans, lambda s: keep(s["value"])) if keep else spans
 
 
@@ -97,16 +104,26 @@ def short(x: Column) -> Column:
     return F.when(F.length(x) > 64, F.md5(x.cast("binary"))).otherwise(x)
 
 
-def contexts(text: Column) -> Column:
-    """Spans of the values of a text with their lexical patterns: two words before, two words after, one word on either side."""
-    found = F.regexp_extract_all(text, F.lit(VALUE), F.lit(0))
-    pieces = F.split(text, VALUE, -1)
-    gaps = F.transform(pieces, lambda p: F.trim(F.regexp_replace(F.lower(p), GAP, " ")))
+def first_words(t: Column) -> Column:
+    """The first two words, lower-cased, with one blank between; fewer if there are fewer."""
+    return F.lower(F.regexp_replace(F.regexp_extract(t, HEAD, 1), GAP, " "))
+
+
+def with_contexts(docs: DataFrame, text: Column, name: str) -> DataFrame:
+    """docs with the spans of the values of a text and their lexical patterns: two words before, two words after, one word on either side.
+
+    In steps, each a column of its own, so that nothing is worked out twice.
+    """
+    values, pieces, before, after, stops = (free_name(docs, f"{name}_{x}") for x in ("values", "pieces", "before", "after", "stops"))
+    x = docs.withColumn(values, F.when(F.regexp_like(text, F.lit("[0-9]")), F.regexp_extract_all(text, F.lit(VALUE), F.lit(0))))
+    x = x.withColumn(pieces, F.when(F.size(values) > 0, F.split(text, VALUE, -1)))
     mark = lambda at, edge: F.when(at == edge, EDGE).otherwise(SLOT)
-    before = F.transform(gaps, lambda g, i: F.substring_index(F.trim(F.concat(mark(i, 0), F.lit(" "), g)), " ", -2))
-    after = F.transform(gaps, lambda g, i: F.substring_index(F.trim(F.concat(g, F.lit(" "), mark(i, F.size(found)))), " ", 2))
-    around = F.zip_with(F.slice(before, 1, F.size(found)), F.slice(after, 2, F.size(found)), lambda b, a: F.struct(b.alias("b"), a.alias("a")))
-    placed = F.zip_with(found, ends(found, pieces), lambda v, z: F.struct(v.alias("v"), z.alias("z")))
+    tail = lambda p: F.reverse(first_words(F.reverse(p)))
+    x = x.withColumn(before, F.transform(pieces, lambda p, i: F.substring_index(F.trim(F.concat(mark(i, 0), F.lit(" "), tail(p))), " ", -2)))
+    x = x.withColumn(after, F.transform(pieces, lambda p, i: F.substring_index(F.trim(F.concat(first_words(p), F.lit(" "), mark(i, F.size(values)))), " ", 2)))
+    x = x.withColumn(stops, F.when(F.size(values) > 0, ends(F.col(values), F.col(pieces))))
+    around = F.zip_with(F.slice(before, 1, F.size(values)), F.slice(after, 2, F.size(values)), lambda b, a: F.struct(b.alias("b"), a.alias("a")))
+    placed = F.zip_with(values, stops, lambda v, z: F.struct(v.alias("v"), z.alias("z")))
 
     def candidate(p: Column, c: Column) -> Column:
         value = F.regexp_replace(F.regexp_replace(p["v"], LEAD, ""), TRAIL, "")
@@ -116,7 +133,7 @@ def contexts(text: Column) -> Column:
         known = F.filter(patterns, lambda x: ~x.isin(f"{EDGE} _", f"_ {EDGE}", f"{EDGE} _ {EDGE}"))
         return F.struct(start.alias("start"), (start + F.length(value)).alias("stop"), value.alias("value"), F.transform(known, short).alias("patterns"))
 
-    return F.zip_with(placed, around, candidate)
+    return x.withColumn(name, F.when(F.size(values) > 0, F.zip_with(placed, around, candidate))).drop(values, pieces, before, after, stops)
 
 
 def bootstrap(found: DataFrame, rounds: int, least: float, support: int) -> DataFrame:
@@ -145,9 +162,8 @@ def labelled(docs: DataFrame, text_col: str, names: dict[str, str], rounds: int
     row = free_name(docs, "row")
     text = F.coalesce(F.col(text_col), F.lit(""))
     x = docs.withColumn(row, F.monotonically_increasing_id()).withColumn(names["kinds"], F.struct(*(base_spans(text, k).alias(k) for k in KINDS)))
-    some = F.regexp_like(text, F.lit("[0-9]"))
     candidates = free_name(x, "candidates")
-    found = cut(x.withColumn(candidates, F.when(some, contexts(text))))
+    found = cut(with_contexts(x, text, candidates))
     extra = bootstrap(found.select(F.col(row).alias("row"), F.col(candidates).alias("candidates")), rounds, least, support)
     more = free_name(found, "extra")
     extra = cut(extra.groupBy("row").agg(F.collect_list(F.struct(F.col("start"), F.lit(len(KINDS)).alias("rank"), F.col("stop"), F.col("value"))).cast(SPAN).alias(more)).withColumnRenamed("row", row))
