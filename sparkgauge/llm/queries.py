@@ -70,5 +70,28 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_quality_rules, op3_token_count, op4_suffix_dedup, op5_embedding_dedup, op6_token_files, op7_pii, op8_minhash, op9_mixing, op10_packing)}
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score_toxicity
+
+    return score_toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hard_negatives import mine_hard_negatives
+
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", "label")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    scaled = F.transform("embedding", lambda x: 256 * x.cast("double"))
+    whole = F.transform(scaled, lambda x: F.when(F.abs(x) < 2.0**53, F.floor(x).cast("double")).otherwise(x))  # the largest are whole as they are
+    v = v.select("vec_id", label.alias("label"), whole.alias("embedding"))
+    return mine_hard_negatives(v, F.col("vec_id") % 100 == 0)
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .divergence import audit_sources
+
+    return audit_sources(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_quality_rules, op3_token_count, op4_suffix_dedup, op5_embedding_dedup, op6_token_files, op7_pii, op8_minhash, op9_mixing, op10_packing, op11_toxicity, op12_hard_negatives, op13_source_divergence)}
 SQL = sql.SQL
