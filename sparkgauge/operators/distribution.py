@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import before_ranges, in_order, running_sum, with_neighbours, with_running
+from .clusters import clusters
+from .ordered import in_order, running_sum, with_running
 
 #: Names and ranks of the percentiles.
 PERCENTILES = {"p001": 0.001, "p01": 0.01, "p05": 0.05, "p10": 0.1, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95, "p99": 0.99, "p999": 0.999}
@@ -66,31 +67,8 @@ def with_empty(summary: DataFrame, grid: DataFrame, keys: list[str]) -> DataFram
 
 
 def merge_times(points: DataFrame, keys: list[str], threshold: int = 100) -> DataFrame:
-    """(keys, t, w): each time joins the first time of its cluster, which takes all within threshold after it.
-
-    Chains of small gaps are told apart first; one no longer than the threshold is a cluster as it is.
-    Only longer chains are folded in order, each on its own.
-    """
-    x = in_order(points.groupBy(*keys, "t").agg(F.sum("w").alias("w")), keys, "t")
-    x = with_neighbours(x, keys, "t").withColumn("_new", F.when(F.col("prev_t").isNull() | (F.col("t") - F.col("prev_t") > threshold), F.col("t")))
-    # A chain is known by its first time: the last one that began at or before the row.
-    begun = before_ranges(x.groupBy(*keys, "_r").agg(F.max("_new").alias("_last")), keys, {"seg": (F.max, "_last")})
-    within = Window.partitionBy(*keys, "_r").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    x = x.join(begun, [*keys, "_r"]).withColumn("_seg", F.coalesce(F.max("_new").over(within), "_b_seg")).select(*keys, "t", "w", "_seg")
-    chains = x.groupBy(*keys, "_seg").agg(F.min("t").alias("_a"), F.max("t").alias("_z"), F.sum("w").alias("w"))
-    short = chains.where(F.col("_z") - F.col("_a") <= threshold).select(*keys, F.col("_a").alias("t"), "w")
-    long = chains.where(F.col("_z") - F.col("_a") > threshold).select(*keys, "_seg")
-    rows = x.join(long, [*keys, "_seg"]).groupBy(*keys, "_seg").agg(F.array_sort(F.collect_list(F.struct("t", "w"))).alias("p"))
-    last = lambda a: F.element_at(a, -1)
-    kind = "array<struct<t:bigint,w:double>>"
-
-    def step(acc, y):
-        y = F.struct(y["t"].cast("bigint").alias("t"), y["w"].cast("double").alias("w"))
-        joined = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last(acc)["t"].alias("t"), (last(acc)["w"] + y["w"]).alias("w"))))
-        return F.when(F.size(acc) == 0, F.array(y)).when(y["t"] - last(acc)["t"] <= threshold, joined).otherwise(F.concat(acc, F.array(y)))
-
-    folded = rows.select(*keys, F.explode(F.aggregate("p", F.array().cast(kind), step)).alias("c")).select(*keys, "c.t", "c.w")
-    return short.withColumn("w", F.col("w").cast("double")).unionByName(folded)
+    """(keys, t, w): each time joins the first time of its cluster, which takes all within threshold after it."""
+    return clusters(points, keys, threshold).select(*keys, "t", "w")
 
 
 def rate_points(points: DataFrame, keys: list[str], threshold: int = 100, start: int | None = None, end: int | None = None) -> DataFrame:
@@ -102,10 +80,10 @@ def rate_points(points: DataFrame, keys: list[str], threshold: int = 100, start:
             p = p.where(F.col("t") >= start).unionByName(ends.select(*keys, F.lit(start).cast("bigint").alias("t"), F.lit(0.0).alias("w")))
         if end is not None:
             p = p.where(F.col("t") <= end).unionByName(ends.select(*keys, F.lit(end).cast("bigint").alias("t"), F.lit(0.0).alias("w")))
-    x = with_neighbours(in_order(merge_times(p, keys, threshold), keys, "t"), keys, "t").drop("_r")
+    x = clusters(p, keys, threshold)
     half = (F.coalesce("next_t", "t") - F.coalesce("prev_t", "t")) / 2e6
     alone = F.col("next_t").isNull() & F.col("prev_t").isNull()
-    return x.where(~alone).withColumn("duration", F.when(F.col("next_t").isNull(), F.greatest(half, F.lit(TINY))).otherwise(half)).drop("next_t", "prev_t")
+    return x.where(~alone).withColumn("duration", F.when(F.col("next_t").isNull(), F.greatest(half, F.lit(TINY))).otherwise(half)).drop("next_t", "prev_t", "level")
 
 
 def rate_summary(points: DataFrame, keys: list[str], **options) -> DataFrame:
@@ -128,8 +106,8 @@ def concurrency_levels(spans: DataFrame, keys: list[str], threshold: int = 100,
     p = s.select(*keys, F.explode(deltas).alias("d")).select(*keys, "d.t", "d.w")
     if end is not None:
         p = p.where(F.col("t") <= end).unionByName(s.select(*keys).distinct().select(*keys, F.lit(end).cast("bigint").alias("t"), F.lit(0).alias("w")))
-    x = with_running(with_neighbours(in_order(merge_times(p, keys, threshold), keys, "t"), keys, "t"), keys, "t", {"level": "w"})
-    level = F.greatest(F.lit(0), F.col("level"))
+    x = clusters(p, keys, threshold)
+    level = F.greatest(F.lit(0.0), F.col("level"))
     return x.where("next_t is not null").select(*keys, "t", (level if weight else level.cast("bigint")).alias("level"), (F.col("next_t") - F.col("t")).alias("duration_us"))
 
 

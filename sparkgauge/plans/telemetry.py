@@ -194,6 +194,13 @@ def time_merge(spark: SparkSession, d: str) -> DataFrame:
     return ds.merge_times(o.select(F.col("o_custkey").alias("k"), F.expr("cast(o_totalprice as bigint) div 200").alias("t"), F.lit(1).alias("w")), ["k"], 100)
 
 
+@query(f"WITH RECURSIVE src AS (SELECT 1 AS k, l_orderkey * 5 + l_linenumber AS t, 1 AS w FROM lineitem), {merged_sql('src', 'k')} SELECT * FROM points")
+def one_chain_merge(spark: SparkSession, d: str) -> DataFrame:
+    """All times of one key in one chain without a gap beyond the threshold, over all ranges."""
+    x = spark.read.parquet(f"{d}/lineitem.parquet")
+    return ds.merge_times(x.select(F.lit(1).alias("k"), (F.col("l_orderkey") * 5 + F.col("l_linenumber")).alias("t"), F.lit(1).alias("w")), ["k"], 100)
+
+
 POINTS_SQL = """pts AS (
   SELECT status, 'prompt' AS metric, first_token_us AS t, CAST(prompt_tokens AS DOUBLE) AS w FROM alls
   UNION ALL SELECT status, 'output', CASE WHEN token_iterations <= 1 THEN last_token_us ELSE first_token_us END, CASE WHEN token_iterations <= 1 THEN output_tokens ELSE 1.0 END FROM alls
