@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from .common import cut, delete, drop, free_name, numbered, scratch, tables_in
 
 WORD = r"[^\x20\x09-\x0D]+"
-RANGES = 4096
+#: Rows in a range of hashes, on average, beyond the least number of ranges.
+ROWS = 4096
 
 
 def targets(sizes: DataFrame, weights: Callable, share: float, most: float) -> DataFrame:
@@ -51,32 +52,41 @@ def plan_mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: Ca
     """Per document: doc_id, size, source, source_size, target, taken, copies, first_position, second_position.
 
     Size: words of the text (null: 0). Each source takes all its documents floor(target / source_size)
-    times, then once more those whose cumulative size, in an order by a hash of the id, stays within
+    times, then once more those whose cumulative size, in an order by a hash of id and text, stays within
     the rest; so taken is 0, 1 or 2 times the size. The room that this leaves goes to the documents behind
-    (see `fill`) until none fits; a source never goes above its target. A copy's position is where the integral of its source's weight schedule reaches the words taken before it. Cumulative
-    sizes come from sums over ranges of the hash, so no source is gathered in one task. Equal ids are told
-    apart by their text's hash, then by the columns of carry, which the result keeps; a null source is a source of its own; an empty table gives no rows.
+    (see `fill`) until none fits. Of those left, the smallest is taken too where that brings its source nearer its target
+    than without it, so a source of few documents may go above; what is missing or too much is at most half
+    of the smallest document that could still be taken. A copy's position is where the integral of its source's weight
+    schedule reaches the words taken before it. Cumulative sizes come from sums over ranges of the hash, whose
+    number follows that of the rows, so no source is gathered in one task. Equal ids and texts are told apart
+    by the columns of carry, which the result keeps; a null source is a source of its own; an empty table gives no rows.
     """
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long").alias("size"), F.xxhash64(text_col).alias("_t"), *carry)
-    base = base.withColumn("h", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
-    rows = cut(base.withColumn("r", F.conv(F.substring("h", 1, 3), 16, 10).cast("int")).withColumn("_n", F.monotonically_increasing_id()))
+    base = base.withColumn("h", F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("_t")).cast("binary")))
+    rows = cut(base.withColumn("_n", F.monotonically_increasing_id()))
+    ranges = 4096
+    while ranges * ROWS < rows.count() and ranges < 1 << 24:
+        ranges *= 16
+    drop_table, digits = rows, len(f"{ranges:x}") - 1
+    rows = rows.withColumn("r", F.conv(F.substring("h", 1, digits), 16, 10).cast("int"))
     parts = rows.groupBy("source", "r").agg(F.sum("size").alias("n"))
     sources = targets(parts.groupBy("source").agg(F.sum("n").alias("source_size")), weights, share, most)
     before = Window.partitionBy("source").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = parts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    ranges = ranges.join(sources, ranges.source.eqNullSafe(sources.source)).drop(sources.source)
+    starts = parts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    starts = starts.join(sources, starts.source.eqNullSafe(sources.source)).drop(sources.source)
     within = Window.partitionBy("source", "r").orderBy("h", "doc_id", "_t", *carry).rowsBetween(Window.unboundedPreceding, -1)
     ahead = rows.withColumn("ahead", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    x = ahead.join(ranges, ahead.source.eqNullSafe(ranges.source) & (ahead.r == ranges.r)).drop(ranges.source).drop(ranges.r)
+    x = ahead.join(starts, ahead.source.eqNullSafe(starts.source) & (ahead.r == starts.r)).drop(starts.source).drop(starts.r)
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     x = x.withColumn("passes", passes).withColumn("ahead", F.col("before") + F.col("ahead"))
     rest = F.col("target") - F.col("passes") * F.col("source_size")
     fits = (F.col("source_size") > 0) & (F.col("ahead") + F.col("size") <= rest)
     x = cut(x.withColumn("rest", rest).withColumn("fits", fits))
-    drop(rows)
+    drop(drop_table)
     rooms = x.groupBy("source").agg(F.first("rest").alias("rest"), F.sum(F.when(F.col("fits"), F.col("size")).otherwise(0)).alias("used"))
-    more = fill(x.where(~F.col("fits") & (F.col("size") > 0)).select("source", "r", "h", "doc_id", "_t", "_n", "size", *carry), cut(rooms), carry)
-    x = x.join(more, "_n", "left").withColumn("last", F.coalesce("at", "ahead"))
+    spare = x.where(~F.col("fits") & (F.col("size") > 0)).select("source", "r", "h", "doc_id", "_t", "_n", "size", *carry)
+    more, rooms = fill(spare, cut(rooms), carry, ranges)
+    x = x.join(more.unionByName(nearest(spare, more, rooms)), "_n", "left").withColumn("last", F.coalesce("at", "ahead"))
     x = x.withColumn("copies", F.when(F.col("source_size") > 0, F.col("passes") + (F.col("fits") | F.col("at").isNotNull()).cast("long")).otherwise(0))
     x = x.withColumn("taken", F.col("copies") * F.col("size"))
     words = lambda lap: F.when(F.col("passes") == lap, F.col("last")).otherwise(F.col("ahead")) + lap * F.col("source_size")
@@ -84,8 +94,16 @@ def plan_mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: Ca
     return x.select("doc_id", "source", "size", "source_size", "target", "taken", "copies", at(0).alias("first_position"), at(1).alias("second_position"), F.col("_t").alias("text_hash"), *carry)
 
 
-def fill(left: DataFrame, rooms: DataFrame, carry: tuple[str, ...]) -> DataFrame:
-    """(_n, at): rows of left that go into the room of their source, and the words taken before each.
+def nearest(spare: DataFrame, more: DataFrame, rooms: DataFrame) -> DataFrame:
+    """(_n, at) of one document more a source: the smallest that is left, where it passes the target by less than is missing without it."""
+    left = spare.join(more.select("_n"), "_n", "left_anti")
+    least = left.groupBy(F.col("source").alias("_s")).agg(F.min(F.struct("size", "h", "doc_id", "_n")).alias("d"))
+    x = least.join(rooms, F.col("source").eqNullSafe(F.col("_s")))
+    return x.where(F.col("d.size") < 2 * (F.col("rest") - F.col("used"))).select("d._n", F.col("used").cast("long").alias("at"))
+
+
+def fill(left: DataFrame, rooms: DataFrame, carry: tuple[str, ...], ranges: int) -> tuple[DataFrame, DataFrame]:
+    """(_n, at): rows of left that go into the room of their source, and the words taken before each; and the rooms then.
 
     A round offers the room to the documents that fit it, those of at most half of it first, each kind in
     hash order, and takes them up to the first that doesn't fit. So the room halves or every small
@@ -100,7 +118,7 @@ def fill(left: DataFrame, rooms: DataFrame, carry: tuple[str, ...]) -> DataFrame
         last = left
         if not left.head(1):
             break
-        x = left.withColumn("part", F.col("r") + RANGES * (2 * F.col("size") > F.col("room")).cast("int"))
+        x = left.withColumn("part", F.col("r") + ranges * (2 * F.col("size") > F.col("room")).cast("int"))
         w = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
         parts = x.groupBy("source", "part", "room").agg(F.sum("size").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0)))
         parts = parts.where(F.col("before") < F.col("room")).select(F.col("source").alias("_s"), F.col("part").alias("_p"), "before")
@@ -112,7 +130,7 @@ def fill(left: DataFrame, rooms: DataFrame, carry: tuple[str, ...]) -> DataFrame
         took = new.groupBy(F.col("source").alias("_s")).agg(F.sum("size").alias("took"))
         rooms = cut(rooms.join(took, F.col("source").eqNullSafe(F.col("_s")), "left").withColumn("used", F.col("used") + F.coalesce("took", F.lit(0))).drop("_s", "took"))
         left = left.drop("used", "room").join(new.select("_n"), "_n", "left_anti")
-    return left.select("_n", F.lit(0).cast("long").alias("at")) if found is None else found
+    return (left.select("_n", F.lit(0).cast("long").alias("at")) if found is None else found), rooms
 
 
 def mix(docs: DataFrame, words: int = 1 << 24, **options) -> DataFrame:
@@ -120,9 +138,9 @@ def mix(docs: DataFrame, words: int = 1 << 24, **options) -> DataFrame:
 
     Keeps the columns of documents, whatever their names. The choice is plan_mix's, made over ids and
     sizes; positions are attached by a number of the row, so equal and null ids keep apart. A position is
-    the share of the training's words before it, so equal ranges of positions hold about as many words,
-    and texts are dealt to them as they are, without a pass to find the ranges: each text moves for the
-    join and for its place, no more. Null and empty texts have no words and are in no mix; an empty table
+    the time in training, from 0 to 1, at which its source's schedule comes to the copy; as the schedules together ask for nearly
+    as much at all times (within a tenth with the default ones), equal ranges of positions hold about as many words, and texts are
+    dealt to them without a pass to find the ranges: each text moves for the join and for its place, no more. Null and empty texts have no words and are in no mix; an empty table
     gives no rows.
     """
     row, at = free_name(docs, "row"), free_name(docs, "at")

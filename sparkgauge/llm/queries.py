@@ -61,7 +61,7 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import plan_mix
 
-    return plan_mix(documents(spark, sf_dir)).orderBy("first_position", "doc_id").select("doc_id", "size", "source_size", "target", "taken", F.col("first_position").alias("position"))
+    return plan_mix(documents(spark, sf_dir)).orderBy("first_position", "doc_id").select("doc_id", "size", "source_size", "target", "taken", F.col("first_position").alias("position"), "second_position")
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
