@@ -66,21 +66,22 @@ def status_times(events: DataFrame, statuses: tuple[str, ...], key: str = "reque
     return events.groupBy(key).agg(*(F.min(F.when(F.col("status") == s, F.col("t"))).alias(s) for s in statuses), F.max_by("status", order).alias("status"))
 
 
+#: For each mode of a phase whether it goes by seconds, by requests, and which of the two it keeps if it has both.
+PHASE_MODES = {"duration": ("seconds",), "requests": ("requests",), "both": ("seconds", "requests"), "prefer_duration": ("seconds", "requests"), "prefer_requests": ("seconds", "requests")}
+PREFERRED = {"prefer_duration": "seconds", "prefer_requests": "requests"}
+
+
 def phase_limits(percent: float | None, value: float | None, mode: str, most_requests: float | None, most_seconds: float | None, one: bool = True) -> tuple[float | None, int | None]:
     """(seconds, requests) that a warm-up or cool-down takes.
 
-    A percentage wins over a value and needs the run's limit of that kind, as a value does; mode is
-    duration, requests, both, prefer_duration or prefer_requests, of which the last two keep one.
+    A percentage wins over a value and needs the run's limit of that kind, as a value does; mode is one of
+    PHASE_MODES, and a preferred kind, where there is one and `one` is asked for, stands alone.
     """
-    share = lambda most: None if most is None else percent * most if percent is not None else value
-    seconds = share(most_seconds) if mode != "requests" else None
-    requests = share(most_requests) if mode != "duration" else None
-    seconds, requests = None if seconds is None else float(seconds), None if requests is None else int(requests)
-    if one and mode == "prefer_duration" and seconds is not None:
-        requests = None
-    if one and mode == "prefer_requests" and requests is not None:
-        seconds = None
-    return seconds, requests
+    most = {k: m for k, m in {"seconds": most_seconds, "requests": most_requests}.items() if k in PHASE_MODES[mode] and m is not None}
+    sizes = {k: (percent * m if percent is not None else value) for k, m in most.items() if (percent, value) != (None, None)}
+    if one and PREFERRED.get(mode) in sizes:
+        sizes = {PREFERRED[mode]: sizes[PREFERRED[mode]]}
+    return tuple(kind(sizes[k]) if k in sizes else None for k, kind in (("seconds", float), ("requests", int)))
 
 
 def phase_config(value: float | None) -> dict[str, float | None]:
