@@ -117,7 +117,7 @@ def output_points() -> Column:
     return F.when(F.coalesce(F.col("token_iterations"), F.lit(0)) <= 1, one).otherwise(F.concat(first, iteration_points()))
 
 
-def in_window(start: Column | None, end: Column | None, lo: int | None, hi: int | None) -> Column:
+def in_window(start: Column | None, end: Column | None, lo: int | Column | None, hi: int | Column | None) -> Column:
     """Overlap with the measured window, not containment; a request without a start counts by its end."""
     keep = F.lit(True)
     if lo is not None:

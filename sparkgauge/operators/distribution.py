@@ -37,16 +37,20 @@ def pdf_sample(df: DataFrame, keys: list[str], points: int) -> DataFrame:
     return x.where((F.col("_n") <= points) | F.array_contains(chosen, F.col("_i").cast("bigint"))).drop("_i", "_n", "_one")
 
 
-def summarise(merged: DataFrame, keys: list[str]) -> DataFrame:
+def summarise(merged: DataFrame, keys: list[str], whole: int | None = None) -> DataFrame:
     """Summary of a pdf: count, mean, population variance, mode, min, max, total and percentiles (no interpolation).
 
+    whole: values are multiples of 1 / whole and weights whole numbers; their sum is then exact and the mean one division,
+    so it doesn't depend on the order of the rows.
+
     count: rounded half to even; mode: of ties the least; the percentile q is the first value at which the
     running weight reaches q x all. Where all weights together are below 1e-6 every value weighs the same.
     """
     merged = in_order(merged, keys, "value")
-    total = merged.groupBy(*keys).agg(F.sum("weight").alias("_w"), F.count(F.lit(1)).alias("_c"), F.sum(F.col("value") * F.col("weight")).alias("_v"), F.avg("value").alias("_m"))
+    total = F.sum(F.col("value") * F.col("weight")) if whole is None else F.sum(F.round(F.col("value") * whole).cast("decimal(20,0)") * F.col("weight").cast("decimal(18,0)")).cast("double")
+    total = merged.groupBy(*keys).agg(F.sum("weight").alias("_w"), F.count(F.lit(1)).alias("_c"), total.alias("_v"), F.avg("value").alias("_m"))
     tiny = F.col("_w") <= TINY
-    stats = total.select(*keys, F.col("_w").alias("_raw"), tiny.alias("_tiny"), F.when(tiny, F.col("_c")).otherwise(F.col("_w")).alias("_tot"), F.when(tiny, F.col("_m")).otherwise(F.col("_v") / F.col("_w")).alias("mean"))
+    stats = total.select(*keys, F.col("_w").alias("_raw"), tiny.alias("_tiny"), F.when(tiny, F.col("_c")).otherwise(F.col("_w")).alias("_tot"), F.when(tiny, F.col("_m")).otherwise(F.col("_v") / (F.col("_w") * (whole or 1))).alias("mean"))
     x = with_running(merged.withColumn("_even", F.lit(1.0)), keys, "value", {"_cw": "weight", "_ce": "_even"}).join(stats, keys)
     x = x.withColumns({"weight": F.when(F.col("_tiny"), F.lit(1.0)).otherwise(F.col("weight")), "cum": F.when(F.col("_tiny"), F.col("_ce")).otherwise(F.col("_cw"))})
     at = [F.min(F.when(F.col("cum") >= q * F.col("_tot"), F.col("value"))).alias(n) for n, q in PERCENTILES.items()]
@@ -71,16 +75,27 @@ def merge_times(points: DataFrame, keys: list[str], threshold: int = 100) -> Dat
     return clusters(points, keys, threshold).select(*keys, "t", "w")
 
 
-def rate_points(points: DataFrame, keys: list[str], threshold: int = 100, start: int | None = None, end: int | None = None) -> DataFrame:
+def event_points(points: DataFrame, keys: list[str], start: int | str | None = None, end: int | str | None = None) -> DataFrame:
+    """Points (keys, t, w) within a window, with one of no weight at each end of it for every key.
+
+    The ends are numbers, or names of columns of points that have one value for each key.
+    """
+    lo, hi = (F.col(x) if isinstance(x, str) else F.lit(x).cast("bigint") for x in (start, end))
+    p = points.select(*keys, "t", F.col("w").cast("double").alias("w"), lo.alias("_lo"), hi.alias("_hi"))
+    inside = p.where(F.coalesce(F.col("t") >= F.col("_lo"), F.lit(True)) & F.coalesce(F.col("t") <= F.col("_hi"), F.lit(True))).drop("_lo", "_hi")
+    if start is None and end is None:
+        return inside
+    ends = p.groupBy(*keys).agg(F.first("_lo").alias("_lo"), F.first("_hi").alias("_hi"))
+    return inside.unionByName(ends.select(*keys, F.explode(F.array("_lo", "_hi")).alias("t"), F.lit(0.0).alias("w")).where("t is not null"))
+
+
+def rate_points(points: DataFrame, keys: list[str], threshold: int = 100, start: int | str | None = None, end: int | str | None = None) -> DataFrame:
     """(keys, t, w, duration): events at merged times and the seconds each stands for, half-way to its neighbours."""
-    p = points.select(*keys, "t", F.col("w").cast("double").alias("w"))
-    if start is not None or end is not None:
-        ends = p.select(*keys).distinct()
-        if start is not None:
-            p = p.where(F.col("t") >= start).unionByName(ends.select(*keys, F.lit(start).cast("bigint").alias("t"), F.lit(0.0).alias("w")))
-        if end is not None:
-            p = p.where(F.col("t") <= end).unionByName(ends.select(*keys, F.lit(end).cast("bigint").alias("t"), F.lit(0.0).alias("w")))
-    x = clusters(p, keys, threshold)
+    return rates_of(clusters(event_points(points, keys, start, end), keys, threshold))
+
+
+def rates_of(x: DataFrame) -> DataFrame:
+    """Clusters with the seconds that each stands for; the only one of a key stands for none."""
     half = (F.coalesce("next_t", "t") - F.coalesce("prev_t", "t")) / 2e6
     alone = F.col("next_t").isNull() & F.col("prev_t").isNull()
     return x.where(~alone).withColumn("duration", F.when(F.col("next_t").isNull(), F.greatest(half, F.lit(TINY))).otherwise(half)).drop("next_t", "prev_t", "level")
@@ -94,21 +109,26 @@ def rate_summary(points: DataFrame, keys: list[str], **options) -> DataFrame:
     return s.join(events, keys).withColumn("count", F.col("_events")).drop("_events")
 
 
-def concurrency_levels(spans: DataFrame, keys: list[str], threshold: int = 100, start: int | None = None, end: int | None = None, weight: str | None = None) -> DataFrame:
+def span_points(spans: DataFrame, keys: list[str], start: int | str | None = None, end: int | str | None = None, weight: str | None = None) -> DataFrame:
+    """(keys, t, w): what begins and, negative, what ends at each time, of spans that overlap a window; its ends as in event_points."""
+    lo, hi = (F.col(x) if isinstance(x, str) else F.lit(x).cast("bigint") for x in (start, end))
+    s = spans.select(*keys, "start_us", "end_us", (F.col(weight) if weight else F.lit(1)).alias("_v"), lo.alias("_lo"), hi.alias("_hi"))
+    s = s.where(F.coalesce(F.col("end_us") >= F.col("_lo"), F.lit(True)) & F.coalesce(F.col("start_us") <= F.col("_hi"), F.lit(True)))
+    point = lambda t, w: F.struct(t.alias("t"), w.cast("double").alias("w"))
+    deltas = F.array(point(F.greatest("start_us", "_lo"), F.col("_v")), point(F.col("end_us"), -F.col("_v")), point(F.col("_hi"), F.lit(0)))
+    p = s.select(*keys, "_hi", F.explode(deltas).alias("d")).where(F.col("d.t").isNotNull() & F.coalesce(F.col("d.t") <= F.col("_hi"), F.lit(True)))
+    return p.groupBy(*keys, F.col("d.t").alias("t")).agg(F.sum("d.w").alias("w"))
+
+
+def levels_of(x: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, t, level, duration_us) of clusters: the level holds from each time to the next."""
+    return x.where("next_t is not null").select(*keys, "t", F.greatest(F.lit(0.0), F.col("level")).alias("level"), (F.col("next_t") - F.col("t")).alias("duration_us"))
+
+
+def concurrency_levels(spans: DataFrame, keys: list[str], threshold: int = 100, start: int | str | None = None, end: int | str | None = None, weight: str | None = None) -> DataFrame:
     """(keys, t, level, duration_us): how many intervals (or how much of their weight) are open from each time to the next."""
-    s = spans.select(*keys, "start_us", "end_us", (F.col(weight) if weight else F.lit(1)).alias("_v"))
-    if start is not None:
-        s = s.where(F.col("end_us") >= start)
-    if end is not None:
-        s = s.where(F.col("start_us") <= end)
-    clip = F.col("start_us") if start is None else F.greatest("start_us", F.lit(start))
-    deltas = F.array(F.struct(clip.alias("t"), F.col("_v").alias("w")), F.struct(F.col("end_us").alias("t"), (-F.col("_v")).alias("w")))
-    p = s.select(*keys, F.explode(deltas).alias("d")).select(*keys, "d.t", "d.w")
-    if end is not None:
-        p = p.where(F.col("t") <= end).unionByName(s.select(*keys).distinct().select(*keys, F.lit(end).cast("bigint").alias("t"), F.lit(0).alias("w")))
-    x = clusters(p, keys, threshold)
-    level = F.greatest(F.lit(0.0), F.col("level"))
-    return x.where("next_t is not null").select(*keys, "t", (level if weight else level.cast("bigint")).alias("level"), (F.col("next_t") - F.col("t")).alias("duration_us"))
+    x = levels_of(clusters(span_points(spans, keys, start, end, weight), keys, threshold), keys)
+    return x if weight else x.withColumn("level", F.col("level").cast("bigint"))
 
 
 def concurrency_summary(spans: DataFrame, keys: list[str], **options) -> DataFrame:

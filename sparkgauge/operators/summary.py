@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.requests import in_window
 from . import distribution as ds
+from .clusters import clusters
+from .ordered import settle
 
 #: The counters of each kind of content.
 MODALITIES = {
@@ -15,6 +18,47 @@ MODALITIES = {
 }
 
 
+def within_windows(r: DataFrame, windows: DataFrame, keys: list[str]) -> DataFrame:
+    """Requests that overlap the measured window of their run, with its ends; a request without a start counts by its end.
+
+    A join on the keys of the run, with a row a run on the other side, in the plan that goes on from here.
+    """
+    x = r.join(windows.select(*keys, "measure_start", "measure_end"), keys)
+    return x.where(in_window(F.col("start_us"), F.col("end_us"), F.col("measure_start"), F.col("measure_end")))
+
+
+def run_distributions(r: DataFrame, keys: list[str], values: Column, tokens: Column) -> DataFrame:
+    """(keys, status, metric, n, mean and percentiles): every distribution of runs' requests, statuses together as `total`.
+
+    r: requests with the ends of their run's window (`within_windows`). values: of each request an array of
+    (metric, value, weight), values to six places. tokens: an array of (metric, t, w), what is worked off at which time. The
+    rates of requests and the concurrency are those within the window.
+
+    Times of all rates and of the concurrency are merged on one ordered frame, and all summaries are made on another.
+    """
+    by = [*keys, "status", "metric"]
+    long = ds.pdf(r.select(*keys, "status", F.explode(values).alias("p")).select(*keys, "status", "p.*"), by, weight="weight")
+    window = r.groupBy(*keys, "status").agg(F.count(F.lit(1)).alias("n"), F.min("measure_start").alias("lo"), F.max("measure_end").alias("hi"))
+    rate = ds.event_points(r.select(*keys, "status", F.lit(RATE).alias("metric"), F.col("end_us").alias("t"), F.lit(1.0).alias("w"), "measure_start", "measure_end"), by, "measure_start", "measure_end")
+    spent = r.select(*keys, "status", F.explode(tokens).alias("p")).select(*keys, "status", "p.*")
+    open_ = ds.span_points(r.withColumn("metric", F.lit(OPEN)), by, "measure_start", "measure_end")
+    points = rate.unionByName(spent).unionByName(open_).groupBy(*by, "t").agg(F.sum("w").alias("w"))
+    x = settle(clusters(ds.with_totals(points, "status", "w"), by))
+    timed = ds.rates_of(x.where(F.col("metric") != OPEN))
+    # Whole half-microseconds weigh a rate.
+    rates = timed.select(*by, F.round(F.col("w") / F.col("duration"), 6).alias("value"), F.round(F.col("duration") * 2e6).cast("bigint").alias("weight"))
+    levels = ds.levels_of(x.where(F.col("metric") == OPEN), by).select(*by, F.col("level").alias("value"), F.col("duration_us").alias("weight"))
+    parts = ds.with_totals(long, "status", "weight").unionByName(ds.pdf(rates, by, weight="weight")).unionByName(ds.pdf(levels, by, weight="weight"))
+    s = ds.summarise(parts, by, whole=1_000_000)
+    events = timed.groupBy(*by).agg(F.bround(F.sum("w")).cast("bigint").alias("_events"))
+    asked = ds.with_totals(window.select(*keys, "status", "n"), "status", "n").select(*keys, "status", F.lit(OPEN).alias("metric"), F.col("n").alias("_events"))
+    return s.join(events.unionByName(asked), by, "left").withColumn("count", F.coalesce("_events", "count")).drop("_events")
+
+
+#: Names of the two distributions that depend on the window's ends.
+RATE, OPEN = "requests_per_second", "request_concurrency"
+
+
 def sided(r: DataFrame, properties: dict[str, tuple[str | None, str | None]]) -> DataFrame:
     """(metric, side, status, value, start_us, end_us) of requests: for each property a column of inputs and one of outputs.
 

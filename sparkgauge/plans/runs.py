@@ -110,7 +110,7 @@ ITERATIONS_SQL = """iters AS (SELECT status, 'output_tokens_per_iteration' AS me
 ALL_SQL = "vals AS (" + " UNION ALL ".join(f"SELECT status, '{m}' AS metric, round(CAST(coalesce({e}, 0) AS DOUBLE), 6) AS value, CAST({w} AS BIGINT) AS weight FROM life" for m, (e, w) in ALL.items()) + " UNION ALL SELECT * FROM iters)"
 
 
-@query(f"WITH {LIFE}, {ITERATIONS_SQL}, {ALL_SQL}, both_ AS (SELECT * FROM vals UNION ALL SELECT * REPLACE ('total' AS status) FROM vals), {summary_sql('both_', 'status, metric')} SELECT status, metric, n, round(mean, 4) AS mean, mode, min_value, max_value, p001, p01, p05, p10, p25, p50, p75, p90, p95, p99, p999 FROM summary")
+@query(f"WITH {LIFE}, {ITERATIONS_SQL}, {ALL_SQL}, both_ AS (SELECT * FROM vals UNION ALL SELECT * REPLACE ('total' AS status) FROM vals), {summary_sql('both_', 'status, metric', whole=1_000_000)} SELECT status, metric, n, exact_mean AS mean, mode, min_value, max_value, p001, p01, p05, p10, p25, p50, p75, p90, p95, p99, p999 FROM summary")
 def all_distributions(spark: SparkSession, d: str) -> DataFrame:
     """Every distribution of values in one pass over one long frame; missing values count as zero, some weigh by tokens."""
     r = life(spark, d)
@@ -118,8 +118,47 @@ def all_distributions(spark: SparkSession, d: str) -> DataFrame:
     point = lambda m: lambda p: F.struct(F.lit(m).alias("metric"), F.round(p["w"], 6).alias("value"), F.lit(1).cast("bigint").alias("weight"))
     lists = F.concat(parts, F.transform(rq.output_points(), point("output_tokens_per_iteration")), F.transform(rq.iteration_points(), point("iter_tokens_per_iteration")))
     p = ds.with_totals(ds.pdf(r.select("status", F.explode(lists).alias("p")).select("status", "p.*"), ["status", "metric"], weight="weight"), "status", "weight")
-    s = ds.summarise(p, ["status", "metric"])
-    return s.select("status", "metric", F.col("count").alias("n"), F.round("mean", 4).alias("mean"), "mode", F.col("min").alias("min_value"), F.col("max").alias("max_value"), *ds.PERCENTILES)
+    s = ds.summarise(p, ["status", "metric"], whole=1_000_000)
+    return s.select("status", "metric", F.col("count").alias("n"), "mean", "mode", F.col("min").alias("min_value"), F.col("max").alias("max_value"), *ds.PERCENTILES)
+
+
+WINDOWS_SQL = """ends_ AS (SELECT *, row_number() OVER (PARTITION BY run_index ORDER BY end_us, request_id) AS done FROM life),
+windows AS (SELECT run_index, coalesce(max(CASE WHEN done = 21 THEN start_us END), min(start_us)) AS lo, least(min(start_us) + 1728000000000, max(end_us)) AS hi FROM ends_ GROUP BY 1),
+inside AS (SELECT l.*, lo, hi FROM life l JOIN windows USING (run_index) WHERE end_us >= lo AND start_us <= hi)"""
+RUN_VALUES_SQL = "vals AS (" + " UNION ALL ".join(f"SELECT run_index, status, '{m}' AS metric, round(CAST(coalesce({e}, 0) AS DOUBLE), 6) AS value, CAST({w} AS BIGINT) AS weight FROM inside" for m, (e, w) in ALL.items()) + """
+  UNION ALL SELECT run_index, status, 'output_tokens_per_iteration', CASE WHEN token_iterations <= 1 THEN CAST(output_tokens AS DOUBLE) ELSE 1.0 END, 1 FROM inside
+  UNION ALL SELECT run_index, status, m, round((output_tokens - 1) / (token_iterations - 1), 6), token_iterations - 1 FROM inside, (VALUES ('output_tokens_per_iteration'), ('iter_tokens_per_iteration')) n(m) WHERE output_tokens > 1 AND token_iterations > 1)"""
+RUN_POINTS_SQL = """own AS (SELECT run_index, status, 'prompt_tokens_per_second' AS metric, first_token_us AS t, CAST(prompt_tokens AS DOUBLE) AS w FROM inside
+  UNION ALL SELECT run_index, status, 'output_tokens_per_second', CASE WHEN token_iterations <= 1 THEN last_token_us ELSE first_token_us END, CASE WHEN token_iterations <= 1 THEN output_tokens ELSE 1.0 END FROM inside
+  UNION ALL SELECT run_index, status, 'output_tokens_per_second', first_token_us + CAST(floor((last_token_us - first_token_us) * i / (token_iterations - 1)) AS BIGINT), (output_tokens - 1) / (token_iterations - 1) FROM inside, range(1, 8) x(i) WHERE i < token_iterations AND output_tokens > 1),
+pts AS (SELECT * FROM own UNION ALL SELECT * REPLACE ('tokens_per_second' AS metric) FROM own
+  UNION ALL SELECT run_index, status, 'requests_per_second', end_us, 1.0 FROM inside WHERE end_us BETWEEN lo AND hi
+  UNION ALL SELECT DISTINCT run_index, status, 'requests_per_second', unnest([lo, hi]), 0.0 FROM inside
+  UNION ALL SELECT run_index, status, 'request_concurrency', greatest(start_us, lo), 1.0 FROM inside UNION ALL SELECT run_index, status, 'request_concurrency', end_us, -1.0 FROM inside WHERE end_us <= hi
+  UNION ALL SELECT DISTINCT run_index, status, 'request_concurrency', hi, 0.0 FROM inside),
+src AS (SELECT * FROM pts UNION ALL SELECT * REPLACE ('total' AS status) FROM pts)"""
+RUN_LONG_SQL = """lv AS (SELECT run_index, status, metric, greatest(0, sum(w) OVER o) AS value, lead(t) OVER o - t AS weight FROM points WHERE metric = 'request_concurrency' WINDOW o AS (PARTITION BY run_index, status, metric ORDER BY t)),
+long AS (SELECT * FROM vals UNION ALL SELECT * REPLACE ('total' AS status) FROM vals
+  UNION ALL SELECT run_index, status, metric, round(w / duration, 6), CAST(round(duration * 2e6) AS BIGINT) FROM dur WHERE metric <> 'request_concurrency' UNION ALL SELECT * FROM lv WHERE weight IS NOT NULL),
+asked AS (SELECT run_index, status, metric, n FROM evs WHERE metric <> 'request_concurrency' UNION ALL SELECT run_index, status, 'request_concurrency', count(*) FROM (SELECT run_index, status FROM inside UNION ALL SELECT run_index, 'total' FROM inside) GROUP BY 1, 2)"""
+
+
+@query(f"""WITH RECURSIVE {LIFE}, {WINDOWS_SQL}, {RUN_VALUES_SQL}, {RUN_POINTS_SQL}, {rate_sql('src', 'run_index, status, metric')}, {RUN_LONG_SQL}, {summary_sql('long', 'run_index, status, metric', whole=1_000_000)}
+SELECT s.run_index, s.status, s.metric, coalesce(a.n, s.n) AS n, exact_mean AS mean, mode, min_value, max_value, p01, p50, p95, p99 FROM summary s LEFT JOIN asked a USING (run_index, status, metric)""")
+def run_distributions(spark: SparkSession, d: str) -> DataFrame:
+    """All sixteen distributions of each run over its measured window: after twenty requests, and before twenty days are over."""
+    r = life(spark, d)
+    keys = ["run_index"]
+    windows = lc.measured_window(r, keys, warmup=(None, 20), cooldown=(0.0, None), seconds=1_728_000.0)
+    windows = windows.withColumn("measure_end", F.least("measure_end", "request_end"))
+    value = lambda m, v, w: F.struct(F.lit(m).alias("metric"), F.round(F.coalesce(v.cast("double"), F.lit(0.0)), 6).alias("value"), w.cast("bigint").alias("weight"))
+    each = lambda points, m: F.transform(points, lambda p: value(m, p["w"], F.lit(1)))
+    values = F.concat(F.array(*(value(m, F.expr(e), F.expr(w)) for m, (e, w) in ALL.items())), each(rq.output_points(), "output_tokens_per_iteration"), each(rq.iteration_points(), "iter_tokens_per_iteration"))
+    at = lambda points, m: F.transform(points, lambda p: F.struct(F.lit(m).alias("metric"), p["t"].alias("t"), p["w"].cast("double").alias("w")))
+    both = ((rq.prompt_points(), "prompt_tokens_per_second"), (rq.output_points(), "output_tokens_per_second"))
+    tokens = F.concat(*(at(p, m) for p, own in both for m in (own, "tokens_per_second")))
+    s = sm.run_distributions(sm.within_windows(r, windows, keys), keys, values, tokens)
+    return s.select("run_index", "status", "metric", F.col("count").alias("n"), "mean", "mode", F.col("min").alias("min_value"), F.col("max").alias("max_value"), "p01", "p50", "p95", "p99")
 
 
 @query(f"WITH {LIFE} SELECT run_index, " + ", ".join(f"round(sum(({e}) * ({w})) / nullif(sum(CASE WHEN ({e}) IS NOT NULL THEN {w} END), 0), 5) AS {m}" for m, (e, w) in ALL.items()) + " FROM life GROUP BY 1")

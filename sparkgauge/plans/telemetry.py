@@ -46,15 +46,20 @@ def r6(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({c: F.round(F.col(c).cast("double"), 6) for c in names})
 
 
-def summary_sql(source: str, keys: str, scale: float = 1.0) -> str:
-    """SQL for a summary of (keys, value, weight) rows of `source`; values are divided by scale in mean and variance."""
+def summary_sql(source: str, keys: str, scale: float = 1.0, whole: int | None = None) -> str:
+    """SQL for a summary of (keys, value, weight) rows of `source`; values are divided by scale in mean and variance.
+
+    whole: values are multiples of 1 / whole; `exact_mean` is their exact sum divided once.
+    """
+    exact = f", CAST(sum(CAST(round(value * {whole}) AS HUGEINT) * CAST(weight AS HUGEINT)) AS DOUBLE) / (CAST(sum(weight) AS DOUBLE) * {whole}) AS exact_mean" if whole else ""
+    kept, first = (", b.exact_mean", ", any_value(exact_mean) AS exact_mean") if whole else ("", "")
     on = " AND ".join(f"a.{k.strip()} = b.{k.strip()}" for k in keys.split(","))
     p = ", ".join(f"min(CASE WHEN cum >= {q} * tot THEN value END) AS {n}" for n, q in ds.PERCENTILES.items())
     ak = ", ".join(f"a.{k.strip()}" for k in keys.split(","))
     return f"""merged AS (SELECT {keys}, value, sum(weight) AS weight FROM {source} WHERE value IS NOT NULL GROUP BY {keys}, value HAVING sum(weight) > 0),
-tots AS (SELECT {keys}, sum(weight) AS tot, sum(value * weight) / sum(weight) AS mean FROM merged GROUP BY {keys}),
-cums AS (SELECT a.*, b.tot, b.mean, sum(a.weight) OVER (PARTITION BY {ak} ORDER BY a.value) AS cum FROM merged a JOIN tots b ON {on}),
-summary AS (SELECT {keys}, CAST(round_even(any_value(tot), 0) AS BIGINT) AS n, round(any_value(mean) / {scale}, 6) AS mean, round(sum((value - mean) * (value - mean) * weight) / any_value(tot) / {scale} / {scale}, 5) AS variance,
+tots AS (SELECT {keys}, sum(weight) AS tot, sum(value * weight) / sum(weight) AS mean{exact} FROM merged GROUP BY {keys}),
+cums AS (SELECT a.*, b.tot, b.mean{kept}, sum(a.weight) OVER (PARTITION BY {ak} ORDER BY a.value) AS cum FROM merged a JOIN tots b ON {on}),
+summary AS (SELECT {keys}, CAST(round_even(any_value(tot), 0) AS BIGINT) AS n, round(any_value(mean) / {scale}, 6) AS mean{first}, round(sum((value - mean) * (value - mean) * weight) / any_value(tot) / {scale} / {scale}, 5) AS variance,
   arg_max(value, (weight, -value)) AS mode, min(value) AS min_value, max(value) AS max_value, {p} FROM cums GROUP BY {keys})"""
 
 
