@@ -15,6 +15,11 @@ def normal_quantile(p: float) -> float:
     return -z if p < 0.5 else z
 
 
+def two_sided(confidence: float) -> float:
+    """The quantile up to which an interval around the middle reaches that holds `confidence`."""
+    return 1 - (1 - confidence) / 2
+
+
 def terms(z: float) -> tuple[float, float]:
     """What is added over the degrees of freedom and over their square. The textbook's second term has powers 5, 3 and 1."""
     return (z**3 + z) / 4, (5 * z**4 + 16 * z**3 + 3 * z**2) / 96

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.student import t_quantile
+from ..functions.student import t_quantile, two_sided
 from .ordered import running_sum
 
 def failed() -> Column:
@@ -20,10 +20,18 @@ def counted(r: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def recent_rate(o: DataFrame, window: int, keys: list[str], name: str = "rate") -> DataFrame:
-    """Adds the share of errors in the last `window` of counted requests: a difference of two running counts."""
-    before = o.select(*keys, (F.col("seq") + window).alias("seq"), F.col("errs").alias("_before"))
-    x = o.join(before, [*keys, "seq"], "left")
-    return x.withColumn(name, (F.col("errs") - F.coalesce("_before", F.lit(0))) / F.least("seq", F.lit(window))).drop("_before")
+    """Adds the share of errors in the last `window` of counted requests.
+
+    The requests are dealt to blocks of at least `window` by their number, and the last of each block go to the next one as
+    well, so a block's own window holds all that a request looks back on.
+    """
+    size = max(4096, window)
+    block = F.floor((F.col("seq") - 1) / size)
+    late = (F.col("seq") - 1) % size >= size - window
+    o = o.withColumn("_block", F.explode(F.when(late, F.array(block, block + 1)).otherwise(F.array(block))))
+    w = Window.partitionBy(*keys, "_block").orderBy("seq")
+    x = o.withColumn("_before", F.lag("errs", window).over(w)).where(F.col("_block") == block)
+    return x.withColumn(name, (F.col("errs") - F.coalesce("_before", F.lit(0))) / F.least("seq", F.lit(window))).drop("_before", "_block")
 
 
 def error_rate(r: DataFrame, most: float, window: int, keys=("run_index",)) -> DataFrame:
@@ -68,22 +76,10 @@ def slope(r: DataFrame, keys: list[str], x: str = "start_us", y: str = "latency_
     s = s.withColumn("slope", F.col("sxy") / F.greatest("sxx", F.lit(1e-12)))
     rss = F.greatest(F.col("syy") - F.col("sxy") * F.col("sxy") / F.greatest("sxx", F.lit(1e-12)), F.lit(0.0))
     s = s.withColumn("se", F.when(F.col("n") > 2, F.sqrt(rss / (F.col("n") - 2) / F.greatest("sxx", F.lit(1e-12)))))
-    s = s.withColumn("margin", t_quantile(confidence, F.col("n") - 2) * F.col("se") / F.greatest("slope", F.lit(1e-12)))
+    s = s.withColumn("margin", t_quantile(two_sided(confidence), F.col("n") - 2) * F.col("se") / F.greatest("slope", F.lit(1e-12)))
     return s.withColumn("alert", F.coalesce((F.col("slope") > 0) & (F.col("margin") < most_error), F.lit(False))).drop("sxx", "syy", "sxy")
 
 
-def over_saturated(started: DataFrame, first_tokens: DataFrame, keys: list[str], most_ttft: float = 2.5, least: int = 5, **options) -> DataFrame:
-    """Saturation at the end of a run: concurrency and time to first token both rise with confidence, and most first tokens are late.
-
-    started: keys, t_us, value_us (concurrency x 1e6); first_tokens: keys, t_us, value_us. The pruning by age
-    of a live run is history-bound and lives in the streaming form.
-    """
-    late = first_tokens.groupBy(*keys).agg(F.avg((F.col("value_us") > most_ttft * 1e6).cast("double")).alias("late"), F.count(F.lit(1)).alias("seen"))
-    a = slope(started, keys, "t_us", "value_us", **options).select(*keys, F.col("alert").alias("rising"))
-    b = slope(first_tokens, keys, "t_us", "value_us", **options).select(*keys, F.col("alert").alias("slowing"))
-    return late.join(a, keys, "left").join(b, keys, "left").withColumn("saturated", F.coalesce(F.col("rising") & F.col("slowing") & (F.col("late") > 0.5) & (F.col("seen") >= least), F.lit(False)))
-
-
 def phases(r: DataFrame, warmup: float, cooldown: float, keys=("run_index",)) -> DataFrame:
     """Adds phase. Values below 1 are shares of the run, others seconds."""
     keys = list(keys)

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import requests as rq
-from ..operators import distribution as ds, lifecycle as lc, summary as sm
-from .telemetry import BOUNDS, METRICS, REQUESTS, TOTAL, merged_sql, query_into, r6, rate_columns, rate_sql, summary_sql
+from ..operators import constraints, distribution as ds, lifecycle as lc, saturation as sat, summary as sm
+from .telemetry import BOUNDS, METRICS, REQUESTS, TOTAL, merged_sql, query_into, r6, rate_columns, rate_sql, summary_sql, t_sql
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -206,3 +206,38 @@ def requests_in_window(spark: SparkSession, d: str) -> DataFrame:
     lo, hi = bounds(spark, d)
     n = rq.requests(spark, d).where(rq.in_window(F.col("start_us"), F.col("end_us"), lo, hi)).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
     return ds.with_totals(n, "status", "n")
+
+
+SIDES = (("s", "started", 1.0), ("f", "first", 1e6))
+SATURATION_SQL = """moves AS (SELECT run_index, start_us AS t, 1 AS d, request_id FROM requests UNION ALL SELECT run_index, end_us, -1, request_id FROM requests),
+flight AS (SELECT *, sum(d) OVER (PARTITION BY run_index ORDER BY t, d, request_id) AS open_ FROM moves),
+begin_ AS (SELECT run_index, min(start_us) AS lo FROM requests GROUP BY 1),
+pts AS (SELECT run_index, request_id, 'started' AS kind, t - lo AS t, CAST(open_ AS BIGINT) AS v FROM flight JOIN begin_ USING (run_index) WHERE d = 1
+  UNION ALL SELECT run_index, request_id, 'first', first_token_us - lo, first_token_us - start_us FROM requests JOIN begin_ USING (run_index)),
+big AS (SELECT *, CAST(t AS HUGEINT) AS x, CAST(v AS HUGEINT) AS y FROM pts),
+cum AS MATERIALIZED (SELECT run_index, request_id, kind, t, v, x""" + "".join(
+    f", count(*) FILTER (kind = '{k}') OVER w AS n_{p}, count(*) FILTER (kind = '{k}') OVER (PARTITION BY run_index ORDER BY t RANGE BETWEEN UNBOUNDED PRECEDING AND 864000000001 PRECEDING) AS old_{p}"
+    + "".join(f", coalesce(sum(CASE WHEN kind = '{k}' THEN {e} END) OVER w, 0) AS {n}_{p}" for n, e in {"x": "x", "y": "y", "xx": "x * x", "xy": "x * y", "yy": "y * y", "late": "CAST(v > 85000000 AS HUGEINT)"}.items())
+    for p, k, _ in SIDES
+) + " FROM big WINDOW w AS (PARTITION BY run_index ORDER BY t, kind, request_id)),\n" + ",\n".join(
+    f"win_{p} AS (SELECT c.run_index, c.request_id, c.kind, c.x, c.n_{p} - coalesce(o.n_{p}, 0) AS n, " + ", ".join(f"c.{m}_{p} - coalesce(o.{m}_{p}, 0) AS {m}" for m in ("x", "y", "xx", "xy", "yy", "late")).replace(" AS x,", " AS sx,", 1)
+    + f" FROM cum c LEFT JOIN cum o ON o.run_index = c.run_index AND o.kind = '{k}' AND o.n_{p} = greatest(c.n_{p} - CAST(floor(c.n_{p} * 0.75) AS BIGINT), c.old_{p})),\n"
+    f"mid_{p} AS (SELECT run_index, request_id, kind, n, late, CAST(x AS DOUBLE) / 1e6 AS now, CAST(sx - x * n AS DOUBLE) / 1e6 AS mx, CAST(y AS DOUBLE) / {u} AS my, CAST(n AS DOUBLE) AS dn, CAST(xx - 2 * x * sx + x * x * n AS DOUBLE) / 1e12 AS mxx, CAST(xy - x * y AS DOUBLE) / (1e6 * {u}) AS mxy, CAST(yy AS DOUBLE) / ({u} * {u}) AS myy FROM win_{p}),\n"
+    f"reg_{p} AS (SELECT run_index, request_id, kind, n, late, now, least(now, dn) AS en, greatest(mxx - mx * mx / dn, 1e-12) AS safe, mxy - mx * my / dn AS cxy, myy - my * my / dn AS cyy FROM mid_{p}),\n"
+    f"up_{p} AS (SELECT *, CASE WHEN en >= 3 THEN cxy / safe > 0 AND {t_sql('en')} * sqrt(greatest(cyy - cxy * cxy / safe, 0.0) / (en - 2) / safe) / greatest(cxy / safe, 1e-12) < 2.0 ELSE false END AS up FROM reg_{p})"
+    for p, k, u in SIDES
+)
+
+
+@query(f"""WITH {REQUESTS}, {SATURATION_SQL}
+SELECT s.run_index, s.request_id, s.kind, s.n AS n_started, f.n AS n_first, CAST(f.late AS BIGINT) AS n_late,
+  CASE WHEN s.now >= 86400 AND f.n <= 2 * f.late AND s.en >= 5 THEN s.up AND (f.en < 5 OR f.up) ELSE false END AS saturated FROM up_s s JOIN up_f f USING (run_index, request_id, kind)""")
+def saturation_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    """A verdict at every start and first token, over windows of at most ten days and three quarters of all points."""
+    r = rq.requests(spark, d)
+    begin = r.groupBy("run_index").agg(F.min("start_us").alias("lo"))
+    started = constraints.state_counts(r).where("d = 1").select("run_index", "request_id", "t", F.lit("started").alias("kind"), F.col("processing").cast("bigint").alias("value"))
+    first = r.select("run_index", "request_id", F.col("first_token_us").alias("t"), F.lit("first").alias("kind"), (F.col("first_token_us") - F.col("start_us")).alias("value"))
+    points = started.unionByName(first).join(begin, "run_index").withColumn("t_us", F.col("t") - F.col("lo"))
+    v = sat.saturated_at(points, ["run_index"], least_s=86_400, age_s=864_000, most_ttft_s=85)
+    return v.select("run_index", "request_id", "kind", "n_started", "n_first", "n_late", "saturated")

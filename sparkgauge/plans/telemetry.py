@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import requests as rq
-from ..functions.student import normal_quantile, terms
 from ..operators import constraints, distribution as ds, report, schedule
 from ..operators.ordered import neighbours
 
@@ -307,8 +306,12 @@ def first_trigger(spark: SparkSession, d: str) -> DataFrame:
 SLOPE_SQL = "slope AS (SELECT run_index, count(*) AS n, regr_slope(y, x) AS slope, regr_sxx(y, x) AS sxx, regr_syy(y, x) AS syy, regr_sxy(y, x) AS sxy FROM (SELECT run_index, (start_us - min(start_us) OVER (PARTITION BY run_index)) / 1e6 AS x, latency_us / 1e6 AS y FROM requests) GROUP BY 1)"
 
 
-Z = normal_quantile(0.95)
-T_SQL = f"({Z!r} + {terms(Z)[0]!r} / (n - 2) + {terms(Z)[1]!r} / (n - 2) ** 2)"
+def t_sql(n: str) -> str:
+    """The upper end of 95 % of Student's t with n - 2 degrees of freedom, by its first three terms, written out."""
+    return f"(1.9603949169253396::DOUBLE + 2.373620793152307::DOUBLE / ({n} - 2) + 2.1450395664834403::DOUBLE / (({n} - 2) * ({n} - 2)))"
+
+
+T_SQL = t_sql("n")
 
 
 @query(f"""WITH {REQUESTS}, {SLOPE_SQL}, se AS (SELECT *, sqrt(greatest(syy - sxy * sxy / sxx, 0) / (n - 2) / sxx) AS se FROM slope), m AS (SELECT *, {T_SQL} * se / greatest(slope, 1e-12) AS margin FROM se)

@@ -4,6 +4,7 @@ import io
 import sqlite3
 import tarfile
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pytest
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from sparkgauge.operators import chats, graphs
 from sparkgauge.sources import containers, readers, synthetic
+from sparkgauge.operators.saturation import saturated_at
 from sparkgauge.streaming.saturation import saturation
 
 
@@ -108,6 +110,36 @@ def test_live_saturation(spark, tmp_path):
     stream = saturation(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path)))
     q = stream.writeStream.format("memory").queryName("live_saturation").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination(120)
-    rows = spark.table("live_saturation").orderBy("run_index", "at_s").collect()
-    assert [(r.run_index, r.saturated) for r in rows] == [(1, True), (1, True), (2, False), (2, False)]
-    assert rows[1].n_started == 121  # of 200, by age
+    rows = spark.table("live_saturation").orderBy("run_index", "at_s", "kind").collect()
+    assert len(rows) == 800 and [r.saturated for r in rows if r.at_s == 199] == [True, True, False, False]
+    assert not any(r.saturated for r in rows if r.run_index == 2 or r.at_s < 30)
+    assert [r.n_started for r in rows if r.at_s == 199 and r.kind == "started"] == [121, 121]  # of 200, by age
+    # The batch form gives the same at every point.
+    points = spark.read.schema(schema).parquet(str(tmp_path)).withColumn("t_us", (F.col("t_s") * 1e6).cast("long")).withColumn("request_id", F.col("t_us"))
+    whole = points.withColumn("value", F.when(F.col("kind") == "first", F.round(F.col("value") * 1e6)).otherwise(F.col("value")).cast("long"))
+    batch = saturated_at(whole, ["run_index"]).orderBy("run_index", "t_us", "kind").collect()
+    assert [(r.run_index, r.kind, r.n_started, r.n_first, r.n_late, r.saturated) for r in batch] == [(r.run_index, r.kind, r.n_started, r.n_first, r.n_late, r.saturated) for r in rows]
+
+
+def test_saturation_of_crooked_series(spark, tmp_path):
+    """Uneven times and values, late and missing ones: the stream over three files equals the batch over all of them."""
+    r = np.random.default_rng(8)
+    t = np.cumsum(r.exponential(0.7, 400)).round(3)
+    rows = [(1, float(x), ("started", "first")[int(k)], float(max(0, 3 * np.sin(x / 40) * 5 + x / 8 + r.normal()))) for x, k in zip(t, r.integers(0, 2, 400), strict=True)]
+    for part in range(3):
+        pd.DataFrame(rows[part * 134 : part * 134 + 134] + [(1, None, "first", 1.0), (1, 5.0, "other", 1.0)], columns=["run_index", "t_s", "kind", "value"]).to_parquet(f"{tmp_path}/{part}.parquet")
+    schema = "run_index long, t_s double, kind string, value double"
+    options = {"age_s": 60.0, "most_ttft_s": 12.0, "most_error": 1.0}
+    units = spark.read.schema(schema).parquet(str(tmp_path)).withColumns({"t_us": F.round(F.col("t_s") * 1e6).cast("long"), "value": F.round(F.when(F.col("kind") == "first", F.col("value") * 1e6).otherwise(F.col("value"))).cast("long")})
+    batch = saturated_at(units.withColumn("request_id", F.col("t_us")), ["run_index"], **options).orderBy("t_us").collect()
+    # The stream takes the same whole numbers.
+    for part in range(3):
+        f = pd.read_parquet(f"{tmp_path}/{part}.parquet")
+        f["value"] = np.where(f["kind"] == "first", f["value"].mul(1e6).round() / 1e6, f["value"].add(0.5).floordiv(1))
+        f.to_parquet(f"{tmp_path}/{part}.parquet")
+    stream = saturation(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path)), **options)
+    q = stream.writeStream.format("memory").queryName("crooked").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    live = spark.table("crooked").orderBy("at_s").collect()
+    assert len(live) == len(batch) == 400 and 20 < sum(x.saturated for x in live) < 380
+    assert [(x.kind, x.n_started, x.n_first, x.n_late, x.saturated) for x in live] == [(x.kind, x.n_started, x.n_first, x.n_late, x.saturated) for x in batch]
