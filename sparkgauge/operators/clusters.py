@@ -133,8 +133,13 @@ def compose(rows: list, keys: list[str], threshold: int) -> dict[int, Entry]:
     return entries
 
 
-def walk(keys: list[str], threshold: int, entries):
-    """(keys, t, w, prev_t, next_t, level) of the heads in each range, from its entry."""
+def columns_of(table: pa.Table, keys: list[str], rows: np.ndarray | None = None) -> list[pa.Array]:
+    columns = [table.column(c).combine_chunks() for c in keys]
+    return columns if rows is None else [c.take(pa.array(rows)) for c in columns]
+
+
+def walk(keys: list[str], threshold: int, entries, members: bool):
+    """(keys, t, w, prev_t, next_t, level) of the heads in each range, from its entry; with members (keys, t, head) of all its rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         batches = [b for b in batches if b.num_rows]
@@ -149,6 +154,11 @@ def walk(keys: list[str], threshold: int, entries):
         if entry.head is not None:
             begins[0] = np.searchsorted(t[: np.append(starts[1:], len(t))[0]], entry.head + threshold, "right")
         heads = visited(jump, begins)
+        if members:
+            at = np.searchsorted(heads, np.arange(len(t)), "right") - 1
+            head = np.where(at >= 0, t[heads[at]] if len(heads) else 0, entry.head or 0)
+            yield pa.RecordBatch.from_arrays([*columns_of(table, keys), pa.array(t), pa.array(head)], [*keys, "t", "head"])
+            return
         if not len(heads):
             return
         segment = np.searchsorted(starts, heads, "right") - 1
@@ -165,26 +175,34 @@ def walk(keys: list[str], threshold: int, entries):
         prev_none[0], next_none[-1] = segment[0] != 0 or entry.head is None, entry.after is None
         prev_none[1:], next_none[:-1] = ~same, ~same
         prev, after = np.concatenate([[entry.head or 0], t[heads[:-1]]]), np.append(t[heads[1:]], entry.after or 0)
-        rows = table.select(keys).take(pa.array(heads)).combine_chunks()
-        columns = [rows.column(c).combine_chunks() for c in keys]
-        columns += [pa.array(t[heads]), pa.array(weight), pa.array(prev, mask=prev_none), pa.array(after, mask=next_none), pa.array(level)]
+        columns = [*columns_of(table, keys, heads), pa.array(t[heads]), pa.array(weight), pa.array(prev, mask=prev_none), pa.array(after, mask=next_none), pa.array(level)]
         yield pa.RecordBatch.from_arrays(columns, [*keys, "t", "w", "prev_t", "next_t", "level"])
 
     return run
 
 
-def clusters(points: DataFrame, keys: list[str], threshold: int = 100) -> DataFrame:
-    """(keys, t, w, prev_t, next_t, level) for points (keys, t, w): the head and weight of each cluster of a key, the
-    heads before and after it, and the weight of all clusters up to it. Times are whole numbers without nulls.
-
-    Equal times are summed up first, so a range has as many rows as distinct times. The rows are dealt to ranges
-    once, and each range is read twice, whole, by one task: for its summary and for its walk.
-    """
+def walked(points: DataFrame, keys: list[str], threshold: int, members: bool) -> DataFrame:
+    """The rows are dealt to ranges once, and each range is read twice, whole, by one task: for its summary and for its walk."""
     spark = points.sparkSession
     once = points.groupBy(*keys, F.col("t").cast("bigint").alias("t")).agg(F.sum(F.col("w").cast("double")).alias("w"))
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = settle(once.repartitionByRange(ranges, *keys, "t").sortWithinPartitions(*keys, "t").withColumn("_r", F.spark_partition_id()))
-    kinds = ", ".join(f"`{c}` {ordered.schema[c].dataType.simpleString()}" for c in keys)
-    rows = ordered.mapInArrow(summary_of(keys, threshold), f"{kinds}, _r int, _place int, candidates array<bigint>, ahead array<double>, last array<bigint>, n bigint, total double").collect()
+    kinds = "".join(f"`{c}` {ordered.schema[c].dataType.simpleString()}, " for c in keys)
+    rows = ordered.mapInArrow(summary_of(keys, threshold), f"{kinds}_r int, _place int, candidates array<bigint>, ahead array<double>, last array<bigint>, n bigint, total double").collect()
     entries = spark.sparkContext.broadcast(compose(rows, keys, threshold))
-    return ordered.mapInArrow(walk(keys, threshold, entries), f"{kinds}, t bigint, w double, prev_t bigint, next_t bigint, level double")
+    out = "t bigint, head bigint" if members else "t bigint, w double, prev_t bigint, next_t bigint, level double"
+    return ordered.mapInArrow(walk(keys, threshold, entries, members), kinds + out)
+
+
+def clusters(points: DataFrame, keys: list[str], threshold: int = 100) -> DataFrame:
+    """(keys, t, w, prev_t, next_t, level) for points (keys, t, w): the head and weight of each cluster of a key, the
+    heads before and after it, and the weight of all clusters up to it. Times are whole numbers without nulls.
+
+    Equal times are summed up first, so a range has as many rows as distinct times.
+    """
+    return walked(points, keys, threshold, False)
+
+
+def heads_of(points: DataFrame, keys: list[str], threshold: int) -> DataFrame:
+    """(keys, t, head): for each distinct time of points (keys, t) the head of its cluster."""
+    return walked(points.withColumn("w", F.lit(0)), keys, threshold, True)

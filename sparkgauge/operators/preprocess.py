@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import words
+from .clusters import heads_of
 from .mapping import choose
 from .ordered import running_sum
 
@@ -67,19 +68,18 @@ def prepare(df: DataFrame, target: Column, output: Column, short: str = "ignore"
 def concatenate(df: DataFrame, keys: list[str], order: str, text: str, least: int, between: str = " ") -> DataFrame:
     """(keys, first, prompt, prompt_tokens): rows of a key joined in order until they have `least` words; an unfinished end goes.
 
-    The rows of a key are one ordered walk, so a key is a shard of the input and has to be of a bounded size.
+    order is unique in a key. A prompt begins with the first row that has `least` words or more between it and the
+    beginning of the one before, so the beginnings are heads of clusters over the words that came before each row. Keys may be
+    of any size, or none; only a prompt's own rows meet in a task.
     """
-    kind = "array<struct<first:int,prompt:string,n:bigint>>"
-    rows = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, F.col(text).alias("t"), F.size(words(F.col(text))).cast("bigint").alias("n")))).alias("rows"))
-    rows = rows.withColumn("rows", F.transform("rows", lambda r, i: F.struct(i.alias("first"), r["t"].alias("prompt"), r["n"].alias("n"))))
-
-    def step(done: Column, r: Column) -> Column:
-        last = F.element_at(done, -1)
-        more = F.struct(last["first"].alias("first"), F.concat(last["prompt"], F.lit(between), r["prompt"]).alias("prompt"), (last["n"] + r["n"]).alias("n"))
-        return F.when(F.size(done) == 0, F.array(r)).when(last["n"] >= least, F.concat(done, F.array(r))).otherwise(F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(more)))
-
-    x = rows.select(*keys, F.explode(F.aggregate("rows", F.array().cast(kind), step)).alias("r"))
-    return x.where(F.col("r.n") >= least).select(*keys, "r.first", "r.prompt", F.col("r.n").alias("prompt_tokens"))
+    if least < 1:
+        raise ValueError("a prompt needs a word at least")
+    x = df.select(*keys, F.col(order).alias("_o"), F.col(text).alias("_text"), F.size(words(F.col(text))).cast("bigint").alias("_n"), F.lit(1).alias("_one"))
+    x = running_sum(x, keys, "_o", {"_end": "_n", "_i": "_one"}).withColumn("t", F.col("_end") - F.col("_n"))
+    x = x.join(heads_of(x.select(*keys, "t"), keys, least - 1), [*keys, "t"])
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("_o", "_text"))), lambda r: r["_text"])
+    out = x.groupBy(*keys, "head").agg((F.min("_i") - 1).cast("int").alias("first"), F.array_join(parts, between).alias("prompt"), F.sum("_n").alias("prompt_tokens"))
+    return out.where(F.col("prompt_tokens") >= least).drop("head")
 
 
 def first_rows(df: DataFrame, most: int, order: str) -> DataFrame:

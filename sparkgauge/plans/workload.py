@@ -90,6 +90,16 @@ def preprocess_concatenate(spark: SparkSession, d: str) -> DataFrame:
     return pp.concatenate(table(spark, d, "conversations").withColumn("text", F.coalesce("text", F.lit(""))), ["conv_id"], "turn", "text", 60)
 
 
+@query("""WITH RECURSIVE d AS (SELECT row_number() OVER (ORDER BY conv_id, turn) AS i, coalesce(text, '') AS text, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS n FROM conversations),
+walk AS (SELECT i, i AS first, text, n FROM d WHERE i = 1
+  UNION ALL SELECT d.i, CASE WHEN w.n >= 200 THEN d.i ELSE w.first END, CASE WHEN w.n >= 200 THEN d.text ELSE w.text || ' ' || d.text END, CASE WHEN w.n >= 200 THEN d.n ELSE w.n + d.n END FROM walk w JOIN d ON d.i = w.i + 1)
+SELECT first - 1 AS first, text AS prompt, n AS prompt_tokens FROM walk WHERE n >= 200""")
+def concatenated_table(spark: SparkSession, d: str) -> DataFrame:
+    """The whole table as one sequence, without a key."""
+    c = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("place"), F.coalesce("text", F.lit("")).alias("text"))
+    return pp.concatenate(c, [], "place", "text", 200)
+
+
 @query(f"SELECT doc_id FROM (SELECT doc_id FROM documents WHERE len({WORDS}) >= 30 ORDER BY doc_id LIMIT 50)")
 def accepted_rows(spark: SparkSession, d: str) -> DataFrame:
     """The cap counts rows that preprocessing accepts."""

@@ -35,6 +35,28 @@ def test_cycles_end_with_an_error(spark, size):
         graphs.levels(spark.createDataFrame([(1, i) for i in range(size)], "k long, node long"), edges, "k", "node")
 
 
+@pytest.mark.parametrize("most", [0, 100_000])
+def test_levels_of_either_way(spark, most):
+    nodes, edges = graphs.branches(spark, 3, 4, [(0, 2, 3), (1, 1, None)])
+    got = {(r.graph_id, r.node): r.level for r in graphs.levels(nodes, edges, "graph_id", "node", most).collect()}
+    one = {"main_0": 0, "main_1": 1, "main_2": 2, "main_3": 3, "branch_0_0": 1, "branch_0_1": 2, "branch_1_0": 2}
+    assert got == {(g, n): v for g in range(3) for n, v in one.items()}
+    with pytest.raises(ValueError):
+        graphs.levels(nodes.where("node <> 'main_0'"), edges, "graph_id", "node", most).count()
+
+
+def test_turns_of_a_very_long_chain(spark):
+    """Twenty thousand turns: a row a node in each of some fifteen rounds, where all pairs would be two hundred million."""
+    n = 20_000
+    nodes = spark.range(n).select(F.lit(1).alias("k"), F.col("id").alias("node"))
+    edges = nodes.where("node > 0").select("k", (F.col("node") - 1).alias("source"), F.col("node").alias("target"), F.lit("full").alias("history"))
+    led = spark.createDataFrame([(1, 5, 0, "last"), (1, 3, 9, "last")], edges.schema)
+    got = graphs.turn_indices(nodes, edges.unionByName(led), "k", "node")
+    assert got.where(F.col("turn_index") != F.col("node") + 1).count() == 0 and got.count() == n
+    with pytest.raises(ValueError):
+        graphs.turn_indices(nodes, edges.unionByName(spark.createDataFrame([(1, n - 1, 0, "full")], edges.schema)), "k", "node").count()
+
+
 def test_long_chain(spark):
     edges = spark.createDataFrame([(1, i, i + 1, "full") for i in range(40)], "k long, source long, target long, history string")
     got = graphs.ancestry(edges, "k").groupBy("node").agg(F.count("*").alias("n"), F.max("distance").alias("d")).collect()
