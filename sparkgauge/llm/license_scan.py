@@ -29,8 +29,10 @@ FREEDOM = {
 UNKNOWN, EXCEPTION = 0.2, 0.2
 #: Further families of licence ids; of their freedom nothing is said.
 FAMILIES = (*FREEDOM, "0bsd", "afl", "artistic", "bsl", "cddl", "cecill", "epl", "eupl", "gfdl", "ncsa", "odbl", "ofl", "openssl", "postgresql", "psf", "python", "unicode", "wtfpl", "x11", "zlib")
-#: A licence id: a known family, also with versions and the usual endings, or any name that ends in a version.
-ID = re.compile(rf"(?:{'|'.join(map(re.escape, sorted(FAMILIES, key=len, reverse=True)))})(?:-(?:v?[0-9][0-9.]*|only|or|later|clause|new|sa|nc|nd|igo|no|invariants|patent|lbnl|shortened|attribution|license))*\+?|[a-z][a-z0-9]*(?:-[a-z0-9]+)*-v?[0-9]+(?:\.[0-9]+)*(?:-only|-or-later|\+)?")
+#: A licence id: a known family, also with versions and the usual endings.
+ID = re.compile(rf"(?:{'|'.join(map(re.escape, sorted(FAMILIES, key=len, reverse=True)))})(?:-(?:v?[0-9][0-9.]*|only|or|later|clause|new|sa|nc|nd|igo|no|invariants|patent|lbnl|shortened|attribution|license))*\+?")
+#: Any other name that ends in a version may be an operand, of unknown freedom, but is no label.
+OTHER = re.compile(r"[a-z][a-z0-9]*(?:-[a-z0-9]+)*-v?[0-9]+(?:\.[0-9]+)*(?:-only|-or-later|\+)?")
 EXCEPTION_ID = re.compile(r"[a-z0-9]+(?:[.\-][a-z0-9]+)*-exception(?:-[0-9.]+)?")
 TOKEN = re.compile(r"[ \t]*(\(|\)|[A-Za-z0-9][A-Za-z0-9.+\-]*)")
 AFTER_TAG = re.compile(r"[\s]*[:=]?[\s]*")
@@ -42,16 +44,18 @@ def freedom(name: str) -> float:
     return FREEDOM[max(known, key=len)] if known else UNKNOWN
 
 
-def known_id(token: str, exception: bool) -> str | None:
-    """The licence id (or exception) that a token is, without a full stop after it; None if it is none."""
+def operand_of(token: str, exception: bool) -> str | None:
+    """The licence id, other versioned name or, after with, exception that a token is, without a full stop after it; None if it is none."""
     name = token.rstrip(".")
-    return name if (EXCEPTION_ID if exception else ID).fullmatch(name) else None
+    kinds = (EXCEPTION_ID,) if exception else (ID, OTHER)
+    return name if any(k.fullmatch(name) for k in kinds) else None
 
 
 def parse(text: str, at: int = 0) -> tuple[float | None, list[str], int]:
     """The longest valid licence expression at a place of text: its value, its licence ids, its end.
 
-    Operands are known ids only (see `known_id`), so prose after a tag is no expression.
+    Operands are ids and names with a version (see `operand_of`), so prose after a tag is no expression; only ids of
+    known families are labels.
 
     Shunting-yard with precedence with > and > or: or takes the freest choice, and the strictest,
     with adds an exception to what stands before it. No valid expression: (None, [], 0). The stacks are
@@ -68,7 +72,7 @@ def parse(text: str, at: int = 0) -> tuple[float | None, list[str], int]:
         operand = t not in RANK and t not in "()"
         if (operand or t == "(") != want or t == ")" and not opened or last == "with" and t == "(":
             break
-        if operand and (t := known_id(t, last == "with")) is None:
+        if operand and (t := operand_of(t, last == "with")) is None:
             break
         if t in RANK:
             while ops and ops[-1] != "(" and RANK[ops[-1]] >= RANK[t]:
@@ -82,7 +86,7 @@ def parse(text: str, at: int = 0) -> tuple[float | None, list[str], int]:
             ops.pop()
         else:
             values.append(freedom(t))
-            if last != "with":
+            if last != "with" and ID.fullmatch(t):
                 names.append(t)
         opened += (t == "(") - (t == ")")
         want, last = t == "(" or t in RANK, t
