@@ -241,3 +241,15 @@ def saturation_verdicts(spark: SparkSession, d: str) -> DataFrame:
     points = started.unionByName(first).join(begin, "run_index").withColumn("t_us", F.col("t") - F.col("lo"))
     v = sat.saturated_at(points, ["run_index"], least_s=86_400, age_s=864_000, most_ttft_s=85)
     return v.select("run_index", "request_id", "kind", "n_started", "n_first", "n_late", "saturated")
+
+
+@query(f"""WITH {REQUESTS}, e AS (SELECT run_index, request_id, 'in_progress' AS status, start_us AS t, 1 AS o, 0 AS lat, 0 AS outs FROM requests
+  UNION ALL SELECT run_index, request_id, CASE status WHEN 'successful' THEN 'completed' WHEN 'errored' THEN 'errored' ELSE 'cancelled' END, end_us, 0, latency_us, output_tokens FROM requests),
+c AS (SELECT *, sum(2 * o - 1) OVER w AS in_flight, count(*) FILTER (status = 'completed') OVER w AS n_successful, count(*) FILTER (status = 'errored') OVER w AS n_errored, count(*) FILTER (status = 'cancelled') OVER w AS n_incomplete,
+  sum(lat) OVER w AS latency_us, sum(outs) OVER w AS output_tokens, min(CASE WHEN o = 1 THEN t END) OVER (PARTITION BY run_index) AS begin_ FROM e WINDOW w AS (PARTITION BY run_index ORDER BY t, o, request_id)),
+d AS (SELECT *, coalesce(lag(in_flight) OVER w * (t - lag(t) OVER w), 0) AS part FROM c WINDOW w AS (PARTITION BY run_index ORDER BY t, o, request_id))
+SELECT run_index, request_id, status, t AS t_us, CASE WHEN t - begin_ < 172800000000 THEN 'warmup' WHEN t - begin_ >= 1728000000000 THEN 'cooldown' ELSE 'active' END AS phase, CAST(in_flight AS BIGINT) AS in_flight, n_successful, n_errored, n_incomplete,
+  CAST(sum(part) OVER (PARTITION BY run_index ORDER BY t, o, request_id) AS BIGINT) AS area, CAST(latency_us AS BIGINT) AS latency_us, CAST(output_tokens AS BIGINT) AS output_tokens, CASE WHEN n_errored >= 50 THEN 'max_errors' END AS stopped_by FROM d""")
+def progress_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Counts, concurrency over time, phase and stop of each run after every start and end; two days of warm-up, cool-down from the twentieth."""
+    return lc.progress_rows(lc.status_events(rq.requests(spark, d)), 172_800_000_000, 1_728_000_000_000, max_errors=50)

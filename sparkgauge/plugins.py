@@ -1,6 +1,7 @@
-"""Registries by kind: preprocessors, finalizers, constraints, aggregates, outputs, trace formats, tokenizers.
+"""Registries by kind: preprocessors, finalizers, constraints, aggregates, outputs, trace formats, tokenizers, steps.
 
-Each holds functions of DataFrames (a tokenizer: of Columns), so what is added runs like what is built in.
+Each holds functions of DataFrames (a tokenizer: of Columns; a step: makers of functions (state, row) -> action of a live run),
+so what is added runs like what is built in.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ class Registry(dict):
 
 
 PREPROCESSORS, FINALIZERS, CONSTRAINTS, AGGREGATES = Registry("preprocessor"), Registry("finalizer"), Registry("constraint"), Registry("aggregate")
-OUTPUTS, TRACES, TOKENIZERS = Registry("output"), Registry("trace format"), Registry("tokenizer")
+OUTPUTS, TRACES, TOKENIZERS, STEPS = Registry("output"), Registry("trace format"), Registry("tokenizer"), Registry("step")
 
 
 def built_in() -> None:
@@ -58,4 +59,18 @@ def built_in() -> None:
     TOKENIZERS.register("words", "default")(scalars.words)
 
 
+def stops(when: Callable) -> Callable:
+    """A maker of steps that stop once `when(state, **options)` holds."""
+    return lambda **options: lambda state, row: "stop" if when(state, **options) else "continue"
+
+
+def finished(state: dict) -> int:
+    return state["completed"] + state["errored"] + state["cancelled"]
+
+
+for name, when in {
+    "max_requests": lambda s, n: finished(s) >= n, "max_errors": lambda s, n: s["errored"] >= n, "max_duration": lambda s, us: s["begin_us"] is not None and s["last_us"] - s["begin_us"] >= us,
+    "max_global_error_rate": lambda s, rate, least: finished(s) >= least and s["errored"] >= rate * finished(s),
+}.items():
+    STEPS.register(name)(stops(when))
 built_in()
