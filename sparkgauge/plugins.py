@@ -41,7 +41,7 @@ OUTPUTS, TRACES, TOKENIZERS, STEPS = Registry("output"), Registry("trace format"
 
 def built_in() -> None:
     from .functions import scalars
-    from .operators import constraints, conversations, distribution, export, mapping, preprocess
+    from .operators import blocks, constraints, conversations, distribution, export, mapping, preprocess
     from .sources import readers
 
     for n, f in {"column_mapper": mapping.map_columns, "trim": preprocess.trim, "ignore_short": preprocess.ignore_short, "pad_short": preprocess.pad_short, "prepare": preprocess.prepare, "concatenate": preprocess.concatenate}.items():
@@ -54,7 +54,7 @@ def built_in() -> None:
         AGGREGATES.register(n)(f)
     for n, f in {"csv": export.write_csv, "json": export.write_json, "files": readers.save}.items():
         OUTPUTS.register(n)(f)
-    for n, f in {"lengths": readers.trace, "blocks": readers.block_trace}.items():
+    for n, f in {"lengths": readers.trace, "blocks": blocks.with_blocks, "conversation_blocks": blocks.conversation_blocks}.items():
         TRACES.register(n)(f)
     TOKENIZERS.register("words", "default")(scalars.words)
 

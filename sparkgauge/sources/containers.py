@@ -120,15 +120,3 @@ def unwrap(df: DataFrame, required: dict[str, str]) -> DataFrame:
         raise ValueError(f"{len(fit)} columns hold lists of rows with {', '.join(required)}; there has to be one")
     x = settle(df.select(F.monotonically_increasing_id().alias("conversation"), F.col(fit[0]).alias("_cell")))
     return x.withColumn("_rows", F.from_json("_cell", item)).select("conversation", F.explode("_rows").alias("_row")).select("conversation", "_row.*")
-
-
-def weka_blocks(df: DataFrame, block: int = 64) -> DataFrame:
-    """Adds ids (of whole blocks only) and remainder: the prompt tokens beyond these."""
-    return df.withColumns({"ids": F.slice("hash_ids", F.lit(1), F.expr(f"CAST(input_length div {block} AS INT)")), "remainder": F.col("input_length") % block})
-
-
-def mooncake_blocks(df: DataFrame, block: int = 512) -> DataFrame:
-    """(all columns, at, block_id, previous, tokens): one row for each block; the last one takes what is left of the prompt."""
-    x = df.select("*", F.posexplode("hash_ids").alias("at", "block_id"))
-    left = F.col("input_length") - F.col("at") * block
-    return x.withColumns({"previous": F.when(F.col("at") > 0, F.get("hash_ids", F.col("at") - 1)), "tokens": F.least(left, F.lit(block))})

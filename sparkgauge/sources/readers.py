@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import blocks
+from ..operators.ordered import settle
+
 READERS: dict[str, Callable[..., DataFrame]] = {}
 #: Names under which the splits of a dataset are known, in the order in which they are looked for.
 SPLITS = {
@@ -67,12 +71,27 @@ def json(spark: SparkSession, path: str, field: str | None = None) -> DataFrame:
 
 @reader("mooncake")
 def mooncake(spark: SparkSession, path: str, block: int = 512) -> DataFrame:
-    """Lines of JSON with timestamp (ms), input_length, output_length and hash_ids, in order of time, with their blocks."""
-    schema = "timestamp double, input_length bigint, output_length bigint, hash_ids array<bigint>"
-    x = spark.read.schema(schema).json(path)
-    nulls = F.greatest(*(F.col(c).isNull().cast("int") for c in x.columns)) > 0
-    x = x.withColumn("timestamp", F.when(nulls, F.raise_error(F.lit("a trace row has nulls")).cast("double")).otherwise(F.col("timestamp")))
-    return sorted_rows(block_trace(x, block=block), "timestamp", [])
+    """Lines of JSON with timestamp (ms), input_length, output_length and hash_ids, in order of time, with their blocks.
+
+    Of rows with one time the one that was read first names an id first; `row` is the place it was read at.
+    """
+    x = placed(spark.read.schema("timestamp double, input_length bigint, output_length bigint, hash_ids array<bigint>").json(path))
+    return sorted_rows(blocks.with_blocks(x, ("timestamp", "row"), block=block), "timestamp", [], ("row",))
+
+
+@reader("weka")
+def weka(spark: SparkSession, path: str, block: int = 64) -> DataFrame:
+    """Lines of JSON with id (conversation), t (s), in, out and hash_ids, in order of time, with blocks by conversation and a remainder."""
+    x = placed(spark.read.schema("id string, t double, `in` bigint, out bigint, hash_ids array<bigint>").json(path))
+    return sorted_rows(blocks.conversation_blocks(x, ("t", "row"), block=block), "t", ["id"], ("row",))
+
+
+def placed(df: DataFrame) -> DataFrame:
+    """The rows of a trace, none of them with a null, with `row`, a number that rises with the place in the files, the same for all readers."""
+    nulls = reduce(lambda a, b: a | b, (F.col(c).isNull() for c in df.columns))
+    first = df.columns[0]
+    df = df.withColumn(first, F.when(nulls, F.raise_error(F.lit("a trace row has nulls")).cast(df.schema[first].dataType)).otherwise(F.col(first)))
+    return settle(df.withColumn("row", F.monotonically_increasing_id()))
 
 
 @reader("parquet_file", "parquet")
@@ -155,35 +174,6 @@ def sorted_rows(df: DataFrame, time: str, keys: list[str], ties: tuple[str, ...]
     return df.orderBy(*keys, time, *ties)
 
 
-def block_trace(df: DataFrame, n_in: str = "input_length", ids: str = "hash_ids", block: int = 512) -> DataFrame:
-    """(df's columns, blocks): a trace of hashed prompts, checked, with the length and seed of each block of tokens.
-
-    A block's tokens depend on its hash id and the one before it, so equal ids after equal ids give equal
-    blocks and siblings differ; the last one takes the rest of the prompt.
-    """
-    ok = F.when(blocks_fit(n_in, ids, block), F.col(ids)).otherwise(F.raise_error(F.lit("hash ids don't fit the prompt")).cast(df.schema[ids].dataType))
-    last = F.size(ids) - 1
-    length = lambda i: F.when((i < last) | (F.col(n_in) % block == 0), F.lit(block)).otherwise(F.col(n_in) % block).cast("bigint")
-    before = lambda i: F.coalesce(F.try_element_at(F.col(ids), i), F.lit(-1)).cast("bigint")
-    seeds = F.transform(ids, lambda x, i: F.struct(x.cast("bigint").alias("hash_id"), F.when(i > 0, before(F.greatest(i, F.lit(1)))).otherwise(F.lit(-1).cast("bigint")).alias("after"), length(i).alias("length")))
-    return df.withColumn(ids, ok).withColumn("blocks", seeds)
-
-
-def block_tokens(blocks: str, vocabulary: int):
-    """The token ids of each block: a walk through the vocabulary from a start and with a step by hash of (id, id before)."""
-    start = lambda b, k: F.pmod(F.xxhash64(b["hash_id"], b["after"], F.lit(k)), F.lit(vocabulary))
-    return F.transform(blocks, lambda b: F.transform(F.sequence(F.lit(0).cast("bigint"), b["length"] - 1), lambda i: (start(b, 0) + i * (1 + start(b, 1) % (vocabulary - 1))) % vocabulary))
-
-
-def blocks_fit(n_in: str, ids: str, block: int = 512, floor_too: bool = False):
-    """Whether ids are no negative numbers and as many as the prompt has blocks, begun ones included (or, if so said, left out)."""
-    n = F.size(ids)
-    count = n == F.ceil(F.col(n_in) / block)
-    if floor_too:
-        count = count | (n == F.floor(F.col(n_in) / block))
-    return F.forall(ids, lambda x: x >= 0) & count
-
-
 def options(source: str | dict) -> dict:
     """Options of a dict, a JSON text, a JSON file or `key=value,...`; values of pairs are JSON where they can be, else texts."""
     import json as js

@@ -107,9 +107,6 @@ def test_traces(spark):
     assert sorted((r.t, r.n) for r in got.collect()) == [(1.0, 130), (2.0, 64), (5.0, 1)] and got.select("conversation").distinct().count() == 2
     with pytest.raises(ValueError):
         containers.unwrap(wrapped, {"missing": "bigint"})
-    b = spark.createDataFrame([(130, [1, 2, 3])], "input_length long, hash_ids array<int>")
-    assert tuple(containers.weka_blocks(b).select("ids", "remainder").first()) == ([1, 2], 2)
-    assert [(r.block_id, r.previous, r.tokens) for r in containers.mooncake_blocks(b, 64).orderBy("at").collect()] == [(1, None, 64), (2, 1, 64), (3, 2, 2)]
 
 
 def test_synthetic(spark):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sparkgauge import plugins
 from sparkgauge.functions import scalars as sc
-from sparkgauge.operators import chats, conversations, export, lifecycle, mapping, ordered, preprocess, schedule
+from sparkgauge.operators import blocks, chats, conversations, export, lifecycle, mapping, ordered, preprocess, schedule
 from sparkgauge.sources import readers, synthetic
 
 
@@ -92,7 +92,7 @@ def test_readers(spark, tmp_path):
             readers.directory(spark, str(tmp_path / "set" / "valid"), "x") if split is None else readers.directory(spark, str(tmp_path / "set"), split)
     lines = [{"timestamp": 20, "input_length": 700, "output_length": 3, "hash_ids": [4, 9]}, {"timestamp": 10, "input_length": 512, "output_length": 1, "hash_ids": [4]}, {"timestamp": 30, "input_length": 1000, "output_length": 1, "hash_ids": [4, 8]}]
     (tmp_path / "t.jsonl").write_text("\n".join(map(json.dumps, lines)))
-    got = readers.read(spark, "mooncake", str(tmp_path / "t.jsonl")).withColumn("tokens", readers.block_tokens("blocks", 1000)).collect()
+    got = readers.read(spark, "mooncake", str(tmp_path / "t.jsonl")).withColumn("tokens", blocks.block_tokens("blocks", 1000)).collect()
     assert [r.timestamp for r in got] == [10, 20, 30] and [[len(t) for t in r.tokens] for r in got] == [[512], [512, 188], [512, 488]]
     assert got[0].tokens[0] == got[1].tokens[0] and got[1].tokens[1] != got[2].tokens[1][:188]
     (tmp_path / "bad.jsonl").write_text(json.dumps(lines[0] | {"hash_ids": [1]}))
