@@ -47,8 +47,55 @@ def format_time(seconds: Column, pattern: str = "yyyy-MM-dd HH:mm:ss") -> Column
     return F.when(known, F.date_format(F.timestamp_seconds(seconds), pattern)).otherwise("N/A")
 
 
+#: What the bytes 128 to 159 are in windows-1252; five of them are the control characters of the same number.
+WINDOWS_1252 = "€\x81‚ƒ„…†‡ˆ‰Š‹Œ\x8dŽ\x8f\x90‘’“”•–—˜™š›œ\x9džŸ"
+LATIN_1 = "".join(map(chr, range(0x80, 0xA0)))
+
+
+def _bytes(low: int, high: int) -> str:
+    """A pattern for the characters that bytes low to high became, by windows-1252 or by latin-1."""
+    odd = "".join(WINDOWS_1252[b - 0x80] for b in range(max(low, 0x80), min(high, 0x9F) + 1))
+    return f"[\\x{{{low:x}}}-\\x{{{high:x}}}{odd}]"
+
+
+def _mojibake() -> tuple[str, str]:
+    """(sure, any): patterns of characters that are the bytes of one UTF-8 character.
+
+    Sure ones hardly stand in a text by themselves: those of Latin-1's signs and letters, most of Latin Extended-A, of general punctuation, of
+    full-width forms and of emoji. The others (é…» would be one) count only beside another.
+    """
+    next_ = _bytes(0x80, 0xBF)
+    # Quotes, dots, dashes, blanks and signs that stand behind a capital Ä or Å of a sound text.
+    sure = f"[ÂÃ]{next_}|[ÄÅ](?![‘’“”‹›«»…–—•·´°º®™‰\u00a0\u00ad]){next_}|â{_bytes(0x80, 0xAF)}{next_}|ï{_bytes(0xB8, 0xBF)}{next_}|ð{_bytes(0x9F, 0x9F)}{next_}{{2}}"
+    three = f"à{_bytes(0xA0, 0xBF)}{next_}|[á-ìîï]{next_}{{2}}|í{_bytes(0x80, 0x9F)}{next_}"
+    four = f"ð{_bytes(0x90, 0xBF)}{next_}{{2}}|[ñ-ó]{next_}{{3}}|ô{_bytes(0x80, 0x8F)}{next_}{{2}}"
+    return sure, f"[Â-ß]{next_}|{three}|{four}"
+
+
+def repair_text(t: Column, passes: int = 2) -> Column:
+    """t with UTF-8 that was read as windows-1252 or latin-1 read as UTF-8 again; as often as it happened, up to `passes` times.
+
+    Runs of such characters are decoded, whatever stands around them; a run counts if it holds a sure character or two
+    characters. Null stays null; a text without such a run stays as it is. No first byte is ever a later one, so a
+    run has one reading.
+    """
+    sure, some = _mojibake()
+    pair = f"(?:{some}){{2}}"
+
+    def once(x: Column) -> Column:
+        # Possessive repeats, which no long run makes deep.
+        pieces = F.regexp_extract_all(x, F.lit(f"(?s)(?:{some})++|(?:(?!{some}).)++"), F.lit(0))
+        again = lambda p: F.decode(F.encode(F.translate(p, WINDOWS_1252, LATIN_1), "ISO-8859-1"), "UTF-8")
+        return F.array_join(F.transform(pieces, lambda p: F.when(p.rlike(f"^(?:{some})") & (p.rlike(sure) | p.rlike(pair)), again(p)).otherwise(p)), "")
+
+    for _ in range(passes):
+        t = F.transform(F.array(t), lambda x: F.when(x.rlike(f"{sure}|{pair}"), once(x)).otherwise(x))[0]
+    return t
+
+
 def clean_text(t: Column) -> Column:
-    return F.trim(F.regexp_replace(t, r"\s+", " "))
+    """t repaired, each run of white space a blank, none at either end; Unicode's white space counts, the separators 28 to 31 too."""
+    return F.trim(F.regexp_replace(repair_text(t), r"(?U)[\s\x1c-\x1f]+", " "))
 
 
 def words(t: Column) -> Column:
