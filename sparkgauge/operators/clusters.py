@@ -67,11 +67,17 @@ def key_starts(table: pa.Table, keys: list[str]) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def arrays(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    return table.column("t").to_numpy().astype(np.int64), table.column("w").to_numpy().astype(float)
+def arrays(table: pa.Table, weights: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Times, and a row of weights for each."""
+    return table.column("t").to_numpy().astype(np.int64), np.column_stack([table.column(w).to_numpy().astype(float) for w in weights])
 
 
-def summary_of(keys: list[str], threshold: int):
+def sums_of(w: np.ndarray) -> np.ndarray:
+    """The weights of the rows before each row, and of all."""
+    return np.concatenate([np.zeros((1, w.shape[1])), np.cumsum(w, 0)])
+
+
+def summary_of(keys: list[str], threshold: int, weights: tuple[str, ...] = ("w",)):
     """A row for a range's first key, and one for its last if it is another: what the range makes of a head before it.
 
     candidates: the rows that may be the first head, by time, with the weight ahead of each and the last head of a walk from it.
@@ -82,18 +88,18 @@ def summary_of(keys: list[str], threshold: int):
         if not batches:
             return
         table = pa.Table.from_batches(batches)
-        t, w = arrays(table)
+        t, w = arrays(table, weights)
         starts = key_starts(table, keys)
         jump, out = jumps(t, starts, threshold), []
         ends = np.append(starts[1:], len(t))
         for place, k in enumerate(sorted({0, len(starts) - 1})):
             a, z = starts[k], ends[k]
             m = min(z - a, int(np.searchsorted(t[a:z], t[a] + threshold, "left")) + 1)
-            sums = np.concatenate([[0.0], np.cumsum(w[a:z])])
+            sums = sums_of(w[a:z])
             last = t[a + ends_of(jump[a:z] - a, z - a)[:m]]
             row = {c: [table.column(c)[int(a)].as_py()] for c in keys}
-            out.append(row | {"_r": [table.column("_r")[0].as_py()], "_place": [place], "candidates": [t[a : a + m].tolist()], "ahead": [sums[:m].tolist()], "last": [last.tolist()], "n": [z - a], "total": [sums[-1]]})
-        kinds = {c: table.schema.field(c).type for c in keys} | {"_r": pa.int32(), "_place": pa.int32(), "candidates": pa.list_(pa.int64()), "ahead": pa.list_(pa.float64()), "last": pa.list_(pa.int64()), "n": pa.int64(), "total": pa.float64()}
+            out.append(row | {"_r": [table.column("_r")[0].as_py()], "_place": [place], "candidates": [t[a : a + m].tolist()], "ahead": [sums[:m].tolist()], "last": [last.tolist()], "n": [z - a], "total": [sums[-1].tolist()]})
+        kinds = {c: table.schema.field(c).type for c in keys} | {"_r": pa.int32(), "_place": pa.int32(), "candidates": pa.list_(pa.int64()), "ahead": pa.list_(pa.list_(pa.float64())), "last": pa.list_(pa.int64()), "n": pa.int64(), "total": pa.list_(pa.float64())}
         for row in out:
             yield pa.RecordBatch.from_arrays([pa.array(row[c], k) for c, k in kinds.items()], list(kinds))
 
@@ -102,11 +108,11 @@ def summary_of(keys: list[str], threshold: int):
 
 @dataclass
 class Entry:
-    """What a range needs to know of the others: the head before it, the weight of its first key before it, the weight that later ranges add to its last head, and the head after that."""
+    """What a range needs to know of the others: the head before it, the weights of its first key before it, the weights that later ranges add to its last head, and the head after that."""
 
     head: int | None = None
-    before: float = 0.0
-    more: float = 0.0
+    before: np.ndarray | float = 0.0
+    more: np.ndarray | float = 0.0
     after: int | None = None
 
 
@@ -124,10 +130,10 @@ def compose(rows: list, keys: list[str], threshold: int) -> dict[int, Entry]:
             entry.head, entry.before = head, weight
             first = int(np.searchsorted(s["candidates"], head + threshold, "right"))
             inside = first < s["n"]
-            entries[owner].more += s["ahead"][first] if inside else s["total"]
+            entries[owner].more = entries[owner].more + np.array(s["ahead"][first] if inside else s["total"])
             if inside:
                 entries[owner].after = s["candidates"][first]
-        weight += s["total"]
+        weight = weight + np.array(s["total"])
         if first < s["n"]:
             head, owner = s["last"][first], s["_r"]
     return entries
@@ -138,8 +144,12 @@ def columns_of(table: pa.Table, keys: list[str], rows: np.ndarray | None = None)
     return columns if rows is None else [c.take(pa.array(rows)) for c in columns]
 
 
-def walk(keys: list[str], threshold: int, entries, members: bool):
-    """(keys, t, w, prev_t, next_t, level) of the heads in each range, from its entry; with members (keys, t, head) of all its rows."""
+def levels(weights: tuple[str, ...]) -> list[str]:
+    return ["level"] if weights == ("w",) else [f"level_{w}" for w in weights]
+
+
+def walk(keys: list[str], threshold: int, entries, members: bool, weights: tuple[str, ...] = ("w",)):
+    """(keys, t, weights, prev_t, next_t, levels) of the heads in each range, from its entry; with members (keys, t, head) of all its rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         batches = [b for b in batches if b.num_rows]
@@ -147,7 +157,7 @@ def walk(keys: list[str], threshold: int, entries, members: bool):
             return
         table = pa.Table.from_batches(batches)
         entry = entries.value[table.column("_r")[0].as_py()]
-        t, w = arrays(table)
+        t, w = arrays(table, weights)
         starts = key_starts(table, keys)
         jump = jumps(t, starts, threshold)
         begins = starts.copy()
@@ -165,7 +175,7 @@ def walk(keys: list[str], threshold: int, entries, members: bool):
         same = segment[1:] == segment[:-1]
         stop = np.append(starts[1:], len(t))[segment]  # the end of a head's cluster: the next head, or the end of the key
         stop[:-1] = np.where(same, heads[1:], stop[:-1])
-        sums = np.concatenate([[0.0], np.cumsum(w)])
+        sums = sums_of(w)
         weight, level = sums[stop] - sums[heads], sums[stop] - sums[starts[segment]]
         level[segment == 0] += entry.before
         weight[-1] += entry.more
@@ -175,32 +185,36 @@ def walk(keys: list[str], threshold: int, entries, members: bool):
         prev_none[0], next_none[-1] = segment[0] != 0 or entry.head is None, entry.after is None
         prev_none[1:], next_none[:-1] = ~same, ~same
         prev, after = np.concatenate([[entry.head or 0], t[heads[:-1]]]), np.append(t[heads[1:]], entry.after or 0)
-        columns = [*columns_of(table, keys, heads), pa.array(t[heads]), pa.array(weight), pa.array(prev, mask=prev_none), pa.array(after, mask=next_none), pa.array(level)]
-        yield pa.RecordBatch.from_arrays(columns, [*keys, "t", "w", "prev_t", "next_t", "level"])
+        each = lambda x: [pa.array(np.ascontiguousarray(c)) for c in x.T]
+        columns = [*columns_of(table, keys, heads), pa.array(t[heads]), *each(weight), pa.array(prev, mask=prev_none), pa.array(after, mask=next_none), *each(level)]
+        yield pa.RecordBatch.from_arrays(columns, [*keys, "t", *weights, "prev_t", "next_t", *levels(weights)])
 
     return run
 
 
-def walked(points: DataFrame, keys: list[str], threshold: int, members: bool) -> DataFrame:
+def walked(points: DataFrame, keys: list[str], threshold: int, members: bool, weights: tuple[str, ...] = ("w",)) -> DataFrame:
     """The rows are dealt to ranges once, and each range is read twice, whole, by one task: for its summary and for its walk."""
     spark = points.sparkSession
-    once = points.groupBy(*keys, F.col("t").cast("bigint").alias("t")).agg(F.sum(F.col("w").cast("double")).alias("w"))
+    once = points.groupBy(*keys, F.col("t").cast("bigint").alias("t")).agg(*(F.sum(F.col(w).cast("double")).alias(w) for w in weights))
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = settle(once.repartitionByRange(ranges, *keys, "t").sortWithinPartitions(*keys, "t").withColumn("_r", F.spark_partition_id()))
     kinds = "".join(f"`{c}` {ordered.schema[c].dataType.simpleString()}, " for c in keys)
-    rows = ordered.mapInArrow(summary_of(keys, threshold), f"{kinds}_r int, _place int, candidates array<bigint>, ahead array<double>, last array<bigint>, n bigint, total double").collect()
+    rows = ordered.mapInArrow(summary_of(keys, threshold, weights), f"{kinds}_r int, _place int, candidates array<bigint>, ahead array<array<double>>, last array<bigint>, n bigint, total array<double>").collect()
     entries = spark.sparkContext.broadcast(compose(rows, keys, threshold))
-    out = "t bigint, head bigint" if members else "t bigint, w double, prev_t bigint, next_t bigint, level double"
-    return ordered.mapInArrow(walk(keys, threshold, entries, members), kinds + out)
+    doubles = lambda names: ", ".join(f"`{n}` double" for n in names)
+    out = "t bigint, head bigint" if members else f"t bigint, {doubles(weights)}, prev_t bigint, next_t bigint, {doubles(levels(weights))}"
+    return ordered.mapInArrow(walk(keys, threshold, entries, members, weights), kinds + out)
 
 
-def clusters(points: DataFrame, keys: list[str], threshold: int = 100) -> DataFrame:
+def clusters(points: DataFrame, keys: list[str], threshold: int = 100, weights: tuple[str, ...] = ("w",)) -> DataFrame:
     """(keys, t, w, prev_t, next_t, level) for points (keys, t, w): the head and weight of each cluster of a key, the
     heads before and after it, and the weight of all clusters up to it. Times are whole numbers without nulls.
 
+    Series at the same times are clustered once, as several weights; a weight x then has its level in level_x.
+
     Equal times are summed up first, so a range has as many rows as distinct times.
     """
-    return walked(points, keys, threshold, False)
+    return walked(points, keys, threshold, False, weights)
 
 
 def heads_of(points: DataFrame, keys: list[str], threshold: int) -> DataFrame:

@@ -75,30 +75,30 @@ def merge_times(points: DataFrame, keys: list[str], threshold: int = 100) -> Dat
     return clusters(points, keys, threshold).select(*keys, "t", "w")
 
 
-def event_points(points: DataFrame, keys: list[str], start: int | str | None = None, end: int | str | None = None) -> DataFrame:
-    """Points (keys, t, w) within a window, with one of no weight at each end of it for every key.
+def event_points(points: DataFrame, keys: list[str], start: int | str | None = None, end: int | str | None = None, weights: tuple[str, ...] = ("w",)) -> DataFrame:
+    """Points (keys, t, weights) within a window, with one of no weight at each end of it for every key.
 
     The ends are numbers, or names of columns of points that have one value for each key.
     """
     lo, hi = (F.col(x) if isinstance(x, str) else F.lit(x).cast("bigint") for x in (start, end))
-    p = points.select(*keys, "t", F.col("w").cast("double").alias("w"), lo.alias("_lo"), hi.alias("_hi"))
+    p = points.select(*keys, "t", *(F.col(w).cast("double").alias(w) for w in weights), lo.alias("_lo"), hi.alias("_hi"))
     inside = p.where(F.coalesce(F.col("t") >= F.col("_lo"), F.lit(True)) & F.coalesce(F.col("t") <= F.col("_hi"), F.lit(True))).drop("_lo", "_hi")
     if start is None and end is None:
         return inside
     ends = p.groupBy(*keys).agg(F.first("_lo").alias("_lo"), F.first("_hi").alias("_hi"))
-    return inside.unionByName(ends.select(*keys, F.explode(F.array("_lo", "_hi")).alias("t"), F.lit(0.0).alias("w")).where("t is not null"))
+    return inside.unionByName(ends.select(*keys, F.explode(F.array("_lo", "_hi")).alias("t"), *(F.lit(0.0).alias(w) for w in weights)).where("t is not null"))
 
 
-def rate_points(points: DataFrame, keys: list[str], threshold: int = 100, start: int | str | None = None, end: int | str | None = None) -> DataFrame:
-    """(keys, t, w, duration): events at merged times and the seconds each stands for, half-way to its neighbours."""
-    return rates_of(clusters(event_points(points, keys, start, end), keys, threshold))
+def rate_points(points: DataFrame, keys: list[str], threshold: int = 100, start: int | str | None = None, end: int | str | None = None, weights: tuple[str, ...] = ("w",)) -> DataFrame:
+    """(keys, t, weights, duration): events at merged times and the seconds each stands for, half-way to its neighbours."""
+    return rates_of(clusters(event_points(points, keys, start, end, weights), keys, threshold, weights)).select(*keys, "t", *weights, "duration")
 
 
 def rates_of(x: DataFrame) -> DataFrame:
     """Clusters with the seconds that each stands for; the only one of a key stands for none."""
     half = (F.coalesce("next_t", "t") - F.coalesce("prev_t", "t")) / 2e6
     alone = F.col("next_t").isNull() & F.col("prev_t").isNull()
-    return x.where(~alone).withColumn("duration", F.when(F.col("next_t").isNull(), F.greatest(half, F.lit(TINY))).otherwise(half)).drop("next_t", "prev_t", "level")
+    return x.where(~alone).withColumn("duration", F.when(F.col("next_t").isNull(), F.greatest(half, F.lit(TINY))).otherwise(half)).drop("next_t", "prev_t")
 
 
 def rate_summary(points: DataFrame, keys: list[str], **options) -> DataFrame:
@@ -109,15 +109,21 @@ def rate_summary(points: DataFrame, keys: list[str], **options) -> DataFrame:
     return s.join(events, keys).withColumn("count", F.col("_events")).drop("_events")
 
 
-def span_points(spans: DataFrame, keys: list[str], start: int | str | None = None, end: int | str | None = None, weight: str | None = None) -> DataFrame:
-    """(keys, t, w): what begins and, negative, what ends at each time, of spans that overlap a window; its ends as in event_points."""
+def span_points(spans: DataFrame, keys: list[str], start: int | str | None = None, end: int | str | None = None, weights: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, t, weights): what begins and, negative, what ends at each time, of spans that overlap a window; its ends as in event_points.
+
+    Without weights each span counts as one, as w.
+    """
     lo, hi = (F.col(x) if isinstance(x, str) else F.lit(x).cast("bigint") for x in (start, end))
-    s = spans.select(*keys, "start_us", "end_us", (F.col(weight) if weight else F.lit(1)).alias("_v"), lo.alias("_lo"), hi.alias("_hi"))
+    names = weights or ("w",)
+    s = spans.select(*keys, "start_us", "end_us", *((F.col(n) if weights else F.lit(1)).cast("double").alias(f"_v_{n}") for n in names), lo.alias("_lo"), hi.alias("_hi"))
     s = s.where(F.coalesce(F.col("end_us") >= F.col("_lo"), F.lit(True)) & F.coalesce(F.col("start_us") <= F.col("_hi"), F.lit(True)))
-    point = lambda t, w: F.struct(t.alias("t"), w.cast("double").alias("w"))
-    deltas = F.array(point(F.greatest("start_us", "_lo"), F.col("_v")), point(F.col("end_us"), -F.col("_v")), point(F.col("_hi"), F.lit(0)))
-    p = s.select(*keys, "_hi", F.explode(deltas).alias("d")).where(F.col("d.t").isNotNull() & F.coalesce(F.col("d.t") <= F.col("_hi"), F.lit(True)))
-    return p.groupBy(*keys, F.col("d.t").alias("t")).agg(F.sum("d.w").alias("w"))
+    point = lambda t, w: F.struct(t.alias("t"), *(w(F.col(f"_v_{n}")).alias(n) for n in names))
+    deltas = [point(F.greatest("start_us", "_lo"), lambda v: v), point(F.col("end_us"), lambda v: -v)]
+    if end is not None:
+        deltas.append(point(F.col("_hi"), lambda v: F.lit(0.0)))
+    p = s.select(*keys, "_hi", F.explode(F.array(*deltas)).alias("d")).where(F.col("d.t").isNotNull() & F.coalesce(F.col("d.t") <= F.col("_hi"), F.lit(True)))
+    return p.groupBy(*keys, F.col("d.t").alias("t")).agg(*(F.sum(f"d.{n}").alias(n) for n in names))
 
 
 def levels_of(x: DataFrame, keys: list[str]) -> DataFrame:
@@ -125,10 +131,9 @@ def levels_of(x: DataFrame, keys: list[str]) -> DataFrame:
     return x.where("next_t is not null").select(*keys, "t", F.greatest(F.lit(0.0), F.col("level")).alias("level"), (F.col("next_t") - F.col("t")).alias("duration_us"))
 
 
-def concurrency_levels(spans: DataFrame, keys: list[str], threshold: int = 100, start: int | str | None = None, end: int | str | None = None, weight: str | None = None) -> DataFrame:
-    """(keys, t, level, duration_us): how many intervals (or how much of their weight) are open from each time to the next."""
-    x = levels_of(clusters(span_points(spans, keys, start, end, weight), keys, threshold), keys)
-    return x if weight else x.withColumn("level", F.col("level").cast("bigint"))
+def concurrency_levels(spans: DataFrame, keys: list[str], threshold: int = 100, start: int | str | None = None, end: int | str | None = None) -> DataFrame:
+    """(keys, t, level, duration_us): how many intervals are open from each time to the next."""
+    return levels_of(clusters(span_points(spans, keys, start, end), keys, threshold), keys).withColumn("level", F.col("level").cast("bigint"))
 
 
 def concurrency_summary(spans: DataFrame, keys: list[str], **options) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.requests import in_window
 from . import distribution as ds
-from .clusters import clusters
+from .clusters import clusters, levels
 from .ordered import settle
 
 #: The counters of each kind of content.
@@ -59,34 +59,75 @@ def run_distributions(r: DataFrame, keys: list[str], values: Column, tokens: Col
 RATE, OPEN = "requests_per_second", "request_concurrency"
 
 
-def sided(r: DataFrame, properties: dict[str, tuple[str | None, str | None]]) -> DataFrame:
-    """(metric, side, status, value, start_us, end_us) of requests: for each property a column of inputs and one of outputs.
+def some_sides(r: DataFrame, properties: dict[str, tuple[str | None, str | None]]) -> list[tuple[str, str, tuple[str, ...]]]:
+    """(metric, side, columns) of the sides that have some value: for each property a column of inputs and one of outputs.
 
-    A side without any value is left out. `total` holds the samples of both sides, where both have some.
+    `total` stands for the samples of both sides, where both have some. One pass over the columns; a row comes to the driver.
     """
     sides = [(m, s, c) for m, pair in properties.items() for s, c in zip(("input", "output"), pair, strict=True) if c]
-    parts = F.array(*(F.struct(F.lit(m).alias("metric"), F.lit(s).alias("side"), F.col(c).cast("double").alias("value")) for m, s, c in sides))
-    x = r.select("status", "start_us", "end_us", F.explode(parts).alias("p")).select("p.*", "status", "start_us", "end_us")
-    some = x.where("value is not null").groupBy("metric").agg(F.collect_set("side").alias("_sides"))  # a row for each property
-    x = x.join(some, "metric").where(F.array_contains("_sides", F.col("side")))
-    return x.withColumn("side", F.explode(F.when(F.size("_sides") > 1, F.array(F.col("side"), F.lit("total"))).otherwise(F.array("side")))).drop("_sides")
+    names = sorted({c for _, _, c in sides})
+    found = r.agg(F.lit(0), *(F.max(F.col(c).isNotNull()) for c in names)).first()
+    some = dict(zip(names, found[1:], strict=True))
+    own = [(m, s, (c,)) for m, s, c in sides if some[c]]
+    both = {m: tuple(c for n, _, (c,) in own if n == m) for m, _, _ in own}
+    return own + [(m, "total", columns) for m, columns in both.items() if len(columns) > 1]
+
+
+def listed(rows: list[Column], kind: str) -> Column:
+    return F.array(*rows) if rows else F.array().cast(f"array<{kind}>")
+
+
+def sided(r: DataFrame, properties: dict[str, tuple[str | None, str | None]]) -> DataFrame:
+    """(metric, side, status, value) of requests, a row for each sample of each of `some_sides`."""
+    sides = some_sides(r, properties)
+    parts = [F.struct(F.lit(m).alias("metric"), F.lit(s).alias("side"), F.col(c).cast("double").alias("value")) for m, s, columns in sides for c in columns]
+    return r.select("status", F.explode(listed(parts, "struct<metric:string,side:string,value:double>")).alias("p")).select("p.metric", "p.side", "status", "p.value")
 
 
 KEYS = ["metric", "side", "status"]
 
 
-def values(x: DataFrame) -> DataFrame:
+def values(r: DataFrame, properties: dict[str, tuple[str | None, str | None]]) -> DataFrame:
     """Summaries of the values that are there."""
-    return ds.summarise(ds.with_totals(ds.pdf(x, KEYS), "status", "weight"), KEYS)
+    return ds.summarise(ds.with_totals(ds.pdf(sided(r, properties), KEYS), "status", "weight"), KEYS)
+
 
+def weighed(r: DataFrame, sides: list) -> tuple[DataFrame, dict[str, str]]:
+    """(status, start_us, end_us) of requests with each used column as a weight, a missing value as zero; and the weights' names by column."""
+    names = {c: f"w{i}" for i, c in enumerate(sorted({c for _, _, columns in sides for c in columns}))}
+    return r.select("status", "start_us", "end_us", *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(n) for c, n in names.items())), names
 
-def rates(x: DataFrame, **options) -> DataFrame:
-    """(keys, t, w, duration): what ends at each time; a missing value counts as zero."""
-    p = x.groupBy(*KEYS, F.col("end_us").alias("t")).agg(F.sum(F.coalesce("value", F.lit(0.0))).alias("w"))
-    return ds.rate_points(ds.with_totals(p, "status", "w"), KEYS, **options)
 
+def by_side(x: DataFrame, sides: list, columns: list[str], value: str, of) -> DataFrame:
+    """(keys, columns, value) of a frame with a weight for each used column: a row for each side, `of` of its columns."""
+    rows = [F.struct(F.lit(m).alias("metric"), F.lit(s).alias("side"), of(used).alias(value)) for m, s, used in sides]
+    x = x.select("status", *columns, F.explode(listed(rows, f"struct<metric:string,side:string,{value}:double>")).alias("p"))
+    return x.select("p.metric", "p.side", "status", *columns, f"p.{value}")
 
-def concurrency(x: DataFrame, **options) -> DataFrame:
-    """(keys, t, level, duration_us): how much of the values is being worked on; a missing value counts as zero."""
-    both = x.withColumn("status", F.explode(F.array("status", F.lit("total")))).withColumn("value", F.coalesce("value", F.lit(0.0)))
-    return ds.concurrency_levels(both, KEYS, weight="value", **options)
+
+def rates(r: DataFrame, properties: dict[str, tuple[str | None, str | None]], **options) -> DataFrame:
+    """(keys, t, duration, w): what ends at each time; a missing value counts as zero.
+
+    All sides are at the same times, so these are merged once for a status, with a weight for each column.
+    """
+    sides = some_sides(r, properties)
+    x, names = weighed(r if sides else r.where("false"), sides)
+    weights = tuple(names.values()) or ("w",)
+    p = (x if names else x.withColumn("w", F.lit(0.0))).groupBy("status", F.col("end_us").alias("t")).agg(*(F.sum(w).alias(w) for w in weights))
+    x = ds.rate_points(ds.with_totals(p, "status", *weights), ["status"], weights=weights, **options)
+    return by_side(x, sides, ["t", "duration"], "w", lambda used: sum((F.col(names[c]) for c in used[1:]), F.col(names[used[0]])))
+
+
+def concurrency(r: DataFrame, properties: dict[str, tuple[str | None, str | None]], threshold: int = 100, **window) -> DataFrame:
+    """(keys, t, duration_us, level): how much of the values is being worked on; a missing value counts as zero.
+
+    All sides are at the same times, so these are merged once for a status, with a level for each column.
+    """
+    sides = some_sides(r, properties)
+    x, names = weighed(r if sides else r.where("false"), sides)
+    weights = tuple(names.values()) or ("w",)
+    p = ds.with_totals(ds.span_points(x, ["status"], weights=tuple(names.values()), **window), "status", *weights)
+    x = clusters(p, ["status"], threshold, weights).where("next_t is not null").withColumn("duration_us", F.col("next_t") - F.col("t"))
+    name = dict(zip(names, levels(weights), strict=True)) if names else {}
+    level = lambda used: F.greatest(F.lit(0.0), sum((F.col(name[c]) for c in used[1:]), F.col(name[used[0]])))
+    return by_side(x, sides, ["t", "duration_us"], "level", level)

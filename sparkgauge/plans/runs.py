@@ -178,24 +178,24 @@ sided AS (SELECT * FROM own UNION ALL SELECT metric, 'total', status, value, sta
 
 
 def usage(spark: SparkSession, d: str) -> DataFrame:
-    return sm.sided(rq.requests(spark, d).withColumns({n: F.expr(e) for n, e in USED.items()}), USAGE)
+    return rq.requests(spark, d).withColumns({n: F.expr(e) for n, e in USED.items()})
 
 
 @query(f"WITH {REQUESTS}, {SIDED_SQL}, src AS (SELECT metric, side, status, value, 1 AS weight FROM usage), {summary_sql('src', 'metric, side, status')} SELECT metric, side, status, n, round(mean, 4) AS mean, p50, p95, max_value FROM summary")
 def usage_values(spark: SparkSession, d: str) -> DataFrame:
-    s = sm.values(usage(spark, d))
+    s = sm.values(usage(spark, d), USAGE)
     return s.select(*sm.KEYS, F.col("count").alias("n"), F.round("mean", 4).alias("mean"), "p50", "p95", F.col("max").alias("max_value"))
 
 
 @query(f"WITH RECURSIVE {REQUESTS}, {SIDED_SQL}, src AS (SELECT metric, side, status, end_us AS t, coalesce(value, 0) AS w FROM usage), {rate_sql('src', 'metric, side, status')} SELECT metric, side, status, n, mean FROM dsum JOIN evs USING (metric, side, status)")
 def usage_rates(spark: SparkSession, d: str) -> DataFrame:
-    return rate_columns(sm.rates(usage(spark, d)), sm.KEYS)
+    return rate_columns(sm.rates(usage(spark, d), USAGE), sm.KEYS)
 
 
 @query(f"""WITH RECURSIVE {REQUESTS}, {SIDED_SQL}, src AS (SELECT metric, side, status, start_us AS t, coalesce(value, 0) AS w FROM usage UNION ALL SELECT metric, side, status, end_us, -coalesce(value, 0) FROM usage), {merged_sql('src', 'metric, side, status')},
 lv AS (SELECT *, greatest(0, sum(w) OVER o) AS level, lead(t) OVER o - t AS us FROM points WINDOW o AS (PARTITION BY metric, side, status ORDER BY t)) SELECT metric, side, status, round(sum(level * us) / sum(us), 4) AS mean, max(level) AS max_value FROM lv WHERE us IS NOT NULL GROUP BY ALL""")
 def usage_concurrency(spark: SparkSession, d: str) -> DataFrame:
-    x = sm.concurrency(usage(spark, d))
+    x = sm.concurrency(usage(spark, d), USAGE)
     return x.groupBy(*sm.KEYS).agg(F.round(F.sum(F.col("level") * F.col("duration_us")) / F.sum("duration_us"), 4).alias("mean"), F.max("level").alias("max_value"))
 
 
