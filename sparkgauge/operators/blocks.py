@@ -7,6 +7,9 @@ order, and a block begins with its rank in base `vocabulary`, so that no two sib
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -87,16 +90,22 @@ def with_blocks(df: DataFrame, order: tuple[str, ...], keys: list[str] | None =
     return df.join(lists, row, "left").withColumn("blocks", F.coalesce(blocks, none)).drop("_b").select(*df.columns, "blocks")
 
 
-def block_tokens(blocks: str, vocabulary: int) -> Column:
-    """The token ids of each block: the rank among siblings in base `vocabulary`, moved by the previous id, then a walk by the id.
-
-    A block too short to hold its rank ends the query with an error.
-    """
+def digits_of(vocabulary: int) -> int:
+    """How many tokens of a block hold its rank."""
     if vocabulary < 2:
         raise ValueError("a vocabulary has at least two tokens")
     digits = 1
     while vocabulary ** (digits + 1) < 2**62:
         digits += 1
+    return digits
+
+
+def block_tokens(blocks: str, vocabulary: int) -> Column:
+    """The token ids of each block: the rank among siblings in base `vocabulary`, moved by the previous id, then a walk by the id.
+
+    A block too short to hold its rank ends the query with an error.
+    """
+    digits = digits_of(vocabulary)
     powers = "array(" + ", ".join(f"{vocabulary**i}L" for i in range(digits + 1)) + ")"
     v = f"{vocabulary}L"
     rank = f"pmod(b.sibling div get({powers}, CAST(i AS INT)) % {v} + (b.previous + 1) % {v} + i, {v})"
@@ -110,6 +119,69 @@ def prompt_tokens(blocks: str, vocabulary: int) -> Column:
     return F.flatten(block_tokens(blocks, vocabulary))
 
 
+#: Tokens that are in numpy arrays at a time, but for those of a single longer prompt.
+SLICE = 1 << 20
+
+
+def joined(first: np.ndarray, step: np.ndarray, lengths: np.ndarray, of_row: np.ndarray, vocabulary: int, put=None) -> pa.Array:
+    """For each row the comma-joined tokens (first + i x step) mod vocabulary of its pieces, i from 0 to below a piece's length.
+
+    of_row: where each row's pieces begin, and their number. put(tokens, starts, pieces) may write over tokens of a slice of pieces.
+    """
+    names = pa.array([str(x) for x in range(vocabulary)], pa.string()) if vocabulary <= SLICE else None
+    total = np.concatenate([[0], np.cumsum(lengths)])
+    ends, out, a = total[of_row], [], 0  # tokens before each row
+    if len(lengths) and first.max() + lengths.max() * step.max() < 2**31:  # half as wide, where it can't overflow
+        first, step = first.astype(np.int32), step.astype(np.int32)
+    while a < len(of_row) - 1:
+        z = max(a + 1, int(np.searchsorted(ends, ends[a] + SLICE, "right")) - 1)
+        pieces = slice(of_row[a], of_row[z])
+        n = lengths[pieces]
+        starts = total[pieces] - ends[a]
+        i = (np.arange(n.sum()) - np.repeat(starts, n)).astype(first.dtype)
+        tokens = (np.repeat(first[pieces], n) + i * np.repeat(step[pieces], n)) % vocabulary
+        if put:
+            put(tokens, starts, pieces)
+        words = names.take(pa.array(tokens)) if names else pa.array(tokens).cast(pa.string())
+        out.append(pc.binary_join(pa.ListArray.from_arrays(pa.array((ends[a : z + 1] - ends[a]).astype(np.int32)), words), ","))
+        a = z
+    return pa.concat_arrays(out) if out else pa.array([], pa.string())
+
+
+def prompt_text(blocks: str, vocabulary: int) -> Column:
+    """The tokens of `prompt_tokens`, comma-joined, computed by Arrow batches; none: empty."""
+    digits = digits_of(vocabulary)
+
+    def text(b: pa.Array) -> pa.Array:
+        at = b.offsets.to_numpy().astype(np.int64)
+        flat = b.values.slice(at[0], at[-1] - at[0])
+        ident, previous, lengths, sibling = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("hash_id", "previous", "length", "sibling"))
+        powers = np.array([vocabulary**i for i in range(digits + 1)], np.int64)
+        if (sibling >= powers[np.minimum(lengths, digits)]).any():
+            raise ValueError("a block is too short for its siblings")
+
+        def rank(tokens: np.ndarray, starts: np.ndarray, pieces: slice) -> None:
+            n, s, p = lengths[pieces], sibling[pieces], (previous[pieces] + 1) % vocabulary
+            for i in range(digits):
+                has = n > i
+                tokens[starts[has] + i] = (s[has] // powers[i] % vocabulary + p[has] + i) % vocabulary
+
+        return joined(ident % vocabulary * 7919, 1 + ident % (vocabulary - 1), lengths, at - at[0], vocabulary, rank)
+
+    return F.arrow_udf(text, "string")(F.col(blocks))
+
+
+def remainder_text(order: str, remainder: str, vocabulary: int) -> Column:
+    """The tokens of `remainder_tokens`, comma-joined, computed by Arrow batches; none: empty."""
+
+    def text(o: pa.Array, r: pa.Array) -> pa.Array:
+        at = o.to_numpy(zero_copy_only=False).astype(np.int64) % vocabulary
+        n = np.maximum(r.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), 0)
+        return joined(at * 31, 1 + at % (vocabulary - 1), n, np.arange(len(n) + 1), vocabulary)
+
+    return F.arrow_udf(text, "string")(F.col(order).cast("bigint"), F.col(remainder).cast("bigint"))
+
+
 def conversation_blocks(df: DataFrame, order: tuple[str, ...], conversation: str = "id", n_in: str = "in", ids: str = "hash_ids", block: int = 64) -> DataFrame:
     """df with ids of whole blocks only, their `blocks` and `remainder`, the prompt's tokens beyond them.
 

@@ -62,8 +62,9 @@ def sibling_blocks(spark: SparkSession, d: str) -> DataFrame:
 SELECT o_orderkey, CAST(sum(len(t)) AS BIGINT) AS n_tokens, md5(string_agg(array_to_string(t, ','), ',' ORDER BY pos)) AS tokens_md5 FROM parts GROUP BY 1""")
 def trace_prompts(spark: SparkSession, d: str) -> DataFrame:
     """The tokens of each prompt, by the ids that all prompts share."""
-    x = bl.with_blocks(trace(spark, d, 193), ORDER, block=BLOCK).withColumn("t", bl.prompt_tokens("blocks", VOCABULARY))
-    return x.select("o_orderkey", F.size("t").cast("bigint").alias("n_tokens"), F.md5(F.array_join("t", ",").cast("binary")).alias("tokens_md5"))
+    x = bl.with_blocks(trace(spark, d, 193), ORDER, block=BLOCK).withColumn("t", bl.prompt_text("blocks", VOCABULARY))
+    n = F.aggregate("blocks", F.lit(0).cast("bigint"), lambda n, b: n + b["length"])
+    return x.select("o_orderkey", n.alias("n_tokens"), F.md5(F.col("t").cast("binary")).alias("tokens_md5"))
 
 
 @query(f"""WITH {PARTED}, parts AS (SELECT s.o_orderkey, s.pos, {TOKENS} AS t FROM spots s JOIN known b USING (id, hash_id)),
@@ -74,5 +75,6 @@ FROM rows_ r JOIN texts USING (o_orderkey)""")
 def conversation_prompts(spark: SparkSession, d: str) -> DataFrame:
     """Whole blocks by the ids of each conversation alone, then what remains; begun blocks' ids are dropped."""
     x = bl.conversation_blocks(trace(spark, d, 256), ORDER, "id", "input_length", "hash_ids", BLOCK)
-    tokens = F.concat(bl.prompt_tokens("blocks", VOCABULARY), bl.remainder_tokens("o_orderkey", "remainder", VOCABULARY))
-    return x.select("id", "o_orderkey", F.size("blocks").cast("bigint").alias("n_blocks"), "remainder", F.md5(F.array_join(tokens, ",").cast("binary")).alias("tokens_md5"))
+    x = x.withColumns({"t": bl.prompt_text("blocks", VOCABULARY), "r": bl.remainder_text("o_orderkey", "remainder", VOCABULARY)})
+    tokens = F.concat_ws(",", *(F.nullif(F.col(c), F.lit("")) for c in ("t", "r")))
+    return x.select("id", "o_orderkey", F.size("blocks").cast("bigint").alias("n_blocks"), "remainder", F.md5(tokens.cast("binary")).alias("tokens_md5"))

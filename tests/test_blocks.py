@@ -3,6 +3,7 @@
 import json
 import random
 
+import numpy as np
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -98,3 +99,25 @@ def test_reader_of_conversations(spark, tmp_path):
     (tmp_path / "bad.jsonl").write_text(json.dumps(lines[0] | {"out": None}))
     with pytest.raises(PySparkException):
         readers.read(spark, "weka", str(tmp_path / "bad.jsonl")).collect()
+
+
+def test_texts_of_prompts_are_their_tokens_joined(spark):
+    """Arrow batches give what the token arrays give: no blocks, short blocks, several slices, null remainders."""
+    rows = [(k, [(10**12 * k + j, j - 1 if j else -1, 1 + (k * 7 + j) % 40, (k + j) % 5) for j in range(k % 4)], k % 9 if k % 3 else None) for k in range(300)]
+    x = spark.createDataFrame(rows, "k long, b array<struct<hash_id:long,previous:long,length:long,sibling:long>>, r long")
+    for vocabulary in (7, 1000, 2_000_000):
+        y = x.withColumns({"t": blocks.prompt_text("b", vocabulary), "r": F.coalesce("r", F.lit(0)), "s": blocks.remainder_text("k", "r", vocabulary)})
+        y = y.withColumns({"want_t": F.array_join(blocks.prompt_tokens("b", vocabulary), ","), "want_s": F.array_join(blocks.remainder_tokens("k", "r", vocabulary), ",")})
+        assert y.where("t <> want_t or s <> want_s or t is null or s is null").count() == 0
+        assert y.where("t <> ''").count() == 225
+    short = x.select(F.expr("array(named_struct('hash_id', 1L, 'previous', 0L, 'length', 1L, 'sibling', 7L))").alias("b"))
+    with pytest.raises(Exception, match="too short"):
+        short.select(blocks.prompt_text("b", 7)).collect()
+
+
+def test_slices_of_a_batch(monkeypatch):
+    first, step, lengths, of_row = np.arange(6), np.full(6, 2), np.array([3, 0, 5, 1, 1, 9]), np.array([0, 2, 2, 3, 6])
+    whole = blocks.joined(first, step, lengths, of_row, 10).to_pylist()
+    assert whole == ["0,2,4", "", "2,4,6,8,0", "3,4,5,7,9,1,3,5,7,9,1"]
+    monkeypatch.setattr(blocks, "SLICE", 4)
+    assert blocks.joined(first, step, lengths, of_row, 3).to_pylist() == [",".join(str(int(x) % 3) for x in s) for s in ([0, 2, 4], [], [2, 4, 6, 8, 10], [3, 4, 5, 7, 9, 11, 13, 15, 17, 19, 21])]
