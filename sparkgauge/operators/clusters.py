@@ -72,6 +72,19 @@ def arrays(table: pa.Table, weights: tuple[str, ...]) -> tuple[np.ndarray, np.nd
     return table.column("t").to_numpy().astype(np.int64), np.column_stack([table.column(w).to_numpy().astype(float) for w in weights])
 
 
+def merged(table: pa.Table, keys: list[str], weights: tuple[str, ...]) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]:
+    """A range's rows, times, weights and key starts, with rows of equal key and time made one."""
+    t, w = arrays(table, weights)
+    starts = key_starts(table, keys)
+    new = np.zeros(len(t), bool)
+    new[starts] = True
+    new[1:] |= t[1:] != t[:-1]
+    if new.all():
+        return table, t, w, starts
+    rows = np.flatnonzero(new)
+    return table.select([*keys, "_r"]).take(pa.array(rows)), t[rows], np.add.reduceat(w, rows, 0), np.searchsorted(rows, starts)
+
+
 def sums_of(w: np.ndarray) -> np.ndarray:
     """The weights of the rows before each row, and of all."""
     return np.concatenate([np.zeros((1, w.shape[1])), np.cumsum(w, 0)])
@@ -87,9 +100,7 @@ def summary_of(keys: list[str], threshold: int, weights: tuple[str, ...] = ("w",
         batches = [b for b in batches if b.num_rows]
         if not batches:
             return
-        table = pa.Table.from_batches(batches)
-        t, w = arrays(table, weights)
-        starts = key_starts(table, keys)
+        table, t, w, starts = merged(pa.Table.from_batches(batches), keys, weights)
         jump, out = jumps(t, starts, threshold), []
         ends = np.append(starts[1:], len(t))
         for place, k in enumerate(sorted({0, len(starts) - 1})):
@@ -155,10 +166,8 @@ def walk(keys: list[str], threshold: int, entries, members: bool, weights: tuple
         batches = [b for b in batches if b.num_rows]
         if not batches:
             return
-        table = pa.Table.from_batches(batches)
+        table, t, w, starts = merged(pa.Table.from_batches(batches), keys, weights)
         entry = entries.value[table.column("_r")[0].as_py()]
-        t, w = arrays(table, weights)
-        starts = key_starts(table, keys)
         jump = jumps(t, starts, threshold)
         begins = starts.copy()
         if entry.head is not None:
@@ -192,10 +201,11 @@ def walk(keys: list[str], threshold: int, entries, members: bool, weights: tuple
     return run
 
 
-def walked(points: DataFrame, keys: list[str], threshold: int, members: bool, weights: tuple[str, ...] = ("w",)) -> DataFrame:
+def walked(points: DataFrame, keys: list[str], threshold: int, members: bool, weights: tuple[str, ...] = ("w",), grouped: bool = False) -> DataFrame:
     """The rows are dealt to ranges once, and each range is read twice, whole, by one task: for its summary and for its walk."""
     spark = points.sparkSession
-    once = points.groupBy(*keys, F.col("t").cast("bigint").alias("t")).agg(*(F.sum(F.col(w).cast("double")).alias(w) for w in weights))
+    t, w = F.col("t").cast("bigint").alias("t"), {w: F.col(w).cast("double") for w in weights}
+    once = points.select(*keys, t, *(c.alias(n) for n, c in w.items())) if grouped else points.groupBy(*keys, t).agg(*(F.sum(c).alias(n) for n, c in w.items()))
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = settle(once.repartitionByRange(ranges, *keys, "t").sortWithinPartitions(*keys, "t").withColumn("_r", F.spark_partition_id()))
     kinds = "".join(f"`{c}` {ordered.schema[c].dataType.simpleString()}, " for c in keys)
@@ -206,15 +216,16 @@ def walked(points: DataFrame, keys: list[str], threshold: int, members: bool, we
     return ordered.mapInArrow(walk(keys, threshold, entries, members, weights), kinds + out)
 
 
-def clusters(points: DataFrame, keys: list[str], threshold: int = 100, weights: tuple[str, ...] = ("w",)) -> DataFrame:
+def clusters(points: DataFrame, keys: list[str], threshold: int = 100, weights: tuple[str, ...] = ("w",), grouped: bool = False) -> DataFrame:
     """(keys, t, w, prev_t, next_t, level) for points (keys, t, w): the head and weight of each cluster of a key, the
     heads before and after it, and the weight of all clusters up to it. Times are whole numbers without nulls.
 
     Series at the same times are clustered once, as several weights; a weight x then has its level in level_x.
 
-    Equal times are summed up first, so a range has as many rows as distinct times.
+    Equal times are summed up first, so a range has as many rows as distinct times; of `grouped` points no time of a key has more
+    than a few rows, so these are summed up where they are walked, and rows move once less.
     """
-    return walked(points, keys, threshold, False, weights)
+    return walked(points, keys, threshold, False, weights, grouped)
 
 
 def heads_of(points: DataFrame, keys: list[str], threshold: int) -> DataFrame:

@@ -29,6 +29,13 @@ def with_totals(sums: DataFrame, key: str, *values: str, name: str = "total") ->
     return sums.unionByName(sums.groupBy(*others).agg(*(F.sum(v).alias(v) for v in values)).withColumn(key, F.lit(name)))
 
 
+def under_total(df: DataFrame, *keys: str, name: str = "total") -> DataFrame:
+    """Each row also under the total of each of the keys; nothing is summed up, and no row moves."""
+    for k in keys:
+        df = df.withColumn(k, F.explode(F.array(k, F.lit(name))))
+    return df
+
+
 def pdf_sample(df: DataFrame, keys: list[str], points: int) -> DataFrame:
     """`points` rows of a pdf at evenly spaced ranks, first and last included."""
     x = running_sum(df.withColumn("_one", F.lit(1).cast("bigint")), keys, "value", {"_i": "_one"})
@@ -89,9 +96,9 @@ def event_points(points: DataFrame, keys: list[str], start: int | str | None = N
     return inside.unionByName(ends.select(*keys, F.explode(F.array("_lo", "_hi")).alias("t"), *(F.lit(0.0).alias(w) for w in weights)).where("t is not null"))
 
 
-def rate_points(points: DataFrame, keys: list[str], threshold: int = 100, start: int | str | None = None, end: int | str | None = None, weights: tuple[str, ...] = ("w",)) -> DataFrame:
+def rate_points(points: DataFrame, keys: list[str], threshold: int = 100, start: int | str | None = None, end: int | str | None = None, weights: tuple[str, ...] = ("w",), grouped: bool = False) -> DataFrame:
     """(keys, t, weights, duration): events at merged times and the seconds each stands for, half-way to its neighbours."""
-    return rates_of(clusters(event_points(points, keys, start, end, weights), keys, threshold, weights)).select(*keys, "t", *weights, "duration")
+    return rates_of(clusters(event_points(points, keys, start, end, weights), keys, threshold, weights, grouped)).select(*keys, "t", *weights, "duration")
 
 
 def rates_of(x: DataFrame) -> DataFrame:

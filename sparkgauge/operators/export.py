@@ -156,7 +156,7 @@ def totals_by_status(r: DataFrame, key: str) -> DataFrame:
 def run_points(r: DataFrame, token_points: DataFrame, key: str = "run_index") -> DataFrame:
     """One row a run with its 19 figures: rates and concurrency over all requests, latencies over successful ones, counts by status."""
     ends = r.groupBy(key, F.col("end_us").alias("t")).agg(F.count(F.lit(1)).cast("double").alias("w")).withColumn("metric", F.lit("requests"))
-    p = ds.rate_points(ends.unionByName(token_points), [key, "metric"])
+    p = ds.rate_points(ends.unionByName(token_points), [key, "metric"], grouped=True)
     rate = p.groupBy(key, "metric").agg((F.sum("w") / F.sum("duration")).alias("v"))
     rate = rate.groupBy(key).pivot("metric", ["requests", "total", "prompt", "output"]).agg(F.first("v"))
     level = ds.concurrency_levels(r, [key]).groupBy(key).agg((F.sum(F.col("level") * F.col("duration_us")) / F.sum("duration_us")).alias("concurrency"))

@@ -97,7 +97,9 @@ def measured_window(r: DataFrame, keys: list[str], warmup: tuple[float | None, i
     left, whichever is earlier. Without the one the measured window begins with the first request, without the
     other it ends with the last.
     """
-    x = running_sum(r.withColumn("_one", F.lit(1)), keys, "end_us", {"_done": "_one"}, ties=("request_id",))
+    x = r.select(*keys, "request_id", "start_us", "end_us")  # no other column moves
+    if warmup[1] is not None or cooldown[1] is not None and total is not None:
+        x = running_sum(x.withColumn("_one", F.lit(1)), keys, "end_us", {"_done": "_one"}, ties=("request_id",))
     start = F.min("start_us")
     nth = lambda n, c: F.max(F.when(F.col("_done") == n, F.col(c)))
     begins, finishes = [], []

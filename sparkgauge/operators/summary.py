@@ -21,9 +21,9 @@ MODALITIES = {
 def within_windows(r: DataFrame, windows: DataFrame, keys: list[str]) -> DataFrame:
     """Requests that overlap the measured window of their run, with its ends; a request without a start counts by its end.
 
-    A join on the keys of the run, with a row a run on the other side, in the plan that goes on from here.
+    Windows are a row a run, settled once and looked up by broadcast: requests stay where they are, however few the runs.
     """
-    x = r.join(windows.select(*keys, "measure_start", "measure_end"), keys)
+    x = r.join(F.broadcast(settle(windows.select(*keys, "measure_start", "measure_end"))), keys)
     return x.where(in_window(F.col("start_us"), F.col("end_us"), F.col("measure_start"), F.col("measure_end")))
 
 
@@ -43,7 +43,7 @@ def run_distributions(r: DataFrame, keys: list[str], values: Column, tokens: Col
     spent = r.select(*keys, "status", F.explode(tokens).alias("p")).select(*keys, "status", "p.*")
     open_ = ds.span_points(r.withColumn("metric", F.lit(OPEN)), by, "measure_start", "measure_end")
     points = rate.unionByName(spent).unionByName(open_).groupBy(*by, "t").agg(F.sum("w").alias("w"))
-    x = settle(clusters(ds.with_totals(points, "status", "w"), by))
+    x = settle(clusters(ds.under_total(points, "status"), by, grouped=True))
     timed = ds.rates_of(x.where(F.col("metric") != OPEN))
     # Whole half-microseconds weigh a rate.
     rates = timed.select(*by, F.round(F.col("w") / F.col("duration"), 6).alias("value"), F.round(F.col("duration") * 2e6).cast("bigint").alias("weight"))
@@ -114,7 +114,7 @@ def rates(r: DataFrame, properties: dict[str, tuple[str | None, str | None]], **
     x, names = weighed(r if sides else r.where("false"), sides)
     weights = tuple(names.values()) or ("w",)
     p = (x if names else x.withColumn("w", F.lit(0.0))).groupBy("status", F.col("end_us").alias("t")).agg(*(F.sum(w).alias(w) for w in weights))
-    x = ds.rate_points(ds.with_totals(p, "status", *weights), ["status"], weights=weights, **options)
+    x = ds.rate_points(ds.under_total(p, "status"), ["status"], weights=weights, grouped=True, **options)
     return by_side(x, sides, ["t", "duration"], "w", lambda used: sum((F.col(names[c]) for c in used[1:]), F.col(names[used[0]])))
 
 
@@ -126,8 +126,8 @@ def concurrency(r: DataFrame, properties: dict[str, tuple[str | None, str | None
     sides = some_sides(r, properties)
     x, names = weighed(r if sides else r.where("false"), sides)
     weights = tuple(names.values()) or ("w",)
-    p = ds.with_totals(ds.span_points(x, ["status"], weights=tuple(names.values()), **window), "status", *weights)
-    x = clusters(p, ["status"], threshold, weights).where("next_t is not null").withColumn("duration_us", F.col("next_t") - F.col("t"))
+    p = ds.under_total(ds.span_points(x, ["status"], weights=tuple(names.values()), **window), "status")
+    x = clusters(p, ["status"], threshold, weights, True).where("next_t is not null").withColumn("duration_us", F.col("next_t") - F.col("t"))
     name = dict(zip(names, levels(weights), strict=True)) if names else {}
     level = lambda used: F.greatest(F.lit(0.0), sum((F.col(name[c]) for c in used[1:]), F.col(name[used[0]])))
     return by_side(x, sides, ["t", "duration_us"], "level", level)

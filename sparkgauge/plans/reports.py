@@ -97,7 +97,7 @@ def token_points_by_run(spark: SparkSession, d: str) -> DataFrame:
     r = rq.requests(spark, d)
     p = r.select("run_index", F.explode(F.array(F.struct(F.lit("prompt").alias("metric"), rq.prompt_points().alias("p")), F.struct(F.lit("output").alias("metric"), rq.output_points().alias("p")))).alias("m"))
     p = p.select("run_index", "m.metric", F.explode("m.p").alias("p")).groupBy("run_index", "metric", F.col("p.t").alias("t")).agg(F.sum("p.w").alias("w"))
-    return ds.with_totals(p, "metric", "w")
+    return ds.under_total(p, "metric")
 
 
 def points(spark: SparkSession, d: str) -> DataFrame:

@@ -213,16 +213,16 @@ src AS (SELECT * FROM pts UNION ALL SELECT status, 'total', t, w FROM pts)"""
 
 
 def token_points(spark: SparkSession, d: str) -> DataFrame:
-    """(status, metric, t, w): points of equal times are summed up before the totals of metric and status are added."""
+    """(status, metric, t, w): points of equal times are summed up, then stand under the totals of metric and status too; a time has few rows."""
     r = rq.requests(spark, d)
     p = r.select("status", F.explode(F.array(F.struct(F.lit("prompt").alias("metric"), rq.prompt_points().alias("p")), F.struct(F.lit("output").alias("metric"), rq.output_points().alias("p")))).alias("m"))
     p = p.select("status", "m.metric", F.explode("m.p").alias("p")).groupBy("status", "metric", F.col("p.t").alias("t")).agg(F.sum("p.w").alias("w"))
-    return ds.with_totals(ds.with_totals(p, "metric", "w"), "status", "w")
+    return ds.under_total(p, "metric", "status")
 
 
 @query(f"WITH RECURSIVE {REQUESTS}, {TOTAL}, {POINTS_SQL}, {rate_sql('src', 'status, metric')} SELECT dsum.status, dsum.metric, n, round(mean, 4) AS mean FROM dsum JOIN evs USING (status, metric)")
 def token_rate(spark: SparkSession, d: str) -> DataFrame:
-    s = rate_columns(ds.rate_points(token_points(spark, d), ["status", "metric"]), ["status", "metric"])
+    s = rate_columns(ds.rate_points(token_points(spark, d), ["status", "metric"], grouped=True), ["status", "metric"])
     return s.withColumn("mean", F.round("mean", 4))
 
 

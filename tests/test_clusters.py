@@ -64,3 +64,13 @@ def test_jumps_keep_keys_apart(spark):
     df = spark.createDataFrame(spans, "k string, start_us long, end_us long, n int")
     got = {tuple(r) for r in ds.concurrency_levels(df, ["k"], threshold=0).collect()}
     assert got == {("a", 0, 1, 1), ("a", 1, 2, 4), ("a", 5, 1, 5), ("b", 2, 1, 1)}
+
+
+def test_grouped_points_give_the_same(spark):
+    """Points under several totals without being summed up first; equal times are made one where they are walked."""
+    r = random.Random(3)
+    points = [(r.choice(["a", "b"]), r.choice([1, 2, None]), t, float(r.randrange(5))) for t in r.sample(range(40_000), 3000) for _ in range(r.choice([1, 2]))]
+    df = ds.under_total(spark.createDataFrame(points, "k string, j long, t long, w double"), "k").repartition(3)
+    want = {tuple(x) for x in cl.clusters(df, ["k", "j"], 100).collect()}
+    got = cl.clusters(df, ["k", "j"], 100, grouped=True)
+    assert {tuple(x) for x in got.collect()} == want == walk(points + [("total", *p[1:]) for p in points], 100)
