@@ -67,6 +67,37 @@ def key_starts(table: pa.Table, keys: list[str]) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+#: Rows in a packed piece of a range.
+PIECE = 1 << 20
+
+
+def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A range's rows as Arrow tables of up to about PIECE rows, each in one binary value, so that a checkpoint writes and reads few rows."""
+
+    def piece(held: list) -> pa.RecordBatch:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as out:
+            out.write_table(pa.Table.from_batches(held).combine_chunks())
+        return pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["rows"])
+
+    held, n = [], 0
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+            n += b.num_rows
+        if n >= PIECE:
+            yield piece(held)
+            held, n = [], 0
+    if held:
+        yield piece(held)
+
+
+def unpacked(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
+    """The rows of a range, in order."""
+    tables = [pa.ipc.open_stream(x.as_buffer()).read_all() for b in batches for x in b.column(0)]
+    return pa.concat_tables(tables) if tables else None
+
+
 def arrays(table: pa.Table, weights: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
     """Times, and a row of weights for each."""
     return table.column("t").to_numpy().astype(np.int64), np.column_stack([table.column(w).to_numpy().astype(float) for w in weights])
@@ -97,10 +128,10 @@ def summary_of(keys: list[str], threshold: int, weights: tuple[str, ...] = ("w",
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        batches = [b for b in batches if b.num_rows]
-        if not batches:
+        rows = unpacked(batches)
+        if rows is None:
             return
-        table, t, w, starts = merged(pa.Table.from_batches(batches), keys, weights)
+        table, t, w, starts = merged(rows, keys, weights)
         jump, out = jumps(t, starts, threshold), []
         ends = np.append(starts[1:], len(t))
         for place, k in enumerate(sorted({0, len(starts) - 1})):
@@ -163,10 +194,10 @@ def walk(keys: list[str], threshold: int, entries, members: bool, weights: tuple
     """(keys, t, weights, prev_t, next_t, levels) of the heads in each range, from its entry; with members (keys, t, head) of all its rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        batches = [b for b in batches if b.num_rows]
-        if not batches:
+        rows = unpacked(batches)
+        if rows is None:
             return
-        table, t, w, starts = merged(pa.Table.from_batches(batches), keys, weights)
+        table, t, w, starts = merged(rows, keys, weights)
         entry = entries.value[table.column("_r")[0].as_py()]
         jump = jumps(t, starts, threshold)
         begins = starts.copy()
@@ -207,8 +238,9 @@ def walked(points: DataFrame, keys: list[str], threshold: int, members: bool, we
     t, w = F.col("t").cast("bigint").alias("t"), {w: F.col(w).cast("double") for w in weights}
     once = points.select(*keys, t, *(c.alias(n) for n, c in w.items())) if grouped else points.groupBy(*keys, t).agg(*(F.sum(c).alias(n) for n, c in w.items()))
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = settle(once.repartitionByRange(ranges, *keys, "t").sortWithinPartitions(*keys, "t").withColumn("_r", F.spark_partition_id()))
-    kinds = "".join(f"`{c}` {ordered.schema[c].dataType.simpleString()}, " for c in keys)
+    dealt = once.repartitionByRange(ranges, *keys, "t").sortWithinPartitions(*keys, "t").withColumn("_r", F.spark_partition_id())
+    ordered = settle(dealt.mapInArrow(packed, "rows binary"))
+    kinds = "".join(f"`{c}` {once.schema[c].dataType.simpleString()}, " for c in keys)
     rows = ordered.mapInArrow(summary_of(keys, threshold, weights), f"{kinds}_r int, _place int, candidates array<bigint>, ahead array<array<double>>, last array<bigint>, n bigint, total array<double>").collect()
     entries = spark.sparkContext.broadcast(compose(rows, keys, threshold))
     doubles = lambda names: ", ".join(f"`{n}` double" for n in names)

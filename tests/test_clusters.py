@@ -74,3 +74,14 @@ def test_grouped_points_give_the_same(spark):
     want = {tuple(x) for x in cl.clusters(df, ["k", "j"], 100).collect()}
     got = cl.clusters(df, ["k", "j"], 100, grouped=True)
     assert {tuple(x) for x in got.collect()} == want == walk(points + [("total", *p[1:]) for p in points], 100)
+
+
+def test_packed_ranges_come_back_in_order(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(cl, "PIECE", 25)
+    batches = [pa.RecordBatch.from_pydict({"k": [str(i)] * 10, "t": list(range(10 * i, 10 * i + 10))}) for i in range(7)]
+    pieces = list(cl.packed(iter([batches[0].slice(0, 0), *batches])))
+    assert len(pieces) == 3 and sum(p.num_rows for p in pieces) == 3
+    assert cl.unpacked(iter(pieces)).to_pydict() == pa.Table.from_batches(batches).to_pydict()
+    assert cl.unpacked(iter([])) is None and not list(cl.packed(iter([])))
