@@ -25,6 +25,16 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[at[0] : at[-1]], at - at[0]
 
 
+def text_shares(b: pa.RecordBatch, column: str, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """Shares of a batch with about `most` bytes of text, or one longer text: a word's numbers take some hundred bytes while it is counted."""
+    _, offsets = text_bytes(b[column])
+    i = 0
+    while i < len(b):
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, "right")) - 1)
+        yield b.slice(i, j - i)
+        i = j
+
+
 def boundaries(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(starts, ends) of all words; none crosses from one text to the next."""
     if not len(data):
@@ -67,7 +77,7 @@ def group_slices(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, digest=
     _, first, code = np.unique(hashes, return_index=True, return_inverse=True)
     lengths = ends - starts
     same = lengths == lengths[first[code]]
-    for part in pieces(ends, starts):
+    for part in pieces(ends, starts, 1 << 19):  # some 40 bytes for each one compared
         k = np.flatnonzero(same[part]) + part.start
         same[k] = equal_to(data, starts[k], lengths[k], starts[first[code[k]]])
     if not same.all():

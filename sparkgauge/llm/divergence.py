@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .byte_words import LOWER, boundaries, group_slices, text_bytes
+from .byte_words import LOWER, boundaries, group_slices, text_bytes, text_shares
 from .common import cut, drop
 
 SCALE = 1_000_000_000
@@ -19,8 +19,8 @@ BLOCK = 1 << 17
 
 
 def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, source, term, n, docs) of each batch: how often a term occurs in the group's texts, and in how many of them."""
-    for b in batches:
+    """(lang, source, term, n, docs) of each share of a batch: how often a term occurs in the group's texts, and in how many of them."""
+    for b in (share for whole in batches for share in text_shares(whole, "text")):
         data, offsets = text_bytes(b["text"])
         data = LOWER[data]
         starts, ends = boundaries(data, offsets)

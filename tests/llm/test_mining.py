@@ -226,3 +226,23 @@ def test_queries_equal_their_sql(spark, name):
     names = [c[0] for c in want.description]
     assert sorted(names) == sorted(got.columns)
     assert Counter(tuple(r) for r in got.select(*names).collect()) == Counter(want.fetchall())
+
+
+def test_a_batch_is_counted_in_shares_of_bounded_text():
+    """Numbers of all words of 10000 documents at once took an executor's memory."""
+    texts = ["", "Alpha beta " * 9, "x" * 7, "beta gamma " * 200_000, "", *(f"alpha w{chr(97 + k % 26)} " * 5000 for k in range(200)), ""]
+    langs, sources = (pa.array([f"{c}{i % k}" for i in range(len(texts))]) for c, k in (("l", 2), ("s", 3)))
+    whole = pa.RecordBatch.from_arrays([langs, sources, pa.array(texts)], ["lang", "source", "text"])
+    shares = list(byte_words.text_shares(whole, "text"))
+    assert pa.Table.from_batches(shares).combine_chunks() == pa.Table.from_batches([whole]).combine_chunks()
+    assert max(len(byte_words.text_bytes(x["text"])[0]) for x in shares) <= 1 << 22  # the longest text alone is some 2 MB
+    parts = list(divergence.count_terms(iter([whole])))
+    assert len(parts) == len(shares) > 1
+    got, want = defaultdict(lambda: np.zeros(2, int)), defaultdict(lambda: np.zeros(2, int))
+    for row in pa.Table.from_batches(parts).to_pylist():
+        got[row["lang"], row["source"], row["term"]] += row["n"], row["docs"]
+    for x in whole.to_pylist():
+        for term, n in Counter(re.findall("[a-z]+", x["text"].lower())).items():
+            want[x["lang"], x["source"], term] += n, 1
+    assert {k: tuple(v) for k, v in got.items()} == {k: tuple(v) for k, v in want.items()}
+    assert not list(byte_words.text_shares(whole.slice(0, 0), "text"))
