@@ -76,3 +76,19 @@ def test_hashes():
         for which in (0, 1):
             h = suffix_dedup.window_hash(data, n, which)
             assert len(h) == len(data) - n + 1 and h[0] == h[24] and len(set(h.tolist())) <= 24
+
+
+def test_rounds_are_few_and_compute_their_keys_once(spark, monkeypatch):
+    """Rounds of 4, 16, 64, 256 and 1024 phrases took up to five passes, and each computed its keys for either side of its join."""
+    met, twice = [], suffix_dedup.repeated
+
+    def watched(df, *key):
+        met.append((key, df._jdf.queryExecution().analyzed().toString()))
+        return twice(df, *key)
+
+    monkeypatch.setattr(suffix_dedup, "repeated", watched)
+    rows = hard()
+    got = by_id(suffix_dedup.remove_repeats(frame(spark, rows)))
+    assert {i: tuple(r)[1:5] for i, r in got.items()} == brute(rows)
+    rounds = [plan for key, plan in met if key == ("key",)][1:]
+    assert 1 <= len(rounds) <= 3 and not any("MapInPandas" in plan for plan in rounds)
