@@ -92,3 +92,30 @@ def test_rounds_are_few_and_compute_their_keys_once(spark, monkeypatch):
     assert {i: tuple(r)[1:5] for i, r in got.items()} == brute(rows)
     rounds = [plan for key, plan in met if key == ("key",)][1:]
     assert 1 <= len(rounds) <= 3 and not any("MapInPandas" in plan for plan in rounds)
+
+
+def by_place(n, at, alive, done, length):
+    """The cores of all places, one at a time."""
+    out = []
+    for p in range(n - length + 1):
+        lo, hi = p + suffix_dedup.WINDOW - 1, p + length - suffix_dedup.GRAM - suffix_dedup.WINDOW + 1
+        if all(alive[j] or not (at[j] >= lo and at[j + 1] <= hi) for j in range(len(at) - 1)):
+            core, asked = (int((at < lo).sum()), int((at <= hi).sum()) - 1), not done[p : p + length].all()
+            if out and out[-1][:2] == core and out[-1][3] == p:
+                out[-1] = (*core, out[-1][2], p + 1, out[-1][4] or asked)
+            else:
+                out.append((*core, p, p + 1, asked))
+    return out
+
+
+def test_cores_equal_those_of_single_places():
+    r = np.random.default_rng(5)
+    for _ in range(40):
+        n = int(r.integers(400, 1200))
+        at = np.unique(r.integers(0, n - 15, n // int(r.choice([20, 48, 150])) + 2)).astype(np.int64)
+        alive, done = r.random(len(at) - 1) < r.choice([0.0, 0.8, 1.0]), np.zeros(n, bool)
+        a = int(r.integers(0, n))
+        done[a : a + 700] = True
+        got = list(zip(*(x.tolist() for x in suffix_dedup.cores(n, at, alive, done, 400)), strict=True))
+        assert got == by_place(n, at, alive, done, 400)
+        assert bool(got) == (len(suffix_dedup.candidates(n, at, alive, 400)[0]) > 0)
