@@ -119,3 +119,25 @@ def test_cores_equal_those_of_single_places():
         got = list(zip(*(x.tolist() for x in suffix_dedup.cores(n, at, alive, done, 400)), strict=True))
         assert got == by_place(n, at, alive, done, 400)
         assert bool(got) == (len(suffix_dedup.candidates(n, at, alive, 400)[0]) > 0)
+
+
+def test_a_very_common_key_is_split(spark):
+    """The sum between shuffle and join kept Spark from splitting: one task had all rows of a key."""
+    small = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k"}
+    small |= {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "8", "spark.sql.adaptive.enabled": "true"}
+    before = {k: spark.conf.get(k, None) for k in small}
+    try:
+        for k, v in small.items():
+            spark.conf.set(k, v)
+        df = suffix_dedup.cut(spark.range(0, 60_000, 1, 8).selectExpr("id AS row", "if(id % 3 = 0, -1, id div 4) AS key"))
+        found = suffix_dedup.repeated(df, "key").groupBy("row").count()
+        rows = found.collect()
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    n = {}
+    for i in range(60_000):
+        n.setdefault(-1 if i % 3 == 0 else i // 4, []).append(i)
+    assert sorted(r["row"] for r in rows) == sorted(i for x in n.values() if len(x) > 1 for i in x)
+    assert "SortMergeJoin(skew=true)" in plan
