@@ -158,6 +158,41 @@ def test_rings_end_before_all_is_scanned(spark, monkeypatch):
     assert 0 < sum(asked) < 0.5 * total * len(anchors) and 0 not in asked
 
 
+def sent_to_driver(spark, run):
+    """(What run returns, bytes that the tasks of its stages send to the driver)."""
+    sc, gateway = spark.sparkContext._jsc.sc(), spark.sparkContext._gateway
+
+    def stages():
+        sc.listenerBus().waitUntilEmpty()
+        found = sc.statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+        return {(s.stageId(), s.attemptId()): s.resultSize() for s in (found.apply(i) for i in range(found.size()))}
+
+    before = stages()
+    out = run()
+    return out, sum(n for k, n in stages().items() if k not in before)
+
+
+def test_pivots_are_fitted_without_the_whole_table_on_the_driver(spark, monkeypatch):
+    """Every task of a sorted limit sent as many rows as the whole sample has."""
+    fit, sizes = [], {}
+    plain = hard_negatives.kmeans
+    monkeypatch.setattr(hard_negatives, "kmeans", lambda x, k: (fit.append(x), plain(x, k))[1])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # small tables are sent whole otherwise
+    try:
+        for parts in (4, 16):
+            v = [F.floor(F.rand(k) * 1000).cast("double") for k in range(64)]
+            rows = spark.range(0, 1000 * parts, 1, parts).select(F.col("id").alias("row"), "id", F.lit(0).cast("long").alias("label"), F.when(F.col("id") % 3 > 0, F.array(*v)).otherwise(F.array(*v[:5])).alias("v"))
+            for sample in (500, 20_000):  # the latter is more than there are
+                fit.clear()
+                _, sizes[parts, sample] = sent_to_driver(spark, lambda rows=rows, sample=sample: hard_negatives.build(rows, sample, 1024))
+                want = [r.v for r in rows.orderBy(F.xxhash64("row"), "row").limit(sample).select("v").collect()]
+                assert sorted(map(len, fit)) == sorted(sum(len(x) == w for x in want) for w in (5, 64))
+                assert {x.shape[1] - 1: x[:, :-1].tolist() for x in fit} == {w: [x for x in want if len(x) == w] for w in (5, 64)}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sizes[16, 500] < 2 * sizes[4, 500]  # four times the tasks, each with its figures
+
+
 def test_no_rows(spark):
     assert not mined(spark, []) and not mined(spark, [(1, None, 1, True)]) and not mined(spark, [(100, [1.0], 1, True)])
 
