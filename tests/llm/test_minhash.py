@@ -54,6 +54,29 @@ def test_near_duplicates(spark):
     assert minhash.near_duplicates(frame(spark, [])).count() == 0
 
 
+def hub(n, edits, at, seed):
+    """A text, as row `at`, and n copies of it, each with other words changed: they link to it, hardly any to each other."""
+    r = random.Random(seed)
+    base = [f"w{k}" for k in range(400)]
+    out = []
+    for i in range(n):
+        w = list(base)
+        for k in r.sample(range(0, 400, 2), edits):
+            w[k] = f"x{i}y{k}"
+        out.append(" ".join(w))
+    return list(enumerate([*out[:at], " ".join(base), *out[at:]]))
+
+
+def test_copies_that_link_to_one_text_only(spark):
+    """What links to the document that the largest component is known by, its first, was compared with nothing but a few leaders."""
+    for at, seed in ((0, 2), (150, 1)):
+        rows = hub(300, 21, at, seed)
+        got = {r.id: (r.n_shingles, r.component) for r in minhash.classes(spark.createDataFrame(rows, "id long, text string"), 2).collect()}
+        want = brute(rows, 2)
+        assert {c for _, c in want.values()} == {0}
+        assert got == want
+
+
 def test_keep_representatives(spark):
     rows = [*ROWS, ROWS[4], ROWS[9]]
     kept = minhash.keep_representatives(frame(spark, rows), width=5)
